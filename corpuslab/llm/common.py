@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = now
     roots = star.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def tiles(batches: Iterator[pa.RecordBatch], by: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups of ``by``, each of ``rows`` rows at least but the last,
+    with the number of each row's group. Only one table and what follows it in a batch are held."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for name in by:
+            values = table[name].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return new
+
+    held = None
+    for batch in batches:
+        fresh = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, fresh]) if held is not None else fresh
+        if held.num_rows < rows:
+            continue
+        new, at = starts(held), 0
+        for cut in np.flatnonzero(new).tolist():
+            if cut - at >= rows:
+                yield held.slice(at, cut - at).combine_chunks(), np.cumsum(new[at:cut])
+                at = cut
+        held = held.slice(at)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.cumsum(starts(held))

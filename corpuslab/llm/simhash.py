@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import bound_batches, checkpoint, connected_components
+from corpuslab.llm.common import bound_batches, checkpoint, connected_components, tiles
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: A fingerprint's bits are cut into RADIUS + 2 pieces; within the radius, two pieces at least are equal.
@@ -101,26 +101,9 @@ def _stars(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks in sorted order, small ones joined into one comparison. Rows: key, lo, hi, fp."""
-
-    def compared(table: pa.Table) -> pa.RecordBatch:
+    for table, _ in tiles(batches, ["key", "lo", "hi"], TILE_ROWS):
         src, dst = _stars(table["fp"].to_numpy())
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
-
-    held = None
-    for batch in batches:
-        fresh = pa.Table.from_batches([batch])
-        held = pa.concat_tables([held, fresh]) if held is not None else fresh
-        if held.num_rows < TILE_ROWS:
-            continue
-        marks = np.stack([held[c].to_numpy() for c in ("key", "lo", "hi")])
-        at = 0
-        for cut in (np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist():
-            if cut - at >= TILE_ROWS:
-                yield compared(held.slice(at, cut - at))
-                at = cut
-        held = held.slice(at)
-    if held is not None and held.num_rows:
-        yield compared(held)
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
