@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslab.llm.decontaminate import contamination
+from corpuslab.llm.embeddings import near_duplicates as near_vectors
 from corpuslab.llm.langid import language_id
 from corpuslab.llm.licenses import license_scan
 from corpuslab.llm.packing import pack
@@ -30,6 +31,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_language_id,
     op2_personal_data,
+    op3_embedding_dedup,
     op4_packing,
     op5_token_counts,
     op7_decontamination,
