@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared checkpoint folder and read back: what
+    ``checkpoint`` does, compressed and in columns, for wide or many rows."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        checkpoint(df.sparkSession.range(1))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bound_batches(spark: SparkSession, rows: int = 256) -> None:
     """Hold Arrow batches to ``rows`` rows: texts can be long, and a batch is held in memory whole."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

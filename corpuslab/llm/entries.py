@@ -14,6 +14,7 @@ from corpuslab.llm.packing import pack
 from corpuslab.llm.pii import personal_data
 from corpuslab.llm.sharding import shard_documents
 from corpuslab.llm.simhash import near_duplicates
+from corpuslab.llm.suffixes import removal
 from corpuslab.llm.tokens import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,6 +49,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return count_tokens(docs, tokenizer).drop("text")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +75,7 @@ OPERATORS = (
     op3_embedding_dedup,
     op4_packing,
     op5_token_counts,
+    op6_suffix_dedup,
     op7_decontamination,
     op8_sharding,
     op9_simhash,
