@@ -157,13 +157,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null or wordless text has fingerprint zero, which links like any other. Equal texts share a
     component; each of several rows with one doc_id is judged by its own text and all are returned.
     Null ids are never a component_id unless all of a component's are. An empty table gives no rows."""
-    bound_batches(docs.sparkSession)
-    rows = checkpoint(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return components(rows, "doc_id").select("doc_id", shown, "component_id")
+    return _grouped(docs.select("doc_id", "text")).select("doc_id", shown, "component_id")
+
+
+def _grouped(docs: DataFrame, *more: Column) -> DataFrame:
+    bound_batches(docs.sparkSession)
+    return components(checkpoint(docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), *more)), "doc_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay when one of each component, the smallest doc_id, is kept; all columns."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay when one of each component, that of the smallest doc_id, is kept, with
+    all their columns. Of rows equal in doc_id and text one stays, so a doc_id given to different
+    texts is judged by each. Documents without a doc_id stay where a whole component has none."""
+    key = F.xxhash64("text").alias("__key")
+    kept = _grouped(docs, key).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__kept")).distinct()
+    docs = docs.withColumn("__key", key)
+    same = (docs["__key"] == kept["__kept"]) & docs["doc_id"].eqNullSafe(kept["__id"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["__key", "doc_id"]).drop("__key")
