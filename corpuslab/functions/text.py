@@ -52,7 +52,7 @@ def squeezed(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """A page's text: scripts, styles and tags removed, white space collapsed."""
-    text = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
+    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<script.*?</script>", " "), r"(?s)<style.*?</style>", " ")
     return collapse(F.regexp_replace(text, r"(?s)<[^>]+>", " "))
 
 
