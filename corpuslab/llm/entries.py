@@ -87,5 +87,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = {
+    "op3_embedding_dedup": """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as a, vec_id as b from v union select reach.a, links.b from reach join links on reach.b = links.a),
+n as (select a, count(*) as n from links group by a), c as (select a, min(b) as c from reach group by a)
+select vec_id, coalesce(n, 0) as n_links, c as component_id, vec_id = c as kept from v left join n on n.a = vec_id join c on c.a = vec_id""",
+    "op7_decontamination": f"""with d as (select doc_id, {WORDS} as w from documents), b as (select item_id, {WORDS} as w from benchmark),
+win as (select distinct item_id, least(10, len(w)) as size, array_to_string(w[i:i + 9], ' ') as s from (select *, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)),
+place as (select doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') as s from (select doc_id, size, w, unnest(range(1, len(w) - size + 2)) as p from d, (select distinct size from win))),
+found as (select doc_id, item_id, p, size from place join win using (size, s)),
+hit as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(p, p + size)) as x from found) group by doc_id),
+item as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as names from (select distinct doc_id, item_id::varchar as i from found) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join item using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -41,3 +41,18 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+@pytest.mark.parametrize("name", ["op3_embedding_dedup", "op7_decontamination"])
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    from corpuslab.llm import entries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"create view {t} as select * from read_parquet('{FOLDER}/{t}.parquet')")
+    df = entries.queries()[name](spark, FOLDER)
+    rel = con.sql(entries.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert sorted(repr([r[c] for c in rel.columns]) for r in df.collect()) == sorted(repr(list(r)) for r in rel.fetchall())
