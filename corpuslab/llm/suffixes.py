@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import bound_batches, checkpoint, stored, tiles
+from corpuslab.llm.common import bound_batches, checkpoint, stored
 
 LENGTH = 400
 SHORT = 64
@@ -24,7 +24,9 @@ WINDOW = LENGTH - SHORT + 1
 #: Bytes whose anchors are worked out at a time.
 STRETCH = 1 << 17
 #: Bytes of one suffix array, about, and distinct segments of one anchor that one may hold.
-ARRAY_BYTES, MOST_SEGMENTS = 1 << 19, 512
+ARRAY_BYTES, MOST_SEGMENTS = 1 << 19, 4096
+#: Suffixes whose bytes are laid out at a time for sorting, and pairs that are compared at a time.
+ROWS_SORTED, ROWS_COMPARED = 1 << 15, 1 << 13
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -92,6 +94,40 @@ def _segments(pieces: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int,
         yield t, key, xxhash.xxh3_64_intdigest(view[s : s + n + LENGTH - 1]) - (1 << 63), s - int(begins[o]) + offset, n
 
 
+def _by_prefix(windows: np.ndarray, positions: np.ndarray, offset: int) -> np.ndarray:
+    """Positions in the order of their windows from ``offset`` on. Eight bytes at a time decide; ties are
+    settled by all their bytes, in batches of bounded size."""
+    depth = windows.shape[1]
+    if offset >= depth or len(positions) < 2:
+        return positions
+    if len(positions) <= ROWS_SORTED:
+        return positions[_row_order(windows[positions, offset:])]
+    keys = np.ascontiguousarray(windows[positions, offset : offset + 8])
+    keys = np.pad(keys, ((0, 0), (0, 8 - keys.shape[1]))).view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    keys, positions = keys[order], positions[order]
+    first = np.append(True, keys[1:] != keys[:-1])
+    starts = np.append(np.flatnonzero(first), len(keys))
+    group = np.cumsum(first, dtype=np.uint32)
+    at = 0
+    while at < len(starts) - 1:
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + ROWS_SORTED, side="right")) - 1)
+        a, b = starts[at], starts[to]
+        if to == at + 1:
+            positions[a:b] = _by_prefix(windows, positions[a:b], offset + 8)
+        else:
+            tied = np.flatnonzero(~(first[a:b] & np.append(first[a + 1 : b], True))) + a
+            if len(tied):
+                rows = np.concatenate([group[tied].astype(">u4").view(np.uint8).reshape(-1, 4), windows[positions[tied], offset + 8 :]], axis=1)
+                positions[tied] = positions[tied][_row_order(rows)]
+        at = to
+    return positions
+
+
+def _row_order(rows: np.ndarray) -> np.ndarray:
+    return np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+
+
 def two_stage(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Suffix array of bytes, exact to ``depth`` leading bytes (a shorter suffix sorts first).
 
@@ -100,25 +136,22 @@ def two_stage(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     successor, at the front of its bucket, runs of one byte round by round."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     wide = data.astype(np.int16)
     step = np.sign(np.append(wide[1:], -1) - wide).astype(np.int8)
     settled = np.flatnonzero(step)  # within a run of equal bytes the step at its end decides
     smaller = step[settled[np.searchsorted(settled, np.arange(n))]] > 0
-    direct = np.flatnonzero(smaller)
-    padded = np.append(data, np.zeros(depth, np.uint8))
-    if len(direct):
-        rows = np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]
-        direct = direct[np.argsort(np.ascontiguousarray(rows).view(f"V{depth}").ravel(), kind="stable")]
+    windows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(depth, np.uint8)), depth)
+    direct = _by_prefix(windows, np.flatnonzero(smaller).astype(np.int32), 0)
     first = data[direct]
     bucket = [direct[a:b] for a, b in zip(np.searchsorted(first, np.arange(256)), np.searchsorted(first, np.arange(256), side="right"))]
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[n - 1]].append(np.array([n - 1]))
+    waiting[data[n - 1]].append(np.array([n - 1], np.int32))
     out = []
     for c in range(256):
-        front = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
-        level = front
-        parts = [front]
+        level = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int32)
+        waiting[c].clear()
+        parts = [level]
         while len(level):
             before = level[level > 0] - 1
             level = before[data[before] == c]
@@ -143,15 +176,15 @@ def repeated_starts(parts: list[bytes], starts: list[int], length: int = LENGTH)
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     begins = np.cumsum(sizes) - sizes
-    is_start = np.zeros(len(data) + 1, np.int64)
+    is_start = np.zeros(len(data) + 1, np.int32)
     np.add.at(is_start, begins, 1)
     np.add.at(is_start, begins + np.array(starts), -1)
     order = two_stage(data, length)
     order = order[np.cumsum(is_start)[order] > 0]
     windows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(length, np.uint8)), length)
     equal = np.zeros(max(len(order) - 1, 0), bool)
-    for at in range(0, len(equal), 65536):
-        a, b = order[at : at + 65536 + 1][:-1], order[at + 1 : at + 65536 + 1]
+    for at in range(0, len(equal), ROWS_COMPARED):
+        a, b = order[at : at + ROWS_COMPARED + 1][:-1], order[at + 1 : at + ROWS_COMPARED + 1]
         common = (windows[a] != windows[b]).argmax(axis=1)
         equal[at : at + len(a)] = (common == 0) & (windows[a, 0] == windows[b, 0])
     hit = np.zeros(len(data), bool)
@@ -198,17 +231,19 @@ def _sort_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         columns = list(zip(*out)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()))], names=["text_key", "start", "starts"])
 
-    held: list[dict] = []
-    size = 0
-    for table, _ in tiles(batches, ["anchor"], 1):
-        rows = {(r["text_key"], r["start"]): r for r in table.to_pylist()}.values()  # copies of a text may come twice
-        held += rows
-        size += sum(len(r["bytes"]) for r in rows)
-        if size >= ARRAY_BYTES:
-            yield sorted_out(held)
-            held, size = [], 0
+    held: dict[tuple[bytes, int], dict] = {}
+    size, anchor = 0, None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["anchor"] != anchor and size >= ARRAY_BYTES:
+                yield sorted_out(list(held.values()))
+                held, size = {}, 0
+            anchor = row["anchor"]
+            if (row["text_key"], row["start"]) not in held:  # rows repeated in id and text come twice
+                held[row["text_key"], row["start"]] = row
+                size += len(row["bytes"])
     if held:
-        yield sorted_out(held)
+        yield sorted_out(list(held.values()))
 
 
 def _hash_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +276,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     # Different segments of one anchor, one of each kind.
     wanted = F.struct("anchor", "one.start", "one.starts", (F.col("texts") > MOST_SEGMENTS).alias("hot"))
     wanted = shared.where("texts > 1").select(F.col("one.text_key").alias("text_key"), wanted.alias("w")).groupBy("text_key").agg(F.collect_list("w").alias("wanted"))
-    cut = long.select("text_key", "bytes").join(wanted, "text_key").select("text_key", "bytes", "wanted")
+    # Of copies of a text, the document of the smallest id gives the bytes.
+    one = long.groupBy("text_key").agg(F.min("doc_id").alias("one_id"))
+    wanted = wanted.join(one, "text_key").withColumnRenamed("text_key", "wanted_key")
+    cut = long.join(wanted, (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("text_key", "bytes", "wanted")
     kinds = "text_key binary, anchor bigint, start bigint, starts bigint, hot boolean, bytes binary"
     cut = stored(cut.mapInArrow(_cut_segments, kinds))
     grouped = cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "text_key", "start")
