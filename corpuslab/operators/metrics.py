@@ -8,14 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a group's range of values that are ranked apart.
+RANGES = 64
+
+
 def ranked_values(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Distinct values of each group with how many rows are below (before) and in all (n): percentiles by
-    any rank rule follow from it, and a group of many rows is never sorted in one task."""
+    """Distinct values of each group with how many rows have them (c), are below (before) and are in all (n):
+    percentiles by any rank rule follow from it.
+
+    Rows are counted by value first. A group's values are then parted at approximate quantiles, ranked within
+    each part, and raised by the exact counts of the parts below, so no task orders a whole group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    before = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("c").over(Window.partitionBy(*by))
-    return counts.withColumn("before", before).withColumn("n", n)
+    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("__cuts")
+    cuts = counts.groupBy(*by).agg(cuts)
+    joined = counts.join(cuts, list(by)) if by else counts.crossJoin(cuts)
+    parted = joined.withColumn("__part", F.size(F.filter("__cuts", lambda x: x < F.col(value)))).drop("__cuts")
+    sizes = parted.groupBy(*by, "__part").agg(F.sum("c").alias("__size"))
+    lower = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "__part", F.coalesce(F.sum("__size").over(lower), F.lit(0)).alias("__below"), F.sum("__size").over(Window.partitionBy(*by)).alias("n"))
+    within = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = parted.withColumn("__own", F.coalesce(F.sum("c").over(within), F.lit(0))).join(sizes, [*by, "__part"])
+    return ranked.select(*by, value, "c", (F.col("__below") + F.col("__own")).alias("before"), "n")
 
 
 def at_rank(value: str, index: Column) -> Column:
@@ -37,8 +50,8 @@ def floor_rank(value: str, q: float) -> Column:
 def hit_report(golden: DataFrame, found: DataFrame) -> DataFrame:
     """Per mode and question type, and per mode in all (type null): n, hit1, hit3, hit5 and mrr of golden
     (qid, expect_chunk, type) in ranked lists with a mode."""
-    modes = found.select("mode").distinct()
-    wanted = golden.select("qid", F.col("expect_chunk").alias("doc_id"), "type").crossJoin(F.broadcast(modes))
+    modes = sorted(r["mode"] for r in found.select("mode").distinct().collect())
+    wanted = golden.select("qid", F.col("expect_chunk").alias("doc_id"), "type", F.explode(F.array(*map(F.lit, modes)).cast("array<string>")).alias("mode"))
     hits = found.groupBy("mode", "qid", "doc_id").agg(F.min("rank").alias("rank"))
     joined = wanted.join(hits, ["mode", "qid", "doc_id"], "left")
     hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit{k}")

@@ -5,7 +5,7 @@ thought, answer). Spans are (trace_id, span_id, parent, name, kind, start, end,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENDS = ("final", "stop")
@@ -27,18 +27,20 @@ def tools(events: DataFrame) -> DataFrame:
     """Tool spans: the i-th start of a tool's name in a trace with its i-th end. Starts are `action` (one tool) and
     `tool_start` (several), ends `observation` and `tool_done`."""
     several = F.when(F.col("type") == "tool_start", F.col("tools")).otherwise(F.array("tool"))
-    starts = events.where(F.col("type").isin("action", "tool_start")).select("trace_id", "seq", "ts", F.posexplode(several).alias("sub", "tool"))
+    more = [c for c in ("open_step", "closing") if c in events.columns]
+    starts = events.where(F.col("type").isin("action", "tool_start")).select("trace_id", "seq", "ts", *more, F.posexplode(several).alias("sub", "tool"))
     ends = events.where(F.col("type").isin("observation", "tool_done")).select("trace_id", "seq", "ts", "tool", "result", "error")
     nth = lambda *order: F.row_number().over(Window.partitionBy("trace_id", "tool").orderBy(*order))
     named = lambda d: d.withColumn("tool", F.coalesce("tool", F.lit("?")))
-    starts = named(starts).withColumn("n", nth("seq", "sub")).select("trace_id", "tool", "n", F.col("seq").alias("start_seq"), "sub", F.col("ts").alias("start"))
+    starts = named(starts).withColumn("n", nth("seq", "sub")).select("trace_id", "tool", "n", F.col("seq").alias("start_seq"), "sub", F.col("ts").alias("start"), *more)
     ends = named(ends).withColumn("n", nth("seq")).select("trace_id", "tool", "n", F.col("seq").alias("end_seq"), F.col("ts").alias("end"), "result", "error")
     return starts.join(ends, ["trace_id", "tool", "n"], "left")
 
 
 def confirms(events: DataFrame) -> DataFrame:
     """Confirmation spans by confirm_id; not decided is not approved, and both decisions are status ok."""
-    asked = events.where("type = 'need_confirm'").select("trace_id", "confirm_id", F.col("seq").alias("start_seq"), F.col("ts").alias("start"), "tool")
+    more = [c for c in ("open_step", "closing") if c in events.columns]
+    asked = events.where("type = 'need_confirm'").select("trace_id", "confirm_id", F.col("seq").alias("start_seq"), F.col("ts").alias("start"), "tool", *more)
     told = events.where("type = 'confirm_result'").select("trace_id", "confirm_id", F.col("seq").alias("end_seq"), F.col("ts").alias("end"), F.coalesce("approved", F.lit(False)).alias("approved"))
     return asked.join(told, ["trace_id", "confirm_id"], "left").withColumn("approved", F.coalesce("approved", F.lit(False)))
 
@@ -57,35 +59,43 @@ def roots(events: DataFrame) -> DataFrame:
     )
 
 
+def placed(events: DataFrame) -> DataFrame:
+    """Events with open_step, the place of the step open before them, and closing, the place and time of the first
+    final or stop after them."""
+    w = Window.partitionBy("trace_id").orderBy("seq")
+    end = F.col("type").isin(*ENDS)
+    mark = F.last(F.when((F.col("type") == "step_start") | end, F.struct("seq", "type")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    closing = F.first(F.when(end, F.struct("seq", "ts")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return events.withColumn("__mark", mark).withColumns({"open_step": F.when(F.col("__mark.type") == "step_start", F.col("__mark.seq")), "closing": closing}).drop("__mark")
+
+
+def _map(key: str, value: str) -> Column:
+    return F.when(F.col(value).isNotNull(), F.create_map(F.lit(key), F.col(value).cast("string")))
+
+
 def spans(events: DataFrame) -> DataFrame:
     """All spans of the events: root, steps, tools and confirmations. A tool's or confirmation's parent is the step
     open at its start, else the root. One still open at the first final or stop after its start is
     abandoned there. A span's id is its kind and the place of its event."""
-    base = roots(events)
-    final = events.where(F.col("type").isin(*ENDS)).select("trace_id", "seq", "ts")
-    step = steps(events)
-    thoughts = events.where("type = 'thought'").select("trace_id", F.col("seq").alias("t_seq"), F.left("thought", F.lit(THOUGHT_CHARS)).alias("thought"))
-    inside = (F.col("t_seq") > F.col("s.start_seq")) & ((F.col("t_seq") < F.col("s.end_seq")) | F.col("s.end_seq").isNull())
-    told = step.alias("s").join(thoughts.alias("t"), "trace_id").where(inside).groupBy("trace_id", "start_seq").agg(F.max_by("thought", "t_seq").alias("thought"))
-    step = step.join(told, ["trace_id", "start_seq"], "left")
+    events = placed(events)
     none = F.lit(None).cast("string")
-    ident = lambda kind, *more: F.concat_ws("-", F.lit(kind), F.col("start_seq").cast("string"), *more)
-    step_rows = step.select("trace_id", ident("step").alias("span_id"), F.lit("root").alias("parent"), F.concat(F.lit("step."), F.col("step").cast("string")).alias("name"), F.lit("step").alias("kind"), "start_seq", "start", "end_seq", "end", none.alias("error"), F.when(F.col("thought").isNotNull(), F.create_map(F.lit("thought"), "thought")).alias("meta"))
-    tool_rows = tools(events).select("trace_id", ident("tool", F.col("sub").cast("string")).alias("span_id"), F.concat(F.lit("tool."), F.col("tool")).alias("name"), F.lit("tool").alias("kind"), "start_seq", "start", "end_seq", "end", F.nullif("error", F.lit("")).alias("error"), F.when(F.col("result").isNotNull(), F.create_map(F.lit("result"), "result")).alias("meta"))
-    confirm_rows = confirms(events).select("trace_id", ident("confirm").alias("span_id"), F.concat(F.lit("confirm."), F.coalesce("tool", F.lit("?"))).alias("name"), F.lit("confirm").alias("kind"), "start_seq", "start", "end_seq", "end", none.alias("error"), F.create_map(F.lit("approved"), F.col("approved").cast("string")).alias("meta"))
-    leaves = tool_rows.unionByName(confirm_rows)
-    open_steps = step.select("trace_id", F.col("start_seq").alias("from"), F.col("end_seq").alias("to"))
-    held = (F.col("from") < F.col("start_seq")) & ((F.col("to") > F.col("start_seq")) | F.col("to").isNull())
-    owner = leaves.select("trace_id", "span_id", "start_seq").join(open_steps, "trace_id").where(held).groupBy("trace_id", "span_id").agg(F.max("from").alias("from"))
-    parent = F.when(F.col("from").isNotNull(), F.concat_ws("-", F.lit("step"), F.col("from").cast("string"))).otherwise("root")
-    leaves = leaves.join(owner, ["trace_id", "span_id"], "left").withColumn("parent", parent).drop("from")
-    rows = step_rows.unionByName(leaves)
-    after = rows.select("trace_id", "span_id", "start_seq").join(final, "trace_id").where("seq > start_seq").groupBy("trace_id", "span_id").agg(F.min(F.struct("seq", "ts")).alias("f"))
-    rows = rows.join(after, ["trace_id", "span_id"], "left")
-    left = F.col("f").isNotNull() & (F.col("end_seq").isNull() | (F.col("end_seq") > F.col("f.seq")))
+
+    def shape(rows: DataFrame, kind: str, name: Column, error: Column, meta: Column, *more: Column) -> DataFrame:
+        ident = F.concat_ws("-", F.lit(kind), F.col("start_seq").cast("string"), *more)
+        parent = F.when(F.col("open_step").isNotNull(), F.concat_ws("-", F.lit("step"), F.col("open_step").cast("string"))).otherwise("root") if kind != "step" else F.lit("root")
+        return rows.select("trace_id", ident.alias("span_id"), parent.alias("parent"), F.concat(F.lit(f"{kind}."), name).alias("name"), F.lit(kind).alias("kind"), "start", "end_seq", "end", error.alias("error"), meta.alias("meta"), "closing")
+
+    thoughts = events.where("type = 'thought'").groupBy("trace_id", F.col("open_step").alias("start_seq")).agg(F.max_by(F.left("thought", F.lit(THOUGHT_CHARS)), "seq").alias("thought"))
+    step = steps(events).join(thoughts, ["trace_id", "start_seq"], "left").withColumn("closing", F.lit(None).cast(events.schema["closing"].dataType))
+    rows = (
+        shape(step, "step", F.col("step").cast("string"), none, _map("thought", "thought"))
+        .unionByName(shape(tools(events), "tool", F.col("tool"), F.nullif("error", F.lit("")), _map("result", "result"), F.col("sub").cast("string")))
+        .unionByName(shape(confirms(events), "confirm", F.coalesce("tool", F.lit("?")), none, _map("approved", "approved")))
+    )
+    left = F.col("closing").isNotNull() & (F.col("end_seq").isNull() | (F.col("end_seq") > F.col("closing.seq")))
     status = F.when(left, "abandoned").when(F.col("error").isNotNull(), "error").when(F.col("end_seq").isNull(), "running").otherwise("ok")
-    rows = rows.withColumns({"status": status, "error": F.when(left, ABANDONED).otherwise(F.col("error")), "end": F.when(left, F.col("f.ts")).otherwise(F.col("end"))})
-    root = base.select("trace_id", F.lit("root").alias("span_id"), none.alias("parent"), F.lit("trace").alias("name"), F.lit("root").alias("kind"), "start", "end", "status", "error", F.when(F.col("stop_reason").isNotNull(), F.create_map(F.lit("stop_reason"), "stop_reason")).alias("meta"))
+    rows = rows.withColumns({"status": status, "error": F.when(left, ABANDONED).otherwise(F.col("error")), "end": F.when(left, F.col("closing.ts")).otherwise(F.col("end"))})
+    root = roots(events).select("trace_id", F.lit("root").alias("span_id"), none.alias("parent"), F.lit("trace").alias("name"), F.lit("root").alias("kind"), "start", "end", "status", "error", _map("stop_reason", "stop_reason").alias("meta"))
     out = rows.select(*root.columns).unionByName(root)
     return out.withColumn("dur_ms", F.round((F.col("end") - F.col("start")) * 1000, 3))
 

@@ -101,18 +101,18 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, expect_chunk, lang): the lowest document that holds the item's text word for word. The item's
-    first words are looked up in the documents by an equi-join, and only those pairs are compared."""
+    """(qid, expect_chunk, lang): the lowest document that holds the item's text word for word. Items of fewer
+    than 24 characters are left out."""
     docs = corpus(spark, sf_dir).where("text is not null")
-    items = table(spark, sf_dir, "benchmark").where("length(text) >= 24").select("item_id", F.col("text").alias("item"), F.left("text", F.lit(24)).alias("head"))
-    held = _heads(docs, items)
+    items = table(spark, sf_dir, "benchmark").where("length(text) >= 24").select("item_id", F.col("text").alias("item"))
+    held = _holders(docs, items)
     found = held.groupBy("item_id").agg(F.min(F.struct("doc_id", "lang")).alias("d"))
     return found.select(F.col("item_id").alias("qid"), F.col("d.doc_id").alias("expect_chunk"), F.col("d.lang").alias("lang"))
 
 
-def _heads(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs of an item and a document that holds it, by the item's first search token as an equi-join key
-    where it is rare: the rarest of its terms among the documents is looked up."""
+def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of an item and a document that holds it. Only documents with the item's rarest search token are
+    compared, found by an equi-join."""
     terms = bm25.term_counts(docs).select("doc_id", "term")
     wanted = bm25.term_counts(items.withColumnRenamed("item", "text"), "item_id").select("item_id", "term")
     held = terms.join(wanted.select("term").distinct(), "term")
