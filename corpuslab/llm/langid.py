@@ -42,68 +42,66 @@ class Model:
 
     def __init__(self, languages: list[str], prior: list[float], words: dict[str, list[int]], grams: dict[str, list[int]]):
         self.languages, self.prior = languages, np.log(np.array(prior, float) + 1.0) if languages else np.zeros(0)
-        self.words, self.grams = self._logs(words), {}
-        for n in ORDERS:
-            self.grams |= self._logs({g: c for g, c in grams.items() if len(g) == n})
+        self.words, self.word_logs = list(words), self._logs(words)
+        parts = [{g: c for g, c in grams.items() if len(g) == n} for n in ORDERS]
+        self.grams = {g: i for i, g in enumerate(g for part in parts for g in part)}
+        self.gram_logs = np.concatenate([*map(self._logs, parts), np.zeros((1, len(languages)))])
         self.index: dict[str, int] = {}
 
-    def _logs(self, counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        table = np.array(list(counts.values()), float)
-        logs = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * len(table))
-        return dict(zip(counts, logs))
+    def _logs(self, counts: dict[str, list[int]]) -> np.ndarray:
+        table = np.array(list(counts.values()), float).reshape(len(counts), len(self.languages))
+        return np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * len(table)) if counts else table
 
-    def _start(self) -> None:
+    def _start(self, room: int) -> None:
+        """Known words only, with room for unseen ones."""
         self.index = {w: i for i, w in enumerate(self.words)}
-        self.logs = np.zeros((len(self.words) + REMEMBERED, len(self.languages)))
-        if self.words:
-            self.logs[: len(self.words)] = np.array(list(self.words.values()))
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest n-grams of a word that are known; even if none is."""
-        framed = f" {word} "
-        for n in ORDERS:
-            known = [g for i in range(len(framed) - n + 1) if (g := self.grams.get(framed[i : i + n])) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
+        self.logs = np.concatenate([self.word_logs, np.zeros((room, len(self.languages)))])
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean log frequencies of its longest n-grams that are known; even if none is."""
+        rows, counts, get, none = [], [], self.grams.get, len(self.grams)
+        for word in words:
+            framed = f" {word} "
+            for n in ORDERS:
+                known = [r for i in range(len(framed) - n + 1) if (r := get(framed[i : i + n])) is not None]
+                if known:
+                    break
+            known = known or [none]
+            rows += known
+            counts.append(len(known))
+        counts = np.array(counts)
+        return np.add.reduceat(self.gram_logs[rows], np.cumsum(counts) - counts, axis=0) / counts[:, None]
+
+    def _learn(self, words: set[str]) -> None:
+        """Rows of ``logs`` for all of ``words``; if there is no room, earlier unseen words are forgotten."""
+        new = words.difference(self.index)
+        if not self.index or len(self.index) + len(new) > len(self.logs):
+            self._start(max(REMEMBERED, len(words)))
+            new = words.difference(self.index)
+        new = list(new)
+        for at in range(0, len(new), 20_000):
+            some, row = new[at : at + 20_000], len(self.index)
+            self.logs[row : row + len(some)] = self.unseen(some)
+            self.index.update(zip(some, range(row, row + len(some))))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text. The language has the largest sum of log frequencies over
         all words, the prior added once; the score is its mean share over the words, each word's
         shares adding to 1. Ties: the first label in order."""
-        if not self.index:
-            self._start()
+        texts = [words_of(text) for text in texts]
+        if self.languages:
+            self._learn({w for words in texts for w in words})
         out = []
-        for text in texts:
-            words = words_of(text)
+        for words in texts:
             if not words or not self.languages:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            logs = self._logs_of(words)
+            logs = self.logs[list(map(self.index.__getitem__, words))]
             best = int(np.argmax(logs.sum(axis=0) + self.prior))
             share = np.exp(logs - logs.max(axis=1, keepdims=True))
             out.append((self.languages[best], float(np.mean(share[:, best] / share.sum(axis=1)))))
         return out
 
-    def _logs_of(self, words: list[str]) -> np.ndarray:
-        """Log frequencies of each word, a row each."""
-        at = list(map(self.index.get, words))
-        if None not in at:
-            return self.logs[at]
-        new = set(words).difference(self.index)
-        if len(self.index) + len(new) > len(self.logs):
-            self._start()
-            new = set(words).difference(self.index)
-        if len(new) > REMEMBERED:  # one text with more unseen words than are remembered
-            return np.array([self.logs[i] if (i := self.index.get(w)) is not None else self.unseen(w) for w in words])
-        for w in new:
-            row = len(self.index)
-            self.logs[row] = self.unseen(w)
-            self.index[w] = row
-        return self.logs[list(map(self.index.get, words))]
-
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of (doc_id, text, lang). Rows with a null text or language teach nothing.
