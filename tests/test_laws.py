@@ -170,10 +170,12 @@ def test_prices(spark):
     units = {r["model"]: r for r in cost.unit_prices(cost.prices(spark), True).collect()}
     assert units["deepseek-flash"]["input_cny"] == 2.13 and units["qwen-plus"]["cached_cny"] is None and units["glm-4.7-flash"]["out_in_ratio"] is None
     plans = spark.createDataFrame([("deepseek-flash", 1000, 100, 10, False), ("qwen-plus", 1000, 100, 10, False), ("deepseek-flash", 63, 100, 10, False)], "model string, prefix long, dynamic long, calls long, peak boolean")
-    rows = cost.breakeven(plans).collect()
-    assert [r["eligible"] for r in rows] == [True, False, False] and rows[0]["saved_cny"] > 0 and rows[1]["saved_cny"] == 0
-    needed = cost.calls_to_save(spark.createDataFrame([("deepseek-flash", 1000, 1.0, False), ("qwen-plus", 1000, 1.0, False), ("glm-4.7-flash", 1000, 1.0, False)], "model string, prefix long, target double, peak boolean")).collect()
-    assert [r["feasible"] for r in needed] == [True, False, False] and needed[0]["calls_needed"] == 959 and needed[1]["calls_needed"] is None
+    rows = {(r["model"], r["prefix"]): r for r in cost.breakeven(plans).collect()}
+    assert {k: r["eligible"] for k, r in rows.items()} == {("deepseek-flash", 1000): True, ("qwen-plus", 1000): False, ("deepseek-flash", 63): False}
+    assert rows["deepseek-flash", 1000]["saved_cny"] > 0 and rows["qwen-plus", 1000]["saved_cny"] == 0
+    needed = {r["model"]: r for r in cost.calls_to_save(spark.createDataFrame([("deepseek-flash", 1000, 1.0, False), ("qwen-plus", 1000, 1.0, False), ("glm-4.7-flash", 1000, 1.0, False)], "model string, prefix long, target double, peak boolean")).collect()}
+    assert {m: r["feasible"] for m, r in needed.items()} == {"deepseek-flash": True, "qwen-plus": False, "glm-4.7-flash": False}
+    assert needed["deepseek-flash"]["calls_needed"] == 959 and needed["qwen-plus"]["calls_needed"] is None
 
 
 EVENT = "trace_id long, seq long, ts double, type string, step int, tool string, tools array<string>, confirm_id string, approved boolean, result string, error string, reason string, thought string, answer string"
