@@ -34,6 +34,13 @@ def tokens(text: Column) -> Column:
     return F.concat(words, F.flatten(runs))
 
 
+def token_count(text: Column) -> Column:
+    """How many search tokens a text has, without making them: n CJK characters in r runs give 2n - r."""
+    text = F.coalesce(text, F.lit(""))
+    words, characters, runs = (F.regexp_count(text, F.lit(p)) for p in (WORD, CJK.rstrip("+"), CJK))
+    return (words + 2 * characters - runs).cast("long")
+
+
 def estimated_tokens(text: Column) -> Column:
     """0.6 for each Han character and 1.3 for each ASCII word, rounded down."""
     han, words = F.size(matches(text, HAN)), F.size(matches(text, "[A-Za-z]+"))

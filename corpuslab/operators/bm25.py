@@ -1,24 +1,40 @@
 """BM25 over a corpus, without a shuffle by term of the corpus.
 
 Only terms that queries hold are taken from the texts, so a shuffle carries one row per document and
-query term; document frequencies and lengths are sums. Queries of any number work: the terms are an
-ordinary join side, which Spark broadcasts where its measured size allows."""
+query term; document frequencies and lengths are sums. The queries' terms are measured first: up to
+BROADCAST_BYTES they go to the tasks, beyond it both sides are shuffled by term. The exploded corpus is
+never broadcast, however small Spark takes its files to be."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import tokens
+from corpuslab.functions.text import token_count, tokens
 
 K1, B = 1.5, 0.75
 #: Scores are compared after rounding, so that the order of a sum decides no tie.
 DIGITS = 6
+#: Measured size of the queries' distinct terms up to which they are broadcast, and what one term takes besides its bytes.
+BROADCAST_BYTES, TERM_BYTES = 32 << 20, 64
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, f) of every document."""
-    return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("f"))
+    terms = docs.select(id_col, F.explode_outer(tokens(F.col(text_col))).alias("term")).where("term is not null")
+    return terms.groupBy(id_col, "term").agg(F.count("*").alias("f"))
+
+
+def held_terms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, dl, term) with repeats: the tokens of every document that ``wanted`` (term) holds, and how
+    many tokens it has in all.
+
+    ``explode_outer`` keeps Spark from tokenising every text once more to test for emptiness."""
+    terms = wanted.select("term").distinct()
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + TERM_BYTES), F.lit(0))).first()[0]
+    side = F.broadcast(terms) if size <= BROADCAST_BYTES else terms.hint("merge")
+    tokenised = docs.select("doc_id", tokens(F.col("text")).alias("terms"))
+    return tokenised.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).join(side, "term")
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:
@@ -28,12 +44,13 @@ def query_terms(queries: DataFrame, qid: str = "qid", text: str = "question") ->
 
 def lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, dl) of every document."""
-    return docs.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
+    return docs.select("doc_id", token_count(F.col("text")).alias("dl"))
 
 
 def index_stats(docs: DataFrame) -> DataFrame:
     """(term, df, idf) of the corpus: idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    counts = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = docs.select(F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).where("term is not null")
+    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
     return counts.crossJoin(docs.agg(F.count("*").alias("n"))).select("term", "df", _idf().alias("idf"))
 
 
@@ -45,11 +62,10 @@ def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     """(qid, doc_id, score) of all pairs that share a term: the sum of idf * f (k1 + 1) / (f + k1 (1 - b +
     b dl / avgdl)), weighted by how often the query has the term. All rows of ``docs`` are the corpus."""
     wanted = query_terms(queries)
-    tokenised = docs.select("doc_id", tokens(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("dl"), "terms")
-    about = tokenised.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    held = tokenised.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term")
-    tf = held.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("f"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(about).select("term", _idf().alias("idf"), "avgdl")
+    about = docs.agg(F.count("*").alias("n"), F.avg(token_count(F.col("text"))).alias("avgdl"))
+    tf = held_terms(docs, wanted).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("f"))
+    df = F.count_if(F.col("f") > 0)  # all rows; naming f keeps both uses of tf one plan, whose shuffle Spark reuses
+    idf = tf.groupBy("term").agg(df.alias("df")).crossJoin(about).select("term", _idf().alias("idf"), "avgdl")
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("qf")
     pairs = tf.join(wanted.join(idf, "term"), "term").select("qid", "doc_id", part.alias("part"))
     return pairs.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))

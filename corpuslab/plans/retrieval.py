@@ -113,9 +113,8 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs of an item and a document that holds it. Only documents with the item's rarest search token are
     compared, found by an equi-join."""
-    terms = bm25.term_counts(docs).select("doc_id", "term")
     wanted = bm25.term_counts(items.withColumnRenamed("item", "text"), "item_id").select("item_id", "term")
-    held = terms.join(wanted.select("term").distinct(), "term")
+    held = bm25.held_terms(docs, wanted).select("doc_id", "term").distinct()
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rarest = wanted.join(df, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     pairs = held.join(rarest, "term").select("item_id", "doc_id").distinct()

@@ -260,3 +260,18 @@ def test_the_rest_does_not_import_the_training_data_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "corpuslab.llm" not in path.read_text(encoding="utf-8")
+
+
+def test_token_count_is_the_number_of_tokens(spark):
+    texts = ["", None, "a b-c. x/", "限流 429，重试", "模", "模型a型，重 试b", "./:-_", "  \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(text.token_count(F.col("t")) != F.size(text.tokens(F.col("t")))).count() == 0
+
+
+def test_bm25_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, ""), (4, None), (2, "b c")], "doc_id long, text string")
+    queries = spark.createDataFrame([("q", "b b a"), ("r", "c z"), ("s", None)], "qid string, question string")
+    near = sorted(map(tuple, bm25.topk(docs, queries).collect()))
+    monkeypatch.setattr(bm25, "BROADCAST_BYTES", -1)
+    far = bm25.topk(docs, queries)
+    assert sorted(map(tuple, far.collect())) == near and near
