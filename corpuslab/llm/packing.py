@@ -61,16 +61,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", capacities: tuple[int, ...] =
 
     Lengths are white-space-separated words of ``text``. A text longer than the largest permitted
     length is cut into pieces of that length and a rest; a text without words is one piece of length
-    0 in no bin (bin_id and offset null, capacity 0). Pieces are dealt at random, by hash, into groups
-    of about ``group_pieces``, so a task never holds more and a long or hot document spreads over
-    groups; each group is packed on its own, which leaves a few unfilled bins a group. Repeated rows
+    0 in no bin (bin_id and offset null, capacity 0). A piece of the largest length fills a bin of its
+    own, of negative bin_id, and is not shuffled. What is left, one piece of a text at most, is dealt at
+    random, by hash, into groups of about ``group_pieces``, so a task never holds more however long the
+    texts are; each group is packed on its own, which leaves a few unfilled bins a group. Repeated rows
     are packed each. An empty table gives no rows. Only ids and lengths are shuffled."""
     most = max(capacities)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S++")).cast("long").alias("n"))
     pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0).cast("long")))).alias("piece"))
     pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * most).alias("start_word"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("n_words"))
     groups = max(1, -(-docs.count() // group_pieces))
-    dealt = pieces.where("n_words > 0").withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(groups)))
+    dealt = pieces.where(f"n_words > 0 and n_words < {most}").withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(groups)))
+    own_bin = F.when(F.col("n_words") > 0, -1 - F.monotonically_increasing_id())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -82,5 +84,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", capacities: tuple[int, ...] =
         return rows
 
     schema = PACKED.format(id=kind)
-    empty = pieces.where("n_words = 0").selectExpr("doc_id", "piece", "start_word", "n_words", "cast(null as long) bin_id", "0 capacity", "cast(null as int) offset")
-    return dealt.groupBy("__group").applyInPandas(packed, schema).unionByName(empty)
+    alone = pieces.where(f"n_words = 0 or n_words = {most}").withColumn("bin_id", own_bin)
+    alone = alone.selectExpr("*", f"if(n_words > 0, {most}, 0) as capacity", "if(n_words > 0, 0, null) as offset")
+    return dealt.groupBy("__group").applyInPandas(packed, schema).unionByName(alone)

@@ -207,6 +207,8 @@ def test_packing(spark, docs, texts):
             at += r["n_words"]
         caps = [c for c in (64, 128, 256, 512) if c >= at]
         assert {r["capacity"] for r in rows} == {caps[0]}  # downsized to the contents
+    full = [r for r in got if r["n_words"] == 512]
+    assert full and len({r["bin_id"] for r in full}) == len(full) and all(r["bin_id"] < 0 and (r["capacity"], r["offset"]) == (512, 0) for r in full)
     assert packing.pack(empty(spark)).count() == 0
 
 
