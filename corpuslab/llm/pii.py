@@ -126,6 +126,7 @@ def _pattern_scores(edges: DataFrame) -> DataFrame:
 
 
 def _row_key(df: DataFrame) -> Column:
+    """Tells the rows of one doc_id apart; joins use it with doc_id, so 64 bits do at any size."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
@@ -141,14 +142,16 @@ def find(docs: DataFrame) -> DataFrame:
     tokens = F.transform(
         "tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), t["pattern"].alias("pattern"), F.get(inside(t), F.lit(0))["kind_no"].alias("kind_no"))
     )
-    rows = found.where(F.size("tokens") > 0).select("row_key", F.explode(tokens).alias("t")).select("row_key", "t.*")
+    rows = found.where(F.size("tokens") > 0).select("doc_id", "row_key", F.explode(tokens).alias("t")).select("doc_id", "row_key", "t.*")
     edges = rows.groupBy("pattern", "instance").agg(F.max("kind_no").alias("kind_no"))
     patterns = _pattern_scores(edges)
     fresh = rows.where("kind_no is null").join(checkpoint(patterns.withColumnRenamed("kind_no", "as_kind")), "pattern")
     span = F.struct("start", F.col("as_kind").alias("kind_no"), "end")
-    added = fresh.select("row_key", span.alias("span")).distinct().groupBy("row_key").agg(F.collect_list("span").alias("added"))
+    added = fresh.select("doc_id", "row_key", span.alias("span")).distinct().groupBy("doc_id", "row_key").agg(F.collect_list("span").alias("added"))
+    added = checkpoint(added.select(F.col("doc_id").alias("added_id"), F.col("row_key").alias("added_key"), "added"))
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))))
-    return found.join(checkpoint(added), "row_key", "left").select("doc_id", "row_key", "base", spans.alias("spans"))
+    same = (F.col("row_key") == F.col("added_key")) & F.col("doc_id").eqNullSafe(F.col("added_id"))
+    return found.join(added, same, "left").select("doc_id", "row_key", "base", spans.alias("spans"))
 
 
 def _listed(spans: Column | str) -> Column:
@@ -165,7 +168,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets, overlapping spans as
     one; n_chars, where present, is counted anew. All rows and columns stay."""
-    spans = find(docs).where(F.size("spans") > 0).select("row_key", F.col("spans").alias("__spans")).dropDuplicates(["row_key"])
+    spans = find(docs).where(F.size("spans") > 0).select(F.col("row_key").alias("__found_key"), F.col("doc_id").alias("__found_id"), F.col("spans").alias("__spans"))
+    spans = spans.dropDuplicates(["__found_key", "__found_id"])
     empty = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
 
     def merge(a: Column, s: Column) -> Column:
@@ -173,7 +177,8 @@ def redact(docs: DataFrame) -> DataFrame:
         wider = F.struct(last["start"].alias("start"), last["kind_no"].alias("kind_no"), F.greatest(last["end"], s["end"]).alias("end"))
         return F.when((F.size(a) > 0) & (s["start"] < last["end"]), F.array_append(F.slice(a, 1, F.size(a) - 1), wider)).otherwise(F.array_append(a, s))
 
-    joined = docs.withColumn("__key", _row_key(docs)).join(spans.withColumnRenamed("row_key", "__key"), "__key", "left")
+    same = (F.col("__key") == F.col("__found_key")) & F.col("doc_id").eqNullSafe(F.col("__found_id"))
+    joined = docs.withColumn("__key", _row_key(docs)).join(spans, same, "left")
     joined = joined.withColumn("__spans", F.aggregate("__spans", empty, merge))
     names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
     to = lambda i: F.coalesce(F.get("__spans", i)["start"], F.length("text"))
