@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.common import stored
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Cost of a sequence of n tokens: FIXED + n + n**2 / ATTENTION.
 FIXED, ATTENTION = 32.0, 16384.0
@@ -65,12 +67,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", capacities: tuple[int, ...] =
     own, of negative bin_id, and is not shuffled. What is left, one piece of a text at most, is dealt at
     random, by hash, into groups of about ``group_pieces``, so a task never holds more however long the
     texts are; each group is packed on its own, which leaves a few unfilled bins a group. Repeated rows
-    are packed each. An empty table gives no rows. Only ids and lengths are shuffled."""
+    are packed each. An empty table gives no rows. The texts are read once, for a table of ids and
+    lengths in the checkpoint folder; all else works on that."""
     most = max(capacities)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S++")).cast("long").alias("n"))
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S++")).cast("long").alias("n")))
     pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0).cast("long")))).alias("piece"))
     pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * most).alias("start_word"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("n_words"))
-    groups = max(1, -(-docs.count() // group_pieces))
+    groups = max(1, -(-rows.count() // group_pieces))
     dealt = pieces.where(f"n_words > 0 and n_words < {most}").withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(groups)))
     own_bin = F.when(F.col("n_words") > 0, -1 - F.monotonically_increasing_id())
     kind = docs.schema[id_col].dataType.simpleString()
