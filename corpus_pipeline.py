@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import decontaminate, langid, packing, pii, simhash
+from corpuslab.llm import decontaminate, jaccard, langid, packing, pii
 from corpuslab.llm.common import stored
 
 
@@ -15,8 +15,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document, that of the smallest doc_id, of each group of near-duplicates: Jaccard similarity of
+    0.8 or more on 5-word shingles."""
+    return jaccard.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

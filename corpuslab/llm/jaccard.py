@@ -1,0 +1,144 @@
+"""Near copies by word shingles: MinHash bands propose groups, exact Jaccard similarity of the shingle sets decides."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpuslab.llm.common import bound_batches, connected_components, stored, tiles
+from corpuslab.llm.simhash import components, one_of_each
+
+SHINGLE_WORDS, SEED = 5, 42
+#: Least similarity of a link, as a fraction: sizes and overlaps are compared in whole numbers.
+NUMERATOR, DENOMINATOR = 4, 5
+#: Two sets at the least similarity share no band with chance (1 - 0.8 ** 4) ** 32 < 5e-8; closer ones with less.
+BANDS, BAND_ROWS = 32, 4
+#: Texts and shingles of one candidate group that one task compares at a time, twice over.
+CHUNK_ROWS, CHUNK_SHINGLES = 1024, 2**19
+TILE_ROWS = 64
+_RNG = np.random.default_rng(SEED)
+PLACES, BAND_KEYS, MULTIPLIERS = (_RNG.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (SHINGLE_WORDS, BAND_ROWS, BANDS * BAND_ROWS))
+MASKS, BAND_SALTS = (_RNG.integers(0, 2**64, n, dtype=np.uint64) for n in (BANDS * BAND_ROWS, BANDS))
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    return (x ^ (x >> np.uint64(29))) * MIX ^ (x >> np.uint64(32))
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's 5-word shingles: A-Z lower-cased, words parted by ASCII
+    white space. A shorter text is one shingle of all its words; one without words is one empty shingle."""
+    words = (text or b"").lower().split()
+    n = len(words) - SHINGLE_WORDS + 1
+    if n < 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    joined = np.zeros(n, np.uint64)
+    for k in range(SHINGLE_WORDS):
+        joined += hashes[k : k + n] * PLACES[k]
+    return np.unique(_mixed(joined))
+
+
+def sketch(text: bytes | None) -> tuple[int, int, list[int]]:
+    """A 64-bit hash of a text's shingle set, the set's size, and a hash for each band of its MinHash signature."""
+    own = shingles(text)
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(own), 2048):
+        np.minimum(least, ((own[at : at + 2048, None] ^ MASKS) * MULTIPLIERS).min(axis=0), out=least)
+    bands = _mixed((least.reshape(BANDS, BAND_ROWS) * BAND_KEYS).sum(axis=1, dtype=np.uint64) ^ BAND_SALTS)
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63, len(own), bands.view(np.int64).tolist()
+
+
+def _sketched(text: Column) -> Column:
+    kind = pa.struct([("fp", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<fp:bigint,n:bigint,bands:array<bigint>>")
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array([dict(zip(("fp", "n", "bands"), sketch(t))) for t in texts.to_pylist()], kind)
+
+    return made(F.encode(text, "UTF-8"))
+
+
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, the least place of its component among links of Jaccard similarity NUMERATOR /
+    DENOMINATOR or more. A set leaves once all sets of fitting size are in its component."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    label, mark = np.arange(len(sets)), np.zeros(len(values), bool)
+    for i in range(len(sets) - 1):
+        later = sizes[i + 1 :]
+        fit = (np.minimum(later, sizes[i]) * DENOMINATOR >= np.maximum(later, sizes[i]) * NUMERATOR) & (label[i + 1 :] != label[i])
+        if not fit.any():
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+        mark[own] = False
+        js = i + 1 + np.flatnonzero(fit & (common * DENOMINATOR >= NUMERATOR * (later + sizes[i] - common)))
+        if len(js):
+            joined = np.unique(np.append(label[js], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links as (member, root) of each block's own components. Rows: group, lo, hi, fp, text."""
+    for table, number in tiles(batches, ["group", "lo", "hi"], TILE_ROWS):
+        fps, texts = table["fp"].to_numpy(), table["text"].to_pylist()
+        for own in np.split(np.arange(len(fps)), np.flatnonzero(np.diff(number)) + 1):
+            label = similar([shingles(texts[i]) for i in own])
+            moved = np.flatnonzero(label != np.arange(len(own)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[own[moved]]), pa.array(fps[own[label[moved]]])], names=["src", "dst"])
+
+
+def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (src, dst) among the shingle sets of docs (key, text), whose sketches (key, fp, n, bands) are given:
+    they join the same components as all pairs do that share a band's chain and have the least similarity.
+
+    All sets of one band are linked to the least of them by map-side minima, which gives candidate groups
+    and no pairs. One text of each set is fetched, a group is cut by hash into chunks, and every two
+    chunks are compared in a task of their own, so neither a hot group nor its pairs gather anywhere."""
+    banded = sketches.select("fp", F.explode("bands").alias("band")).distinct()
+    least = banded.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("band", "low")
+    groups = connected_components(banded.join(least, "band").select(F.col("fp").alias("src"), F.col("low").alias("dst")))
+    one = sketches.groupBy("fp").agg(F.min("key").alias("key"), F.min("n").alias("n")).join(groups.withColumnRenamed("node", "fp"), "fp")
+    one = stored(one.withColumnRenamed("root", "group"))
+    sizes = one.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+    placed = stored(one.join(sizes, "group").select("key", "fp", "group", "chunks", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk")))
+    texts = docs.groupBy("key").agg(F.min("text").alias("text")).join(placed.select("key"), "key", "left_semi")
+    dealt = (
+        placed.select("key", "fp", "group", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+        .select("key", "fp", "group", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+        .join(stored(texts), "key")
+    )
+    blocks = dealt.select("group", "lo", "hi", "fp", F.encode("text", "UTF-8").alias("text")).repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+    return blocks.mapInArrow(_compare, "src long, dst long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text) and component_id of every document of (doc_id, text).
+
+    Documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked; a component_id is
+    the smallest doc_id that is reachable. Similarities are exact up to a collision of 64-bit hashes; a pair at 0.8
+    is never compared with a chance below 5e-8. Null and wordless texts are equal."""
+    bound_batches(docs.sparkSession)
+    text = F.col("text")
+    rows = stored(docs.select("doc_id", F.xxhash64("text").alias("key"), _sketched(text).alias("s")).select("doc_id", "key", "s.*"))
+    found = links(docs.select(F.xxhash64("text").alias("key"), "text"), rows)
+    return components(rows.select("doc_id", "key", "fp"), "doc_id", found)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents that stay when one of each component of near copies, that of the smallest doc_id, is
+    kept, with all their columns, by the rules of ``simhash.keep_one``."""
+    return one_of_each(docs, near_copies(docs))

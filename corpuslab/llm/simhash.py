@@ -137,13 +137,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return blocks.mapInArrow(_compare, "src long, dst long")
 
 
-def components(rows: DataFrame, id_col: str) -> DataFrame:
-    """``rows`` (``id_col``, fp) with component_id: the smallest id whose fingerprint is reachable.
+def components(rows: DataFrame, id_col: str, found: DataFrame | None = None) -> DataFrame:
+    """``rows`` (``id_col``, fp) with component_id: the smallest id whose fingerprint is reachable over
+    ``found`` (src, dst), or else over links() of the fingerprints.
 
     Equal fingerprints are one node, so copies cost nothing; the row-to-node join is a plain
     equi-join that Spark can split where a fingerprint is hot."""
     distinct = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    grouped = connected_components(links(distinct))
+    grouped = connected_components(links(distinct) if found is None else found)
     members = grouped.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
@@ -170,8 +171,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay when one of each component, that of the smallest doc_id, is kept, with
     all their columns. Of rows equal in doc_id and text one stays, so a doc_id given to different
     texts is judged by each. Documents without a doc_id stay where a whole component has none."""
-    key = F.xxhash64("text").alias("__key")
-    kept = _grouped(docs, key).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__kept")).distinct()
-    docs = docs.withColumn("__key", key)
+    return one_of_each(docs, _grouped(docs, F.xxhash64("text").alias("key")))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The documents whose doc_id is the component_id of ``grouped`` (doc_id, key: xxhash64 of the text, component_id)."""
+    kept = grouped.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept")).distinct()
+    docs = docs.withColumn("__key", F.xxhash64("text"))
     same = (docs["__key"] == kept["__kept"]) & docs["doc_id"].eqNullSafe(kept["__id"])
     return docs.join(kept, same, "left_semi").dropDuplicates(["__key", "doc_id"]).drop("__key")

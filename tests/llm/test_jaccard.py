@@ -1,0 +1,62 @@
+"""Near copies on 5-word shingles against brute force."""
+
+import random
+
+import pytest
+
+from corpuslab.llm import jaccard, simhash
+
+RNG = random.Random(11)
+
+
+def prose(n):
+    return [f"w{RNG.randrange(10**6)}" for _ in range(n)]
+
+
+def edited(words, changes):
+    out = list(words)
+    for at in RNG.sample(range(len(out)), changes):
+        out[at] = f"e{RNG.randrange(10**6)}"
+    return out
+
+
+def by_force(texts):
+    def cut(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, label = [cut(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("chunk", [1024, 4])
+def test_near_copies_of_many_kinds(spark, monkeypatch, chunk):
+    """Copies with few and many edits, chains, short and empty texts, in one chunk and in many."""
+    monkeypatch.setattr(jaccard, "CHUNK_ROWS", chunk)
+    texts = [None, "", "  \n", "a b c", "A  b c", "a b d", "a b c d e f"]
+    for n in (30, 120, 400):
+        base = prose(n)
+        texts += [" ".join(base), " ".join(base).upper(), *(" ".join(edited(base, max(1, n * k // 200))) for k in (1, 2, 3, 4, 5, 8, 12))]
+    link = prose(200)
+    for _ in range(12):
+        texts.append(" ".join(link))
+        link = edited(link, 3)
+    texts += [" ".join(prose(60)) for _ in range(10)]
+    want = by_force(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < len(texts)
+
+
+def test_stage_drops_near_copies_beyond_three_bits(spark):
+    import corpus_pipeline
+
+    base = prose(300)
+    near = next(t for t in (edited(base, 5) for _ in range(100)) if (simhash.simhash(" ".join(base).encode()) ^ simhash.simhash(" ".join(t).encode())) % 2**64 and bin((simhash.simhash(" ".join(base).encode()) ^ simhash.simhash(" ".join(t).encode())) % 2**64).count("1") > 3)
+    rows = [(1, " ".join(base), "x"), (2, " ".join(near), "y"), (3, " ".join(prose(300)), "z"), (3, " ".join(base), "again"), (None, "a b", "n")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert sorted((r["doc_id"] or 0, r["source"]) for r in kept.collect()) == [(0, "n"), (1, "x"), (3, "z")]
