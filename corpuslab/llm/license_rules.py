@@ -1,7 +1,7 @@
 """Hand-written licence signatures, in order of priority.
 
 They are read on normalised text: lower-case words of letters and digits parted by single spaces.
-Each line: label, keyword that gates the rule, regular expression. The strength of a rule's section
+Each line: label, keyword that gates the rule (the start of words that every match holds), regular expression. The strength of a rule's section
 says how sure one match makes the reader. Earlier rules suppress later ones inside their interval."""
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ bsd-3-clause | endorse or promote | the names? of (?:\w+ ){1,12}may not be used
 bsd-2-clause | redistributions | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 bsd-2-clause | redistributions | redistributions in binary form must reproduce the above copyright notice
 bsd-2-clause | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
-bsd-2-clause-patent | patent | subject to the terms and conditions of this license each copyright holder and contributor hereby grants
-apache-2.0 | apache license | terms and conditions for use reproduction and distribution 1 definitions
+bsd-2-clause-patent | each copyright holder and contributor | subject to the terms and conditions of this license each copyright holder and contributor hereby grants
+apache-2.0 | reproduction and distribution 1 definitions | terms and conditions for use reproduction and distribution 1 definitions
 apache-2.0 | unless required by applicable law | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
 apache-2.0 | grant of copyright license | grant of copyright license subject to the terms and conditions of this license each contributor hereby grants
 apache-2.0 | grant of patent license | grant of patent license subject to the terms and conditions of this license each contributor hereby grants
@@ -50,45 +50,45 @@ epl-2.0 | eclipse public license | this program and the accompanying materials a
 epl | eclipse public license | this program and the accompanying materials are made available under the terms of the eclipse public license
 cpl-1.0 | common public license | the accompanying program is provided under the terms of this common public license
 ipl-1.0 | ibm public license | the accompanying program is provided under the terms of this ibm public license
-eupl-1.2 | european union public | licensed under the eupl version 1 2
-eupl-1.1 | european union public | licensed under the eupl version 1 1
+eupl-1.2 | eupl version 1 | licensed under the eupl version 1 2
+eupl-1.1 | eupl version 1 | licensed under the eupl version 1 1
 zlib | misrepresented | the origin of this software must not be misrepresented you must not claim that you wrote the original software
 zlib | misrepresented | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 libpng | png reference library | the png reference library is supplied as is
-bsl-1.0 | boost software license | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+bsl-1.0 | any person or organization obtaining | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
 unlicense | public domain | this is free and unencumbered software released into the public domain
-unlicense | public domain | anyone is free to copy modify publish use compile sell or distribute this software
-cc0-1.0 | no copyright | the person who associated a work with this deed has dedicated the work to the public domain
-cc0-1.0 | related rights | affirmer hereby overtly fully permanently irrevocably and unconditionally waives
+unlicense | anyone is free to copy | anyone is free to copy modify publish use compile sell or distribute this software
+cc0-1.0 | dedicated the work | the person who associated a work with this deed has dedicated the work to the public domain
+cc0-1.0 | affirmer hereby | affirmer hereby overtly fully permanently irrevocably and unconditionally waives
 wtfpl | what the | you just do what the \w+ you want to
 wtfpl | everyone is permitted | everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed
 fsf-notice | everyone is permitted | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
-artistic-1.0 | artistic | the intent of this document is to state the conditions under which a package may be copied
-artistic-2.0 | artistic | this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed
+artistic-1.0 | intent of this document | the intent of this document is to state the conditions under which a package may be copied
+artistic-2.0 | given free software package | this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed
 ofl-1.1 | font software | permission is hereby granted free of charge to any person obtaining a copy of the font software
 python-2.0 | python software foundation | python software foundation license version 2
-python-2.0 | python software foundation | psf hereby grants licensee a nonexclusive royalty free world wide license
+python-2.0 | psf hereby grants | psf hereby grants licensee a nonexclusive royalty free world wide license
 openssl | openssl | this product includes software developed by the openssl project for use in the openssl toolkit
 ssleay | eric young | this product includes cryptographic software written by eric young
 curl | permission to use copy modify | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
 icu | unicode | permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
 php-3.01 | php | this product includes php software freely available from
-ruby | ruby | you may make and give away verbatim copies of the source form of the software without restriction
+ruby | verbatim copies of the source form | you may make and give away verbatim copies of the source form of the software without restriction
 vim | vim | there are no restrictions on distributing unmodified copies of vim
-w3c | w3c | by obtaining using and or copying this work you the licensee agree
+w3c | by obtaining using and or copying | by obtaining using and or copying this work you the licensee agree
 afl-3.0 | academic free license | licensed under the academic free license version 3 0
 osl-3.0 | open software license | licensed under the open software license version 3 0
 ms-pl | license governs use | this license governs use of the accompanying software if you use the software you accept this license
 beerware | beer | you can buy me a beer in return
 json | good not evil | the software shall be used for good not evil
 postgresql | documentation for any purpose | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
-nasa-1.3 | nasa open source | this open source agreement agreement defines the rights of use
+nasa-1.3 | open source agreement agreement | this open source agreement agreement defines the rights of use
 upl-1.0 | universal permissive | the universal permissive license upl
 sspl-1.0 | server side public | server side public license version 1
-busl-1.1 | business source | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
-elastic-2.0 | elastic license | you may not provide the software to third parties as a hosted or managed service
-commons-clause | commons clause | the grant of rights under the license will not include and the license does not grant to you the right to sell the software
-mulan-psl-2.0 | mulan | subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide royalty free
+busl-1.1 | the licensor hereby grants | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
+elastic-2.0 | third parties as a hosted | you may not provide the software to third parties as a hosted or managed service
+commons-clause | the grant of rights under | the grant of rights under the license will not include and the license does not grant to you the right to sell the software
+mulan-psl-2.0 | each contributor hereby grants | subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide royalty free
 warranty-disclaimer | as is | the software is provided as is without warranty of any kind express or implied
 warranty-disclaimer | as is | this software is provided by the copyright holders and contributors as is
 warranty-disclaimer | as is | this software is provided as is without any express or implied warranty
@@ -96,10 +96,10 @@ warranty-disclaimer | as is | this software is provided as is without any expres
 
 #: Sentences that put a work under a licence.
 NOTICES = r"""
-apache-2.0 | apache license | licen[sc]ed under the apache licen[sc]e (?:version |v )?2(?: 0)?
-apache-1.1 | apache license | licen[sc]ed under the apache licen[sc]e (?:version |v )?1 1
-apache | apache license | licen[sc]ed under the apache licen[sc]e
-mit | mit license | (?:licen[sc]ed|released|distributed|available|published) under the (?:terms of the )?mit licen[sc]e
+apache-2.0 | apache licen | licen[sc]ed under the apache licen[sc]e (?:version |v )?2(?: 0)?
+apache-1.1 | apache licen | licen[sc]ed under the apache licen[sc]e (?:version |v )?1 1
+apache | apache licen | licen[sc]ed under the apache licen[sc]e
+mit | mit licen | (?:licen[sc]ed|released|distributed|available|published) under the (?:terms of the )?mit licen[sc]e
 mit | mit licence | (?:licen[sc]ed|released|distributed|available|published) under the (?:terms of the )?mit licence
 gpl-3.0 | general public license | licen[sc]ed under the gnu general public license (?:version |v )?3(?: 0)?
 gpl-2.0 | general public license | licen[sc]ed under the gnu general public license (?:version |v )?2(?: 0)?
@@ -136,8 +136,8 @@ epl-2.0 | eclipse public | (?:licen[sc]ed|released|available) under the eclipse
 epl-1.0 | eclipse public | (?:licen[sc]ed|released|available) under the eclipse public license (?:version |v )?1
 cddl | cddl | (?:licen[sc]ed|released|available) under the cddl
 eupl | eupl | (?:licen[sc]ed|released|available) under the eupl
-isc | isc license | (?:licen[sc]ed|released|distributed) under the isc licen[sc]e
-zlib | zlib license | (?:licen[sc]ed|released|distributed) under the zlib(?: libpng)? licen[sc]e
+isc | isc licen | (?:licen[sc]ed|released|distributed) under the isc licen[sc]e
+zlib | zlib | (?:licen[sc]ed|released|distributed) under the zlib(?: libpng)? licen[sc]e
 bsl-1.0 | boost software | distributed under the boost software license version 1 0
 unlicense | unlicense | (?:licen[sc]ed|released|dedicated) (?:to the public domain )?under the unlicense
 wtfpl | wtfpl | (?:licen[sc]ed|released|distributed) under the wtfpl
@@ -158,12 +158,12 @@ proprietary | confidential | proprietary and confidential
 proprietary | unauthorized | unauthorized (?:copying|use|reproduction|distribution) of this \w+
 proprietary | trade secret | contains trade secrets? (?:\w+ ){0,6}confidential
 proprietary | written permission | without (?:the )?(?:prior )?(?:express )?written permission of
-non-commercial | non commercial | for non ?commercial (?:use|purposes) only
+non-commercial | for non | for non ?commercial (?:use|purposes) only
 non-commercial | noncommercial | for noncommercial (?:use|purposes) only
 research-only | research purposes | for research purposes only
 personal-use | personal use | for personal use only
 no-redistribution | redistribut | (?:may|must) not be redistributed
-dual-license | dual licensed | dual licen[sc]ed under
+dual-license | dual licen | dual licen[sc]ed under
 """
 
 #: Machine-readable identifiers.
@@ -257,17 +257,17 @@ gpl-2.0 | gplv2 | gplv2
 lgpl-3.0 | lgplv3 | lgplv3
 lgpl-2.1 | lgplv2 | lgplv2 1
 agpl-3.0 | agplv3 | agplv3
-apache-2.0 | apache license | apache licen[sc]e (?:version |v )?2(?: 0)?
-apache-1.1 | apache license | apache (?:software )?licen[sc]e (?:version |v )?1 1
+apache-2.0 | apache licen | apache licen[sc]e (?:version |v )?2(?: 0)?
+apache-1.1 | apache | apache (?:software )?licen[sc]e (?:version |v )?1 1
 bsd-4-clause | bsd | (?:original|4 clause|four clause) bsd licen[sc]e
 bsd-3-clause | bsd | (?:new|modified|revised|3 clause|three clause) bsd licen[sc]e
 bsd-2-clause | bsd | (?:simplified|2 clause|two clause|freebsd) bsd licen[sc]e
-bsd-2-clause | freebsd license | freebsd licen[sc]e
-bsd | bsd license | bsd licen[sc]e
-mit | expat license | expat licen[sc]e
+bsd-2-clause | freebsd licen | freebsd licen[sc]e
+bsd | bsd licen | bsd licen[sc]e
+mit | expat licen | expat licen[sc]e
 mit | mit licence | mit licence
-x11 | x11 license | x11 licen[sc]e
-isc | isc license | isc licen[sc]e
+x11 | x11 licen | x11 licen[sc]e
+isc | isc licen | isc licen[sc]e
 mpl-2.0 | mozilla public | mozilla public license (?:version |v )?2(?: 0)?
 mpl-1.1 | mozilla public | mozilla public license (?:version |v )?1 1
 mpl | mozilla public | mozilla public license
@@ -296,7 +296,7 @@ ofl-1.1 | open font license | (?:sil )?open font license
 odbl-1.0 | open database license | open database license
 python-2.0 | python software foundation license | python software foundation license
 php | php license | php license(?: (?:version |v )?3 0)?
-ruby | ruby license | ruby licen[sc]e
+ruby | ruby licen | ruby licen[sc]e
 openssl | openssl license | openssl license
 qpl-1.0 | q public license | q public license
 afl | academic free license | academic free license
