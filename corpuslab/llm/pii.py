@@ -27,7 +27,9 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-#: A candidate instance: a run of these characters with at least one digit or @.
+#: A candidate instance: groups of digits parted by spaces, brackets, dots or hyphens, as one; or else a run
+#: of these characters with at least one digit or @.
+GROUPS = r"(?<![\p{L}0-9@._%+/-])\+?\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++(?![\p{L}@_%+/]|[.-][\p{L}@])"
 TOKEN = r"(?<![\p{L}0-9@._%+/-])[\p{L}._%+/-]*+[0-9@][\p{L}0-9@._%+/-]*+"
 #: Digits that a candidate without @ must have.
 LEAST_DIGITS = 4
@@ -90,39 +92,54 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*kinds))
 
 
-def _candidates(text: Column) -> Column:
-    """array<struct<start,end,instance,pattern>> of identifier-like tokens with two words, letters among them, to the left."""
+def _candidates(text: Column, base: Column) -> Column:
+    """array<struct<start,end,instance,pattern,kind_no>> of the base spans and, with no kind, of identifier-like
+    tokens that touch none; each with the two words, letters among them, that stand to its left in the text."""
     text = F.coalesce(text, F.lit(""))
+    free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
     tokens = F.filter(
-        _found(text, TOKEN, "[0-9@]"), lambda m: m["match"].contains("@") | (F.length(F.regexp_replace(m["match"], "[^0-9]", "")) >= LEAST_DIGITS)
+        _found(text, f"{GROUPS}|{TOKEN}", "[0-9@]"),
+        lambda m: (m["match"].contains("@") | (F.length(F.regexp_replace(m["match"], "[^0-9]", "")) >= LEAST_DIGITS)) & free(m),
+    )
+    place = lambda m, kind_no: F.struct(m["start"].alias("start"), m["end"].alias("end"), kind_no.alias("kind_no"))
+    both = F.concat(F.transform(base, lambda b: place(b, b["kind_no"])), F.transform(tokens, lambda m: place(m, F.lit(None).cast("int"))))
+    left = lambda m: F.substr(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
+    words = lambda m: F.lower(F.regexp_extract(left(m), r"(?:^|\s)(\S+\s+\S+)\s+$", 1))
+    framed = F.transform(
+        both,
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substr(text, m["start"] + 1, m["end"] - m["start"]).alias("instance"), words(m).alias("pattern"), m["kind_no"].alias("kind_no")),
     )
-    words = lambda m: F.lower(F.regexp_extract(m["left"], r"(?:^|\s)(\S+\s+\S+)\s+$", 1))
-    framed = F.transform(tokens, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("instance"), words(m).alias("pattern")))
     return F.filter(framed, lambda c: c["pattern"].rlike(r"\p{L}"))
 
 
 def _pattern_scores(edges: DataFrame) -> DataFrame:
     """Confidence and kind of the patterns of distinct edges (pattern, instance, kind_no or null).
 
-    Seeds are certain. A round averages a pattern's instances, then joins an instance's patterns as
+    Seeds are certain, and instances of LEAST_CONFIDENCE or more count as support like seeds from the round after
+    on. A round averages a pattern's instances, then joins an instance's patterns as
     independent evidence. Both sides are grouped with map-side sums over distinct edges, so copies of
     a passage count once and a hot pattern gathers in no task."""
     known = edges.groupBy("instance").agg(F.max("kind_no").alias("seed"))
     edges = checkpoint(edges.select("pattern", "instance").join(known, "instance"))
-    scored = edges.select("pattern", "instance", "seed", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"))
+    scored = edges.select("pattern", "instance", "seed", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"), F.col("seed").alias("kind_no"))
+    numbers = range(len(KINDS))
+    first_most = lambda columns: (F.array_position(F.array(*columns), F.greatest(*columns)) - 1).cast("int")
     for _ in range(ROUNDS):
         patterns = scored.groupBy("pattern").agg(
             F.avg("score").alias("confidence"),
-            F.count("seed").alias("support"),
-            *(F.count_if(F.col("seed") == k).alias(f"n{k}") for k in range(len(KINDS))),
+            F.count("kind_no").alias("support"),
+            *(F.count_if(F.col("kind_no") == k).alias(f"n{k}") for k in numbers),
         )
-        patterns = checkpoint(patterns.where(F.col("support") >= LEAST_SUPPORT))
+        patterns = patterns.where(F.col("support") >= LEAST_SUPPORT).select("pattern", first_most([F.col(f"n{k}") for k in numbers]).alias("as_kind"), "confidence")
+        patterns = checkpoint(patterns)
         doubt = F.sum(F.log(F.lit(1.001) - F.coalesce("confidence", F.lit(0.0))))
-        instances = edges.where("seed is null").join(patterns.select("pattern", "confidence"), "pattern").groupBy("instance").agg(doubt.alias("doubt"))
+        best = [F.coalesce(F.max(F.when(F.col("as_kind") == k, F.col("confidence"))), F.lit(0.0)).alias(f"c{k}") for k in numbers]
+        instances = edges.where("seed is null").join(patterns, "pattern").groupBy("instance").agg(doubt.alias("doubt"), *best)
         score = F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.exp(F.coalesce("doubt", F.lit(0.0)))))
-        scored = edges.join(instances, "instance", "left").select("pattern", "instance", "seed", score.alias("score"))
-    most = F.array_position(F.array(*(f"n{k}" for k in range(len(KINDS)))), F.greatest(*(f"n{k}" for k in range(len(KINDS))))) - 1
-    return patterns.where(F.col("confidence") >= LEAST_CONFIDENCE).select("pattern", most.cast("int").alias("kind_no"), "confidence")
+        scored = edges.join(instances, "instance", "left").withColumn("score", score)
+        learned = F.when(F.col("score") >= LEAST_CONFIDENCE, first_most([F.col(f"c{k}") for k in numbers]))
+        scored = scored.select("pattern", "instance", "seed", "score", F.coalesce("seed", learned).alias("kind_no"))
+    return patterns.where(F.col("confidence") >= LEAST_CONFIDENCE).withColumnRenamed("as_kind", "kind_no")
 
 
 def _row_key(df: DataFrame) -> Column:
@@ -137,12 +154,9 @@ def find(docs: DataFrame) -> DataFrame:
     The texts are read once; what follows is narrow. Added spans touch no base span and no other
     added one. Null texts have no spans; rows repeated in doc_id and text get the same spans."""
     text = F.col("text")
-    found = checkpoint(docs.select("doc_id", _row_key(docs).alias("row_key"), base_spans(text).alias("base"), _candidates(text).alias("tokens")))
-    inside = lambda t: F.filter("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
-    tokens = F.transform(
-        "tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), t["pattern"].alias("pattern"), F.get(inside(t), F.lit(0))["kind_no"].alias("kind_no"))
-    )
-    rows = found.where(F.size("tokens") > 0).select("doc_id", "row_key", F.explode(tokens).alias("t")).select("doc_id", "row_key", "t.*")
+    found = docs.select("doc_id", _row_key(docs).alias("row_key"), "text", base_spans(text).alias("base"))
+    found = checkpoint(found.select("doc_id", "row_key", "base", _candidates(text, F.col("base")).alias("tokens")))
+    rows = found.where(F.size("tokens") > 0).select("doc_id", "row_key", F.explode("tokens").alias("t")).select("doc_id", "row_key", "t.*")
     edges = rows.groupBy("pattern", "instance").agg(F.max("kind_no").alias("kind_no"))
     patterns = _pattern_scores(edges)
     fresh = rows.where("kind_no is null").join(checkpoint(patterns.withColumnRenamed("kind_no", "as_kind")), "pattern")
