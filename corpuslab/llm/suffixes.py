@@ -3,12 +3,15 @@
 A string of LENGTH bytes is placed by an anchor, the least hash of the SHORT-byte strings inside it,
 which is the same wherever the string occurs. Neighbouring strings with one anchor form a segment.
 Only segments whose anchor occurs elsewhere are gathered; equal ones are counted, and those that
-differ are sorted by a suffix array, whose adjacent common prefixes show the repeated strings."""
+differ are sorted by a suffix array, whose adjacent common prefixes show the repeated strings. An
+anchor of many segments is split by what lies around it, as often as needed, so no array grows."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,23 +19,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import bound_batches, checkpoint, stored
+from corpuslab.llm.common import checkpoint, stored, stretches
 
-LENGTH = 400
-SHORT = 64
-WINDOW = LENGTH - SHORT + 1
+LENGTH, SHORT = 400, 64
+#: The same in words, for passages that other documents hold too.
+PASSAGE_WORDS, SHORT_WORDS = 51, 16
 #: Bytes whose anchors are worked out at a time.
 STRETCH = 1 << 17
-#: Bytes of one suffix array, about, and distinct segments of one anchor that one may hold.
-ARRAY_BYTES, MOST_SEGMENTS = 1 << 19, 4096
+#: Bytes of one suffix array, about, and distinct segments of one key that one may hold.
+ARRAY_BYTES, MOST_SEGMENTS = 1 << 19, 256
+#: Strings that share a part of a split segment, level by level. In a part of one, equal keys are equal strings.
+WIDTHS = (42, 6, 1)
 #: Suffixes whose bytes are laid out at a time for sorting, and pairs that are compared at a time.
 ROWS_SORTED, ROWS_COMPARED = 1 << 15, 1 << 13
 
 
-def _hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each SHORT-byte string of ``data``, by doubling."""
+def _hashes(data: np.ndarray, short: int) -> np.ndarray:
+    """A 64-bit hash of each string of ``short`` symbols (a power of two), by doubling."""
     h, size = data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15), 1
-    while size < SHORT:
+    while size < short:
         h = h[:-size] * np.uint64(0xBF58476D1CE4E5B9) + h[size:]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
@@ -40,58 +45,69 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a LENGTH-byte string: the position of its anchor, the leftmost of those with
-    the least leading hash bits, and the anchor's hash."""
-    h = _hashes(data)
+def anchors(data: np.ndarray, length: int = LENGTH, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of a string of ``length`` symbols: the position of its anchor, the leftmost of those
+    with the least leading hash bits, and the anchor's hash."""
+    h, window = _hashes(data, short), length - short + 1
     low = np.uint64((1 << 20) - 1)
     least, size = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
-    while size * 2 <= WINDOW:
+    while size * 2 <= window:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
-    least = np.minimum(least[: len(h) - WINDOW + 1], least[WINDOW - size :])
+    least = np.minimum(least[: len(h) - window + 1], least[window - size :])
     at = (least & low).astype(np.int64)
     return at, h[at]
 
 
-def segments(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, anchor hash, segment hash, start, starts) of every segment of texts of LENGTH bytes or
-    more. A text longer than STRETCH is cut into overlapping stretches, which only splits segments."""
-    some: list[tuple[int, int, bytes]] = []
+def digest(data) -> tuple[int, int]:
+    """128 bits that stand for a string, as two longs."""
+    value = xxhash.xxh3_128_intdigest(data)
+    return (value >> 64) - (1 << 63), (value & (2**64 - 1)) - (1 << 63)
+
+
+def segments(texts: list[np.ndarray], length: int = LENGTH, short: int = SHORT) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(text, anchor hash, digest, start, starts) of every segment of texts of ``length`` symbols or more.
+    A text longer than STRETCH is cut into overlapping stretches, which only splits segments."""
+    some: list[tuple[int, int, np.ndarray]] = []
     held = 0
     for t, text in enumerate(texts):
-        for at in range(0, max(1, len(text) - LENGTH + 1), STRETCH):
-            piece = text[at : at + STRETCH + LENGTH - 1]
-            if len(piece) < LENGTH:
+        for at in range(0, max(1, len(text) - length + 1), STRETCH):
+            piece = text[at : at + STRETCH + length - 1]
+            if len(piece) < length:
                 continue
             some.append((t, at, piece))
             held += len(piece)
             if held >= STRETCH:
-                yield from _segments(some)
+                yield from _segments(some, length, short)
                 some, held = [], 0
     if some:
-        yield from _segments(some)
+        yield from _segments(some, length, short)
 
 
-def _segments(pieces: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
-    joined = b"".join(p for _, _, p in pieces)
-    at, hashed = anchors(np.frombuffer(joined, np.uint8))
+def _segments(pieces: list[tuple[int, int, np.ndarray]], length: int, short: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    joined = np.concatenate([p for _, _, p in pieces])
+    at, hashed = anchors(joined, length, short)
     sizes = np.array([len(p) for _, _, p in pieces])
     begins = np.cumsum(sizes) - sizes
     new = np.ones(len(at), bool)
     new[1:] = at[1:] != at[:-1]
     new[begins[begins < len(at)]] = True
-    lasts = begins + sizes - LENGTH + 1  # strings that start from here on cross into the next text
+    lasts = begins + sizes - length + 1  # strings that start from here on cross into the next text
     new[lasts[lasts < len(at)]] = True
     starts = np.flatnonzero(new)
     counts = np.diff(np.append(starts, len(at)))
     owner = np.searchsorted(begins, starts, side="right") - 1
     inside = starts < lasts[owner]
-    view = memoryview(joined)
+    view, wide = memoryview(joined).cast("B"), joined.itemsize
     keys = hashed.view(np.int64)[starts]
     for s, n, o, key in zip(starts[inside].tolist(), counts[inside].tolist(), owner[inside].tolist(), keys[inside].tolist()):
         t, offset, _ = pieces[o]
-        yield t, key, xxhash.xxh3_64_intdigest(view[s : s + n + LENGTH - 1]) - (1 << 63), s - int(begins[o]) + offset, n
+        yield t, key, *digest(view[s * wide : (s + n + length - 1) * wide]), s - int(begins[o]) + offset, n
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each white-space-separated word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, text.split(), repeat(1)), np.uint64)
 
 
 def _by_prefix(windows: np.ndarray, positions: np.ndarray, offset: int) -> np.ndarray:
@@ -201,59 +217,101 @@ def _runs(positions: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(positions[cuts].tolist(), np.diff(np.append(cuts, len(positions))).tolist()))
 
 
+def _rows(columns: dict[str, str], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"binary": pa.binary(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(columns.values())], names=list(columns))
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
+PLACE = {"text_key": "binary", "start": "bigint", "starts": "bigint"}
+SEGMENT = {"words": "boolean", "k1": "bigint", "k2": "bigint", "d1": "bigint", "d2": "bigint", **PLACE}
+CUT = {**SEGMENT, "bytes": "binary"}
+STRING = {"h1": "bigint", "h2": "bigint", "text_key": "binary"}
+
+
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their segments in bytes and in words. k1 is the anchor; k2 is for later splits."""
     for batch in batches:
-        keys = batch["text_key"].to_pylist()
-        rows = list(segments(batch["bytes"].to_pylist()))
-        t, anchor, segment, start, n = zip(*rows) if rows else ((), (), (), (), ())
-        columns = [pa.array([keys[i] for i in t], pa.binary()), pa.array(anchor, pa.int64()), pa.array(segment, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["text_key", "anchor", "segment", "start", "starts"])
+        at = 0
+        for part in stretches(batch["bytes"], STRETCH):
+            texts, keys = part.to_pylist(), batch["text_key"].slice(at, len(part)).to_pylist()
+            at += len(part)
+            rows = [(False, a, 0, d1, d2, keys[t], s, n) for t, a, d1, d2, s, n in segments([np.frombuffer(x, np.uint8) for x in texts])]
+            found = segments([word_hashes(x) for x in texts], PASSAGE_WORDS, SHORT_WORDS)
+            yield _rows(SEGMENT, rows + [(True, a, 0, d1, d2, keys[t], s, n) for t, a, d1, d2, s, n in found])
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the segments wanted of them, to a row for each segment with its bytes."""
+    """Texts with the segments wanted of them, to a row for each segment with its bytes (of words: their hashes)."""
     for batch in batches:
-        rows = []
-        for key, text, wanted in zip(batch["text_key"].to_pylist(), batch["bytes"].to_pylist(), batch["wanted"].to_pylist()):
-            rows += [(key, w["anchor"], w["start"], w["starts"], w["hot"], text[w["start"] : w["start"] + w["starts"] + LENGTH - 1]) for w in wanted]
-        for at in range(0, len(rows), 4096):
-            columns = list(zip(*rows[at : at + 4096]))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text_key", "anchor", "start", "starts", "hot", "bytes"])
+        rows, held = [], 0
+        for key, text, wanted in zip(batch["text_key"].to_pylist(), batch["bytes"], batch["wanted"].to_pylist()):
+            text = text.as_py()
+            hashes = word_hashes(text) if any(w["words"] for w in wanted) else None
+            for w in wanted:
+                s, n = w["start"], w["starts"]
+                data = hashes[s : s + n + PASSAGE_WORDS - 1].tobytes() if w["words"] else text[s : s + n + LENGTH - 1]
+                rows.append((w["words"], w["k1"], w["k2"], w["d1"], w["d2"], key, s, n, data))
+                held += len(data)
+                if held > ARRAY_BYTES:
+                    yield _rows(CUT, rows)
+                    rows, held = [], 0
+        if rows:
+            yield _rows(CUT, rows)
+
+
+def _split(width: int):
+    """Segments to parts whose strings hold the anchor at one of ``width`` places. A part's key is what all its
+    strings share, LENGTH - width + 1 bytes; its digest is of all its bytes."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in stretches(batch["bytes"], ARRAY_BYTES // 8):
+                rows, first = [], part.offset - batch["bytes"].offset
+                places = zip(*(batch[c].slice(first, len(part)).to_pylist() for c in PLACE))
+                for (key, start, n), data in zip(places, part.to_pylist()):
+                    anchor = int(anchors(np.frombuffer(data[:LENGTH], np.uint8))[0][0])
+                    for r in range((anchor - n + 1) // width if anchor >= n else 0, anchor // width + 1):
+                        a, b = max(0, anchor - r * width - width + 1), min(n, anchor - r * width + 1)
+                        shared = data[anchor - r * width : anchor - r * width + LENGTH - width + 1]
+                        own = data[a : b + LENGTH - 1]
+                        rows.append((False, *digest(b"%d " % r + shared), *digest(own), key, start + a, b - a, own))
+                yield _rows(CUT, rows)
+
+    return split
 
 
 def _sort_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments by anchor, in suffix arrays of whole anchors, to the repeated starts of each."""
+    """Segments by key, in suffix arrays of whole keys, to the repeated starts of each."""
 
-    def sorted_out(rows: list[dict]) -> pa.RecordBatch:
-        found = repeated_starts([r["bytes"] for r in rows], [r["starts"] for r in rows])
-        out = [(r["text_key"], r["start"] + a, n) for r, hits in zip(rows, found) for a, n in _runs(hits)]
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()))], names=["text_key", "start", "starts"])
+    def sorted_out(rows: list[tuple]) -> pa.RecordBatch:
+        found = repeated_starts([r[3] for r in rows], [r[2] for r in rows])
+        return _rows(PLACE, [(key, start + a, n) for (key, start, _, _), hits in zip(rows, found) for a, n in _runs(hits)])
 
-    held: dict[tuple[bytes, int], dict] = {}
-    size, anchor = 0, None
+    held: list[tuple] = []
+    size, last = 0, None
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["anchor"] != anchor and size >= ARRAY_BYTES:
-                yield sorted_out(list(held.values()))
-                held, size = {}, 0
-            anchor = row["anchor"]
-            if (row["text_key"], row["start"]) not in held:  # rows repeated in id and text come twice
-                held[row["text_key"], row["start"]] = row
-                size += len(row["bytes"])
+        for k1, k2, *row in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "text_key", "start", "starts", "bytes"))):
+            if (k1, k2) != last and size >= ARRAY_BYTES:
+                yield sorted_out(held)
+                held, size = [], 0
+            last = k1, k2
+            held.append(tuple(row))
+            size += len(row[3])
     if held:
-        yield sorted_out(list(held.values()))
+        yield sorted_out(held)
 
 
-def _hash_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments to a row for each start with a 128-bit hash of its string, as two longs."""
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of words to a row for each string of PASSAGE_WORDS words."""
     for batch in batches:
-        for key, start, n, data in zip(*(batch[c].to_pylist() for c in ("text_key", "start", "starts", "bytes"))):
-            digests = b"".join(xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(n))
-            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
-            columns = [pa.array([key] * n, pa.binary()), pa.array(np.arange(start, start + n)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["text_key", "start", "h1", "h2"])
+        for part in stretches(batch["bytes"], ARRAY_BYTES // 8):
+            keys = batch["text_key"].slice(part.offset - batch["bytes"].offset, len(part)).to_pylist()
+            size = 8 * PASSAGE_WORDS
+            yield _rows(STRING, [(*digest(d[i : i + size]), key) for key, d in zip(keys, part.to_pylist()) for i in range(0, len(d) - size + 1, 8)])
 
 
 def text_key(text: Column) -> Column:
@@ -261,35 +319,64 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(text_key, spans): for each text with a string of LENGTH bytes that also starts elsewhere, the
-    starts of such strings as array<struct<start,starts>>. Texts that occur twice are not listed."""
-    bound_batches(docs.sparkSession)
-    long = docs.where(F.octet_length("text") >= LENGTH).select(F.col("doc_id"), text_key(F.col("text")).alias("text_key"), F.encode("text", "UTF-8").alias("bytes"))
-    found = long.select("text_key", "bytes").mapInArrow(_find_segments, "text_key binary, anchor bigint, segment bigint, start bigint, starts bigint")
-    found = stored(found.groupBy("anchor", "segment", "text_key", "start").agg(F.first("starts").alias("starts")))
-    alike = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "start", "starts")).alias("one"))
-    by_anchor = alike.groupBy("anchor").agg(F.count("*").alias("texts"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    shared = checkpoint(alike.join(by_anchor, "anchor").select("anchor", "segment", "n", "one", "texts"))
-    # Equal segments: every string of them starts elsewhere.
-    equal = found.join(shared.where("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select("text_key", "start", "starts")
-    # Different segments of one anchor, one of each kind.
-    wanted = F.struct("anchor", "one.start", "one.starts", (F.col("texts") > MOST_SEGMENTS).alias("hot"))
-    wanted = shared.where("texts > 1").select(F.col("one.text_key").alias("text_key"), wanted.alias("w")).groupBy("text_key").agg(F.collect_list("w").alias("wanted"))
+KEY, KIND = ["k1", "k2"], ["k1", "k2", "d1", "d2"]
+
+
+def _weighed(found: DataFrame) -> DataFrame:
+    """Each kind of segment (equal digests) of ``found`` whose key has another segment: its number n, one of
+    its places, whether its texts differ, and the number of kinds of its key and whether its texts differ."""
+    differ = lambda low, high: (F.min(low) < F.max(high)).alias("differ")
+    kinds = found.groupBy("words", *KIND).agg(
+        F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("one"), differ("text_key", "text_key"), F.max("text_key").alias("last")
+    )
+    keys = kinds.groupBy("words", *KEY).agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), (F.min("one.text_key") < F.max("last")).alias("across"))
+    return checkpoint(kinds.join(keys.where(F.col("all") > 1), ["words", *KEY]).select("words", *KIND, "n", "one", "differ", "kinds", "across"))
+
+
+def _equal(found: DataFrame, weighed: DataFrame) -> DataFrame:
+    """Segments that occur more than once: every string of them starts elsewhere."""
+    return found.join(weighed.where("n > 1 and not words").select(*KIND), KIND, "left_semi").select(*PLACE)
+
+
+def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text_key, spans): for each text with a string of LENGTH bytes that also starts elsewhere, the starts of
+    such strings as array<struct<start,starts>>; and (text_key) of the texts that hold PASSAGE_WORDS
+    consecutive words which a different text holds too. Texts that occur twice count once in both."""
+    long = docs.where(F.octet_length("text") >= 2 * PASSAGE_WORDS - 1).select("doc_id", text_key(F.col("text")).alias("text_key"), F.encode("text", "UTF-8").alias("bytes"))
+    found = long.select("text_key", "bytes").mapInArrow(_find_segments, _ddl(SEGMENT))
+    found = stored(found.groupBy("words", *KIND, "text_key", "start").agg(F.first("starts").alias("starts")))
+    weighed = _weighed(found)
+    spans, passages = [_equal(found, weighed)], [found.where("words").join(weighed.where("words and differ").select(*KIND), KIND, "left_semi").select("text_key")]
+    # Different segments of one key, one of each kind; of words, those with a key in different texts.
+    wanted = F.struct("words", *KIND, "one.start", "one.starts")
+    wanted = weighed.where("kinds > 1 and (not words or across)").select(F.col("one.text_key").alias("wanted_key"), wanted.alias("w"))
+    wanted = wanted.groupBy("wanted_key").agg(F.collect_list("w").alias("wanted"))
     # Of copies of a text, the document of the smallest id gives the bytes.
-    one = long.groupBy("text_key").agg(F.min("doc_id").alias("one_id"))
-    wanted = wanted.join(one, "text_key").withColumnRenamed("text_key", "wanted_key")
-    cut = long.join(wanted, (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("text_key", "bytes", "wanted")
-    kinds = "text_key binary, anchor bigint, start bigint, starts bigint, hot boolean, bytes binary"
-    cut = stored(cut.mapInArrow(_cut_segments, kinds))
-    grouped = cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "text_key", "start")
-    in_arrays = grouped.mapInArrow(_sort_segments, "text_key binary, start bigint, starts bigint")
-    # An anchor of more kinds than one array holds: its strings are counted one by one, by hash.
-    single = stored(cut.where("hot").dropDuplicates(["text_key", "start"]).mapInArrow(_hash_starts, "text_key binary, start bigint, h1 bigint, h2 bigint"))
-    often = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    counted = single.join(often, ["h1", "h2"]).select("text_key", "start", F.lit(1).cast("long").alias("starts"))
-    spans = equal.unionByName(in_arrays).unionByName(counted)
-    return spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "starts")).alias("spans"))
+    one = long.groupBy("text_key").agg(F.min("doc_id").alias("one_id")).withColumnRenamed("text_key", "wanted_key")
+    same = (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
+    cut = stored(long.join(wanted.join(one, "wanted_key"), same).select("text_key", "bytes", "wanted").mapInArrow(_cut_segments, _ddl(CUT)))
+    cut = cut.dropDuplicates(["words", *KIND])  # rows repeated in id and text come twice
+    strings = cut.where("words").select("text_key", "bytes").mapInArrow(_strings, _ddl(STRING))
+    strings = stored(strings.distinct())
+    shared = strings.groupBy("h1", "h2").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("h1", "h2")
+    passages.append(strings.join(shared, ["h1", "h2"], "left_semi").select("text_key"))
+    cut = cut.where("not words")
+    for width in (*WIDTHS, None):
+        sizes = weighed.where("kinds > 1 and not words").select(*KEY, "kinds").distinct()
+        cut = stored(cut.join(sizes, KEY))
+        alike = cut.where(F.col("kinds") <= MOST_SEGMENTS).select(*KEY, *PLACE, "bytes")
+        alike = alike.repartition(*KEY).sortWithinPartitions(*KEY, "text_key", "start")
+        spans.append(alike.mapInArrow(_sort_segments, _ddl(PLACE)))
+        many = cut.where(F.col("kinds") > MOST_SEGMENTS)
+        if width is None or many.isEmpty():
+            break
+        parts = stored(many.select(*PLACE, "bytes").mapInArrow(_split(width), _ddl(CUT)))
+        weighed = _weighed(parts.drop("bytes"))
+        spans.append(_equal(parts, weighed))
+        one = weighed.where("kinds > 1").select(*KIND, "one.text_key", "one.start")
+        cut = parts.join(one, [*KIND, "text_key", "start"], "left_semi")
+    spans = reduce(DataFrame.unionByName, spans).groupBy("text_key").agg(F.collect_set(F.struct("start", "starts")).alias("spans"))
+    return spans, reduce(DataFrame.unionByName, passages).distinct()
 
 
 RESULT = "struct<n_removed:bigint,n_spans:bigint,kept_sha256:string>"
@@ -307,26 +394,30 @@ def covered(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    """``docs`` with __bytes, __copied (the whole text occurs elsewhere and is long enough) and __spans."""
+    """``docs`` with __bytes, __copied (the whole text occurs elsewhere), __spans and __shared (a passage of
+    PASSAGE_WORDS words is in a different text)."""
     keyed = docs.withColumn("__key", text_key(F.coalesce("text", F.lit(""))))
-    copies = keyed.where(F.octet_length("text") >= LENGTH).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key", F.lit(True).alias("__copied"))
-    spans = repeated(docs.select("doc_id", "text")).select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
-    facts = checkpoint(spans.join(copies, "__key", "full"))
-    return keyed.join(facts, "__key", "left").withColumn("__bytes", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).drop("__key")
+    copies = keyed.where(F.octet_length("text") >= 2 * PASSAGE_WORDS - 1).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key", F.lit(True).alias("__copied"))
+    spans, passages = repeated(docs.select("doc_id", "text"))
+    passages = passages.select(F.col("text_key").alias("__key"), F.lit(True).alias("__shared"))
+    facts = spans.withColumnsRenamed({"text_key": "__key", "spans": "__spans"}).join(copies, "__key", "full").join(passages, "__key", "full")
+    return keyed.join(checkpoint(facts), "__key", "left").withColumn("__bytes", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).drop("__key")
 
 
 def removal(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document of (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and shares_passage of every document of (doc_id, text).
 
     A null text has no bytes, and a text of fewer than LENGTH bytes loses none. Copies of a long text
-    lose all their bytes in one run. Repeated rows are documents of their own. An empty table gives
-    no rows."""
+    lose all their bytes in one run. shares_passage tells that another document holds a passage of
+    PASSAGE_WORDS or more consecutive white-space-separated words of this one, of whatever bytes.
+    Repeated rows are documents of their own. An empty table gives no rows."""
 
     @F.arrow_udf(RESULT)
     def removed(texts: pa.Array, copied: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
-        for text, whole, own in zip(texts.to_pylist(), copied.to_pylist(), spans.to_pylist()):
-            runs = [(0, len(text))] if whole else covered(own or [])
+        for text, whole, own in zip(texts, copied.to_pylist(), spans.to_pylist()):
+            text = text.as_py()
+            runs = [(0, len(text))] if whole and len(text) >= LENGTH else covered(own or [])
             digest, at = hashlib.sha256(), 0
             for a, b in runs:
                 digest.update(text[at:a])
@@ -337,5 +428,7 @@ def removal(docs: DataFrame) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     rows = _with_runs(docs.select("doc_id", "text"))
-    rows = rows.select("doc_id", F.octet_length("__bytes").cast("long").alias("n_bytes"), removed("__bytes", "__copied", "__spans").alias("r"))
-    return rows.select("doc_id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
+    long = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x09-\x0D\x1C-\x20]+", " ")), " ")) >= PASSAGE_WORDS
+    shares = F.coalesce(F.col("__shared") | (F.col("__copied") & long), F.lit(False)).alias("shares_passage")
+    rows = rows.select("doc_id", F.octet_length("__bytes").cast("long").alias("n_bytes"), removed("__bytes", "__copied", "__spans").alias("r"), shares)
+    return rows.select("doc_id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256", "shares_passage")
