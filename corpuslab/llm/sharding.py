@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from corpuslab.llm.common import stored
 
 #: Multiplier of the 64-bit congruential generator of jump consistent hashing (Lamping and Veach, 2014).
 MULTIPLIER = 2862933555777941757
@@ -51,10 +54,18 @@ def _upper_bits(high: Column, low: Column, factor: int, term: int) -> Column:
     return F.shiftright(upper.bitwiseAND(F.lit(WORD - 1)), 1)
 
 
+def stable_key(df: DataFrame, key: str) -> Column:
+    """A column as a long to shard by: whole numbers as they are, all else (strings, UUIDs, dates) by the
+    64-bit hash of its text. Null stays null."""
+    whole = isinstance(df.schema[key].dataType, IntegralType)
+    text = F.col(key).cast("string")
+    return F.col(key).cast("long") if whole else F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def assign_shards(df: DataFrame, key: str, shards: int, column: str = "shard") -> DataFrame:
-    """``df`` with each row's shard. Rows of equal keys share one; no shuffle. With one more shard
-    only the rows that move into it change. A column of that name is replaced."""
-    return df.withColumn(column, jump_hash(F.col(key), shards))
+    """``df`` with each row's shard. Rows of equal keys share one, null keys count as 0; no shuffle. With
+    one more shard only the rows that move into it change. A column of that name is replaced."""
+    return df.withColumn(column, jump_hash(stable_key(df, key), shards))
 
 
 def number_within(df: DataFrame, shard: str, order: list[str], column: str = "slot", group_rows: int = 4096) -> DataFrame:
@@ -62,7 +73,10 @@ def number_within(df: DataFrame, shard: str, order: list[str], column: str = "sl
 
     A shard is dealt into groups of about ``group_rows`` rows by the hash of ``order``, each group
     numbers its own rows, and the counts of the groups before it are added. Only rows equal in all
-    of ``order`` stay together, and take numbers in any order."""
+    of ``order`` stay together, and take numbers in any order. ``df`` is counted, summed up and read,
+    so give a narrow stored table. Columns named __group, __n, __own or __before are refused."""
+    if taken := {"__group", "__n", "__own", "__before"}.intersection(df.columns):
+        raise ValueError(f"columns {sorted(taken)} are in use here")
     groups = max(1, -(-df.count() // (group_rows * 8)))
     dealt = df.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)))
     sizes = dealt.groupBy(shard, "__group").agg(F.count("*").alias("__n"))
@@ -77,15 +91,16 @@ def number_within(df: DataFrame, shard: str, order: list[str], column: str = "sl
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per document under the law `key`: doc_id, size (UTF-8 bytes + 1), text_crc32, law,
     shard, slot, grown_shard (the shard were there one more). A null text has no bytes, a null
-    doc_id counts as key 0; repeated rows get a slot each; an empty table gives no rows."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    doc_id counts as key 0; repeated rows get a slot each; an empty table gives no rows. The texts are
+    read once, for a narrow table in the checkpoint folder; the slots are numbered on that."""
+    key, text = stable_key(docs, "doc_id"), F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_hash(F.col("doc_id"), shards).alias("shard"),
-        jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),
+        jump_hash(key, shards).alias("shard"),
+        jump_hash(key, shards + 1).alias("grown_shard"),
     )
-    rows = number_within(rows, "shard", ["doc_id", "text_crc32", "size"])
+    rows = number_within(stored(rows), "shard", ["doc_id", "text_crc32", "size"])
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
