@@ -65,8 +65,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def band_numbers(sides: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """Each band's bits as a number."""
+    return sides.reshape(len(sides), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
 def _coded(bits: int, bands: int):
-    """Adds code, factor and bands (each band's bits as a number) to batches with dim and vector."""
+    """Adds code, factor, sides (the bands' bits) and bands (as numbers) to batches with dim and vector."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,9 +81,9 @@ def _coded(bits: int, bands: int):
                 vectors = _matrix(part["vector"], dim)
                 packed, factor = codes(vectors)
                 sides = unit(vectors) @ rotations(dim, bits * bands).T >= 0
-                number = sides.reshape(len(vectors), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
-                made = [pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(factor), pa.array(list(number), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "code", "factor", "bands"])
+                number = band_numbers(sides, bits, bands)
+                made = [pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(factor), pa.array([s.tobytes() for s in np.packbits(sides, axis=1)], pa.binary()), pa.array(list(number), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "code", "factor", "sides", "bands"])
 
     return code
 
@@ -95,7 +100,7 @@ def _stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _linked(threshold: float):
+def _linked(threshold: float, bits: int, bands: int):
     """Blocks of rows of a bucket to (src, dst, n): a vector, the smallest row it reaches here, and the
     vectors linked to it by pairs that meet here first."""
 
@@ -106,7 +111,8 @@ def _linked(threshold: float):
         packed = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(n, -1)
         factor, times = table["factor"].to_numpy(), table["times"].to_numpy()
         band, chunk, lo, hi = (table[c].to_numpy() for c in ("band", "chunk", "lo", "hi"))
-        numbers = _matrix(table["bands"], len(table["bands"][0])).astype(np.int64)
+        sides = np.frombuffer(b"".join(table["sides"].to_pylist()), np.uint8).reshape(n, -1)
+        numbers = band_numbers(np.unpackbits(sides, axis=1, count=bits * bands), bits, bands)
         links, edges = np.zeros(n, np.int64), []
         for at in range(0, n, 256):
             rows = np.arange(at, min(n, at + 256))
@@ -156,19 +162,22 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows of equal label and vector are one node, so copies cost nothing. Nodes fall into buckets, one
     for each band of rotated signs; the pairs of a bucket are estimated from the codes, and those
     whose confidence interval reaches the threshold are computed exactly. A pair counts in the first
-    band that it shares. A bucket is cut into chunks of bounded size whose pairs are tasks of their
+    band that it shares; the bands' bits go along packed. A bucket is cut into chunks of bounded size whose pairs are tasks of their
     own; a task gives sums and star-shaped links, never all pairs.
 
     Null labels, null, zero and non-finite vectors, null vec_ids and vectors of other lengths link
     with nothing. A vec_id given to several vectors is taken for one node. An empty table gives no rows."""
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & is_valid(F.col("embedding"))
     rows = rows.select("vec_id", "label", F.col("embedding").alias("vector"), usable.alias("usable"))
-    same = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("times"))
+    # 128 bits stand for a vector where rows are grouped and joined.
+    key = ["label", "h1", "h2"]
+    rows = rows.select("*", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(SEED), "vector").alias("h2"))
+    same = rows.where("usable").groupBy(*key).agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("times"), F.first("vector").alias("vector"))
     same = same.withColumn("dim", F.size("vector"))
     most = same.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits, bands = plan(most, threshold)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in same.schema)
-    coded = checkpoint(same.mapInArrow(_coded(bits, bands), f"{kinds}, code binary, factor double, bands array<bigint>"))
+    coded = checkpoint(same.mapInArrow(_coded(bits, bands), f"{kinds}, code binary, factor double, sides binary, bands array<bigint>"))
     placed = coded.select("node", "label", "dim", F.posexplode("bands").alias("band", "number"))
     bucket = ["label", "dim", "band", "number"]
     chunks = F.ceil(F.col("size") / CHUNK_ROWS)
@@ -179,12 +188,12 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
         .select("node", "band", "number", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
     )
-    blocks = dealt.join(coded, "node").repartition(*bucket, "lo", "hi").sortWithinPartitions(*bucket, "lo", "hi")
-    found = checkpoint(blocks.mapInArrow(_linked(threshold), "src bigint, dst bigint, n bigint"))
+    blocks = dealt.join(coded.select("node", "label", "dim", "vector", "times", "code", "factor", "sides"), "node").repartition(*bucket, "lo", "hi").sortWithinPartitions(*bucket, "lo", "hi")
+    found = checkpoint(blocks.mapInArrow(_linked(threshold, bits, bands), "src bigint, dst bigint, n bigint"))
     counted = found.groupBy("src").agg(F.sum("n").alias("n")).withColumnRenamed("src", "node")
     roots = connected_components(found.select("src", "dst"))
-    classes = coded.select("node", "label", "vector", "times").join(counted, "node", "left").join(roots, "node", "left")
-    classes = classes.select("label", "vector", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component"))
-    found = rows.where("usable").join(checkpoint(classes), ["label", "vector"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
+    classes = coded.select("node", *key, "times").join(counted, "node", "left").join(roots, "node", "left")
+    classes = classes.select(*key, (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component"))
+    found = rows.where("usable").select("vec_id", *key).join(checkpoint(classes), key).select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = rows.where(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
