@@ -12,11 +12,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import bound_batches
+from corpuslab.llm.common import stored, stretches
 
 #: Labelled documents that a model is fitted on, about; chosen by the hash of their id.
 SAMPLE_ROWS = 20_000
-#: Words and n-grams that a model keeps, the most frequent first, and a word's least count.
+#: Words and n-grams that a model keeps, and their least count. Each language has an equal share of them, its
+#: most frequent first, so a rare language keeps its own beside a common one.
 MOST_WORDS, MOST_GRAMS, LEAST_COUNT = 150_000, 50_000, 2
 #: Lengths of n-grams, longest first; words are framed by spaces.
 ORDERS = (5, 4, 3, 2, 1)
@@ -106,18 +107,17 @@ class Model:
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of (doc_id, text, lang). Rows with a null text or language teach nothing.
 
-    Fitted on about ``sample_rows`` rows, all where there are fewer; their whole texts are counted.
-    The counts are summed by Spark, and the most frequent words and n-grams, a stated number of
-    each, come to the driver."""
-    bound_batches(labelled.sparkSession)
+    Fitted on about ``sample_rows`` rows, all where there are fewer; their whole texts are counted, once.
+    The counts are summed by Spark, and each language's most frequent words and n-grams, a stated
+    number in all, come to the driver. Ties: the first in order."""
     labelled = labelled.where("text is not null and lang is not null")
-    rows = labelled.count()
+    docs = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows, languages = sum(docs.values()), sorted(docs)
     if rows > sample_rows:
         grain = 1 << 30
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < int(grain * sample_rows / rows))
-    docs = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(docs)
     words = labelled.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    words = stored(words)
     grams = words.select("lang", "n", F.explode(_grams(F.col("word"))).alias("word")).groupBy("word", "lang").agg(F.sum("n").alias("n"))
     return Model(languages, [docs[x] for x in languages], _most(words, languages, MOST_WORDS), _most(grams, languages, MOST_GRAMS))
 
@@ -133,18 +133,22 @@ def _grams(word: Column) -> Column:
 
 
 def _most(counts: DataFrame, languages: list[str], most: int) -> dict[str, list[int]]:
-    by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(languages)]
-    if not by:
+    if not languages:
         return {}
-    table = counts.groupBy("word").agg(F.sum("n").alias("n"), *by).where(F.col("n") >= LEAST_COUNT)
-    top = table.orderBy(F.desc("n"), "word").limit(most).drop("n")
-    return {r[0]: list(r[1:]) for r in top.collect()}
+    by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(languages)]
+    table = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), *by).where(F.col("n") >= LEAST_COUNT))
+    share, found = max(1, most // len(languages)), {}
+    for i in range(len(languages)):
+        top = table.where(f"c{i} > 0").orderBy(F.desc(f"c{i}"), "word").limit(share).drop("n")
+        found.update((r[0], list(r[1:])) for r in top.collect())
+    return found
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, Counter] = {}
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+        texts = (t for part in stretches(batch["text"]) for t in part.to_pylist())
+        for lang, text in zip(batch["lang"].to_pylist(), texts):
             counts.setdefault(lang, Counter()).update(words_of(text))
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         langs, words, ns = zip(*rows) if rows else ((), (), ())
@@ -154,12 +158,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score of every whole text; columns of these names are replaced, all
     others stay. A text that is null or has no letter is `und` with score 0. No shuffle."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predicted(texts: pa.Array) -> pa.Array:
-        found = shared.value.predict(texts.to_pylist())
+        found = [f for part in stretches(texts) for f in shared.value.predict(part.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
 
     out = docs.withColumn("__found", predicted("text"))
@@ -176,6 +179,10 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents whose language is determined with a score of ``least`` or more; all columns stay."""
+    """The documents whose language is determined with a score of ``least`` or more; all columns stay.
+
+    A null text or one without a letter is not determined and goes; without labelled rows every row
+    goes. Repeated rows are judged each; a tie of languages goes to the first label in order. An
+    empty table gives no rows. ``lang`` null teaches nothing, a null doc_id is never learned from."""
     model = train(docs.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     return predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
