@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 FIXED, ATTENTION = 32.0, 16384.0
 #: Pieces that one task packs together, about.
 GROUP_PIECES = 20_000
-PACKED = "doc_id {id}, piece int, start_word long, n_words long, bin_id long, capacity int, offset int"
+PACKED = "doc_id {id}, copy int, piece int, start long, length long, bin_id long, capacity int, offset int"
 
 
 def cost(capacity: int) -> float:
@@ -58,35 +58,39 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = LENGTHS) -> list[
     return best[1] if best else []
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", capacities: tuple[int, ...] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Every piece of every document with its bin: id, piece, start_word, n_words, bin_id, capacity, offset.
+def pack(docs: DataFrame, length: str | None = None, capacities: tuple[int, ...] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Every piece of every document (doc_id, text) with its bin: doc_id, piece, start, length, bin_id, capacity, offset.
 
-    Lengths are white-space-separated words of ``text``. A text longer than the largest permitted
-    length is cut into pieces of that length and a rest; a text without words is one piece of length
-    0 in no bin (bin_id and offset null, capacity 0). A piece of the largest length fills a bin of its
-    own, of negative bin_id, and is not shuffled. What is left, one piece of a text at most, is dealt at
-    random, by hash, into groups of about ``group_pieces``, so a task never holds more however long the
-    texts are; each group is packed on its own, which leaves a few unfilled bins a group. Repeated rows
-    are packed each. An empty table gives no rows. The texts are read once, for a table of ids and
-    lengths in the checkpoint folder; all else works on that."""
+    Lengths are in the unit of the column ``length``, such as the token counts of ``tokens``, or else
+    white-space-separated words of ``text``. A text longer than the largest permitted length is cut
+    into pieces of that length and a rest; a text of length 0 or null is one piece in no bin (bin_id
+    and offset null, capacity 0). The pieces are dealt at random, by hash, into groups of about
+    ``group_pieces``, so a task never holds more however long the texts are; each group is packed on
+    its own, which leaves a few unfilled bins a group. Bins depend on the rows only, not on how they
+    are dealt to tasks. Repeated rows are packed each: copy tells them apart. An empty table gives no
+    rows. The texts are read once, for a table of ids and lengths in the checkpoint folder."""
     most = max(capacities)
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S++")).cast("long").alias("n")))
-    pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0).cast("long")))).alias("piece"))
-    pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * most).alias("start_word"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("n_words"))
-    groups = max(1, -(-rows.count() // group_pieces))
-    dealt = pieces.where(f"n_words > 0 and n_words < {most}").withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(groups)))
-    own_bin = F.when(F.col("n_words") > 0, -1 - F.monotonically_increasing_id())
-    kind = docs.schema[id_col].dataType.simpleString()
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S++")) if length is None else F.coalesce(F.col(length), F.lit(0))
+    rows = docs.select("doc_id", n.cast("long").alias("n"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
+    rows = stored(rows.groupBy("doc_id", "n", "crc").agg(F.count("*").alias("copies")))
+    last = F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    pieces = rows.select("doc_id", "n", "crc", F.explode(F.sequence(zero, F.col("copies") - 1)).alias("copy"))
+    pieces = pieces.select("doc_id", "n", "crc", F.col("copy").cast("int").alias("copy"), F.explode(F.sequence(zero, last)).alias("piece"))
+    start = F.col("piece") * most
+    pieces = pieces.select("doc_id", "crc", "copy", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - start).alias("length"))
+    count = rows.agg(F.sum(F.col("copies") * (last + 1))).first()[0] or 0
+    groups = max(1, -(-count // group_pieces))
+    dealt = pieces.where("length > 0").withColumn("group", F.pmod(F.xxhash64("doc_id", "crc", "copy", "piece"), F.lit(groups)))
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable").drop(columns="__group")
-        found = best_fit(rows["n_words"].tolist(), capacities)
-        rows["bin_id"] = [(int(key[0]) << 32) + b for b, _, _ in found]
-        rows["capacity"] = [c for _, _, c in found]
-        rows["offset"] = [o for _, o, _ in found]
-        return rows
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "crc", "copy", "piece"))])
+        found = best_fit(rows["length"].to_pylist(), capacities)
+        bins = pa.array([(key[0].as_py() << 32) + b for b, _, _ in found], pa.int64())
+        made = [bins, pa.array([c for _, _, c in found], pa.int32()), pa.array([o for _, o, _ in found], pa.int32())]
+        rows = rows.select(["doc_id", "copy", "piece", "start", "length"])
+        return pa.Table.from_arrays([*rows.columns, *made], names=[*rows.column_names, "bin_id", "capacity", "offset"])
 
-    schema = PACKED.format(id=kind)
-    alone = pieces.where(f"n_words = 0 or n_words = {most}").withColumn("bin_id", own_bin)
-    alone = alone.selectExpr("*", f"if(n_words > 0, {most}, 0) as capacity", "if(n_words > 0, 0, null) as offset")
-    return dealt.groupBy("__group").applyInPandas(packed, schema).unionByName(alone)
+    schema = PACKED.format(id=docs.schema["doc_id"].dataType.simpleString())
+    none = pieces.where("length = 0").selectExpr("doc_id", "copy", "piece", "start", "length", "cast(null as long) as bin_id", "0 as capacity", "cast(null as int) as offset")
+    return dealt.groupBy("group").applyInArrow(packed, schema).unionByName(none)
