@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import decontaminate, jaccard, langid, packing, pii
+from corpuslab.llm import decontaminate, entries, langid, packing, pii, simhash, tokens
 from corpuslab.llm.common import stored
 
 
@@ -15,9 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates: Jaccard similarity of
-    0.8 or more on 5-word shingles."""
-    return jaccard.keep_one(docs)
+    """One document, that of the smallest doc_id, of each group whose fingerprints link."""
+    return simhash.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +30,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in training sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents, measured in tokens, with their place in training sequences."""
+    counted = tokens.count_tokens(docs.select("doc_id", "text"), entries.tokenizer())
+    return packing.pack(counted, length="n_tokens")
 
 
 STAGES = [

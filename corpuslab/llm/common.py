@@ -8,35 +8,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read back, so that a lost
-    executor costs no recomputation. The session's folder is used; one is made only if unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuslab-"))
+    executor costs no recomputation."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that the session names. Where it names none, a local session gets a new one, and
+    a cluster, whose executors could not read the driver's disk, an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuslab-"))
+    return context.getCheckpointDir()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared checkpoint folder and read back: what
     ``checkpoint`` does, compressed and in columns, for wide or many rows."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        checkpoint(df.sparkSession.range(1))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Hold Arrow batches to ``rows`` rows: texts can be long, and a batch is held in memory whole."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of text that a Python helper works on at a time.
+STRETCH_BYTES = 4 << 20
+
+
+def stretches(column: pa.Array, most: int = STRETCH_BYTES) -> Iterator[pa.Array]:
+    """A column of texts in parts of at most ``most`` bytes (a longer text alone). Spark bounds the bytes of
+    the batch itself; this bounds what is made of it in Python, whatever the number of rows."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield column.slice(at, to - at)
+        at = to
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -40,13 +40,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
-        import public_tokenizers
+def tokenizer() -> str:
+    """The path of the tokenizer file that token counts are of."""
+    import public_tokenizers
 
-        tokenizer = public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, tokenizer).drop("text")
+    return count_tokens(docs, path or tokenizer()).drop("text")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

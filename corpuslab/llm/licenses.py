@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import bound_batches
+from corpuslab.llm.common import stretches
 from corpuslab.llm.decontaminate import normalise
 from corpuslab.llm.license_rules import rules
 
@@ -87,12 +87,11 @@ def scan(docs: DataFrame) -> DataFrame:
     largest word positions (null without any). labels adds those of the rules. score joins the
     strengths of what was found as independent evidence; 0 where nothing was. A null text has no
     words; repeated rows are scanned each; an empty table gives no rows."""
-    bound_batches(docs.sparkSession)
     signatures = docs.sparkSession.sparkContext.broadcast(Signatures())
 
     @F.arrow_udf(FOUND)
     def scanned(texts: pa.Array) -> pa.Array:
-        rows = list(map(signatures.value.scan, texts.to_pylist()))
+        rows = [signatures.value.scan(t) for part in stretches(texts) for t in part.to_pylist()]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
         names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)

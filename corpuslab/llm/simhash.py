@@ -11,25 +11,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import bound_batches, checkpoint, connected_components, tiles
+from corpuslab.llm.common import checkpoint, connected_components, stored, stretches, tiles
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
-#: A fingerprint's bits are cut into RADIUS + 2 pieces; within the radius, two pieces at least are equal.
-PIECES = 5
+#: A fingerprint's bits are cut into radius + ALIKE pieces; within the radius, ALIKE pieces at least are equal.
+ALIKE = 2
 #: Rows of one bucket that one task compares at a time.
 CHUNK_ROWS = 2048
 #: Small blocks are compared together until they have as many rows.
 TILE_ROWS = 512
 
 
-def simhash(text: bytes | None) -> int:
-    """64-bit SimHash of a text: A-Z lower-cased, words parted by ASCII white space, 3-word shingles
-    with repeats (a shorter text: all its words), each hashed by XXH64; a bit is set if over half
-    of the hashes have it. No words: 0. Given as a signed long."""
+def simhash(text: bytes | None, size: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of a text: A-Z lower-cased, words parted by ASCII white space, shingles of ``size``
+    words with repeats (a shorter text: all its words), each hashed by XXH64; a bit is set if over
+    half of the hashes have it. No words: 0. Given as a signed long."""
     words = (text or b"").lower().split()
     if not words:
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE_WORDS)))) if len(words) >= SHINGLE_WORDS else [b" ".join(words)]
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
@@ -37,12 +37,12 @@ def simhash(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, size: int = SHINGLE_WORDS) -> Column:
     """The SimHash of a text column as a long."""
 
     @F.arrow_udf("long")
     def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array([simhash(t) for t in texts.to_pylist()], pa.int64())
+        return pa.array([simhash(t, size) for part in stretches(texts) for t in part.to_pylist()], pa.int64())
 
     return hashed(F.encode(text, "UTF-8"))
 
@@ -87,11 +87,11 @@ def within_radius(fingerprints: np.ndarray, radius: int = RADIUS, block: int = 2
                     yield i, js
 
 
-def _stars(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stars(fingerprints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within one block of fingerprints as (member, root) of its own components."""
     values = np.unique(fingerprints)
     label = np.arange(len(values))
-    for i, js in within_radius(values):
+    for i, js in within_radius(values, radius):
         joined = np.unique(np.append(label[js], label[i]))
         if len(joined) > 1:
             label[np.isin(label, joined)] = joined[0]
@@ -99,27 +99,31 @@ def _stars(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(radius: int):
     """Blocks in sorted order, small ones joined into one comparison. Rows: key, lo, hi, fp."""
-    for table, _ in tiles(batches, ["key", "lo", "hi"], TILE_ROWS):
-        src, dst = _stars(table["fp"].to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in tiles(batches, ["key", "lo", "hi"], TILE_ROWS):
+            src, dst = _stars(table["fp"].to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links among distinct fingerprints (fp long) at RADIUS or fewer differing bits, as (src, dst)
+    return compare
+
+
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links among distinct fingerprints (fp long) at ``radius`` or fewer differing bits, as (src, dst)
     that join the same components as all links do.
 
     Each fingerprint goes to one bucket per pair of pieces. A bucket of n rows is cut by hash into
     chunks of about CHUNK_ROWS, and every two chunks are compared in a task of their own, so neither
     a hot bucket nor its pairs gather anywhere."""
-    width, at, pieces = 64 // PIECES, 0, []
-    for i in range(PIECES):
-        bits = width + (i < 64 % PIECES)
+    width, at, pieces = 64 // (radius + ALIKE), 0, []
+    for i in range(radius + ALIKE):
+        bits = width + (i < 64 % (radius + ALIKE))
         pieces.append((at, bits))
         at += bits
     fp, keys = F.col("fp"), []
-    for k, pair in enumerate(combinations(pieces, PIECES - RADIUS)):
+    for k, pair in enumerate(combinations(pieces, ALIKE)):
         key = F.lit(k).cast("long")
         for start, bits in pair:
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned(fp, start).bitwiseAND(F.lit(2**bits - 1).cast("long")))
@@ -134,17 +138,16 @@ def links(distinct: DataFrame) -> DataFrame:
         .select("fp", "key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
     )
     blocks = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return blocks.mapInArrow(_compare, "src long, dst long")
+    return blocks.mapInArrow(_compared(radius), "src long, dst long")
 
 
-def components(rows: DataFrame, id_col: str, found: DataFrame | None = None) -> DataFrame:
-    """``rows`` (``id_col``, fp) with component_id: the smallest id whose fingerprint is reachable over
-    ``found`` (src, dst), or else over links() of the fingerprints.
+def components(rows: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
+    """``rows`` (``id_col``, fp) with component_id: the smallest id whose fingerprint is reachable over links().
 
     Equal fingerprints are one node, so copies cost nothing; the row-to-node join is a plain
     equi-join that Spark can split where a fingerprint is hot."""
     distinct = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    grouped = connected_components(links(distinct) if found is None else found)
+    grouped = connected_components(links(distinct, radius))
     members = grouped.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
@@ -162,21 +165,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _grouped(docs.select("doc_id", "text")).select("doc_id", shown, "component_id")
 
 
-def _grouped(docs: DataFrame, *more: Column) -> DataFrame:
-    bound_batches(docs.sparkSession)
-    return components(checkpoint(docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), *more)), "doc_id")
+def _grouped(docs: DataFrame, *more: Column, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    rows = docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp"), *more)
+    return components(checkpoint(rows), "doc_id", radius)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The documents that stay when one of each component, that of the smallest doc_id, is kept, with
-    all their columns. Of rows equal in doc_id and text one stays, so a doc_id given to different
-    texts is judged by each. Documents without a doc_id stay where a whole component has none."""
-    return one_of_each(docs, _grouped(docs, F.xxhash64("text").alias("key")))
-
-
-def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the component_id of ``grouped`` (doc_id, key: xxhash64 of the text, component_id)."""
-    kept = grouped.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept")).distinct()
-    docs = docs.withColumn("__key", F.xxhash64("text"))
-    same = (docs["__key"] == kept["__kept"]) & docs["doc_id"].eqNullSafe(kept["__id"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["__key", "doc_id"]).drop("__key")
+    all their columns.
+
+    Null and wordless texts are one component. Of rows equal in doc_id and text any one stays; a
+    doc_id given to different texts is judged by each. Documents without a doc_id stay where a whole
+    component has none. An empty table gives no rows. What goes is listed by id and 128 bits of the
+    text, in a table whose size Spark knows: a short list is sent to the texts, a long one meets them
+    by that key, so the texts are shuffled once at most."""
+    key = F.md5(F.coalesce("text", F.lit(""))).alias("key")
+    grouped = _grouped(docs, key, words=words, radius=radius)
+    counted = stored(grouped.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")))
+    goes = stored(counted.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__id"), F.col("key").alias("__found")))
+    again = stored(counted.where("doc_id <=> component_id and n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__found")))
+    keyed = docs.withColumn("__key", key)
+    same = lambda listed: (F.col("__key") == F.col("__found")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    stays = keyed.join(goes, same(goes), "left_anti")
+    if not again.isEmpty():
+        once = stays.join(again, same(again), "left_anti")
+        stays = once.unionByName(stays.join(again, same(again), "left_semi").dropDuplicates(["__key", "doc_id"]))
+    return stays.select(*docs.columns)

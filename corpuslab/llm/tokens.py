@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import bound_batches
+from corpuslab.llm.common import stretches
 
 #: The byte-level pre-tokenizer's pattern (fixed values).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,13 +135,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     text; columns of these names are replaced, all others stay. ``tokenizer`` is the path of a
     byte-level BPE file on the driver, whose content goes to the workers. A null text counts as
     empty (0 tokens); repeated rows are counted each; an empty table gives no rows. No shuffle."""
-    bound_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(file.read()))
 
     @F.arrow_udf("long")
     def counted(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.counts(texts.to_pylist()), pa.int64())
+        return pa.array([n for part in stretches(texts) for n in shared.value.counts(part.to_pylist())], pa.int64())
 
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("n_tokens", counted(text))

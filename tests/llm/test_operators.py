@@ -191,25 +191,70 @@ def test_estimates_are_unbiased_and_bounded():
 # 4
 
 
+def best_fit_by_force(lengths, capacities):
+    """Every open bin is looked at for every piece."""
+    best = None
+    for most in sorted(capacities):
+        bins, place = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            n = lengths[i]
+            fits = [b for b in range(len(bins)) if bins[b][1] - bins[b][0] >= n]
+            if fits:
+                b = min(fits, key=lambda b: (bins[b][1] - bins[b][0], b))
+            else:
+                open_as = [c for c in sorted(capacities) if n <= c <= max(most, n)] or [min(c for c in capacities if c >= n)]
+                bins.append([0, min(open_as, key=lambda c: packing.cost(c) / c)])
+                b = len(bins) - 1
+            place[i] = (b, bins[b][0])
+            bins[b][0] += n
+        ends = [min(c for c in capacities if c >= used) for used, _ in bins]
+        if best is None or sum(map(packing.cost, ends)) < best[0]:
+            best = (sum(map(packing.cost, ends)), [(*place[i], ends[place[i][0]]) for i in range(len(lengths))])
+    return best[1] if best else []
+
+
+def test_best_fit_against_brute_force():
+    for n in (0, 1, 2, 7, 60, 200):
+        for top in (8, 100, 512):
+            lengths = [RNG.randint(1, top) for _ in range(n)]
+            caps = (64, 128, 256, 512) if top > 8 else (8, 16)
+            assert packing.best_fit(lengths, caps) == best_fit_by_force(lengths, caps)
+
+
 def test_packing(spark, docs, texts):
-    got = packing.pack(docs, capacities=(64, 128, 256, 512), group_pieces=8).collect()
-    assert sum(r["n_words"] for r in got) == sum(len((t or "").split()) for t in texts)
-    assert {r["doc_id"] for r in got} == set(range(len(texts)))
+    caps = (64, 128, 256, 512)
+    more = docs.unionByName(docs.where("doc_id in (5, 16)"))
+    got = packing.pack(more, capacities=caps, group_pieces=10**6).collect()
+    pieces = []
+    for i, t in [*enumerate(texts), (5, texts[5]), (16, texts[16])]:
+        n, copy = len((t or "").split()), 1 if any(p[0] == i for p in pieces) else 0
+        pieces += [(i, zlib.crc32((t or "").encode()), copy, k, min(512, n - 512 * k)) for k in range(max(1, -(-n // 512)))]
+    pieces.sort(key=lambda p: (-p[4], *p[:4]))
+    full = [p for p in pieces if p[4]]
+    want = {p[:1] + p[2:]: found for p, found in zip(full, best_fit_by_force([p[4] for p in full], caps))}
+    want |= {p[:1] + p[2:]: (None, None, 0) for p in pieces if not p[4]}
+    assert {(r["doc_id"], r["copy"], r["piece"], r["length"]): (r["bin_id"], r["offset"], r["capacity"]) for r in got} == want
+    assert len(got) == len(want) and all(r["start"] == 512 * r["piece"] for r in got)
+    again = packing.pack(more.repartition(7), capacities=caps, group_pieces=10**6).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))  # bins do not depend on the tasks
+    assert packing.pack(empty(spark)).count() == 0
+
+
+def test_packing_in_groups_by_given_lengths(spark):
+    rows = [(i if i else None, "x", RNG.choice([None, 0, 3, 700, 8192, 20000])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
+    got = packing.pack(df, length="n_tokens", group_pieces=16).collect()
+    assert sum(r["length"] for r in got) == sum(n or 0 for _, _, n in rows)
     bins = {}
     for r in got:
-        if r["n_words"]:
-            bins.setdefault(r["bin_id"], []).append(r)
-    for rows in bins.values():
-        rows.sort(key=lambda r: r["offset"])
+        if r["length"]:
+            bins.setdefault(r["bin_id"], []).append((r["offset"], r["length"], r["capacity"]))
+    for own in bins.values():
         at = 0
-        for r in rows:
-            assert r["offset"] == at
-            at += r["n_words"]
-        caps = [c for c in (64, 128, 256, 512) if c >= at]
-        assert {r["capacity"] for r in rows} == {caps[0]}  # downsized to the contents
-    full = [r for r in got if r["n_words"] == 512]
-    assert full and len({r["bin_id"] for r in full}) == len(full) and all(r["bin_id"] < 0 and (r["capacity"], r["offset"]) == (512, 0) for r in full)
-    assert packing.pack(empty(spark)).count() == 0
+        for offset, n, capacity in sorted(own):
+            assert offset == at
+            at += n
+        assert {c for _, _, c in own} == {min(c for c in packing.LENGTHS if c >= at)}
 
 
 def test_best_fit_takes_the_tightest_bin_and_no_dearer_than_one_length():
@@ -272,19 +317,39 @@ def removed_by_force(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [4096, 2])
+@pytest.mark.parametrize("most", [256, 2])
 def test_suffix_dedup(spark, texts, monkeypatch, most):
-    """Both with arrays and with the counts that replace them for anchors of very many kinds."""
+    """Both where arrays hold all segments of an anchor and where anchors are split down to single strings."""
     monkeypatch.setattr(suffixes, "MOST_SEGMENTS", most)
-    passage = words(120, "qrstuv")
+    passage, few = words(120, "qrstuv"), words(51, "mn")[:390]
     more = texts + [passage + " " + words(30), words(35) + passage, words(10) + passage[:450], "é" + passage, words(3) * 200, words(40) + passage + passage]
+    more += [words(5) + " " + few + " " + words(6), words(8) + " " + few]
+    line = words(30, "wxyz")  # a common line in many contexts, and in few that differ around it
+    around = [(words(40, "ab"), words(40, "cd")) for _ in range(3)]
+    more += [words(60) + line + words(60) for _ in range(12)] + [a[-n:] + line + b[:m] for a, b in around for n in (150, 180) for m in (150, 190)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(more)], "doc_id long, text string").repartition(4)
     got = by_id(suffixes.removal(df))
     for i, want in enumerate(removed_by_force(more, suffixes.LENGTH)):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
+    split = [(t or "").split() for t in more]
+    grams = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in split]
+    shares = {i for i, g in enumerate(grams) if any(g & h for j, h in enumerate(grams) if j != i)}
+    assert shares == {i for i, r in got.items() if r["shares_passage"]} and 5 < len(shares) < len(more)
     assert suffixes.removal(empty(spark)).count() == 0
 
 
+def test_parts_of_a_split_segment():
+    """All strings of a segment fall into parts, once each, at every width."""
+    data = words(200).encode()
+    for _, _, _, _, start, n in suffixes.segments([np.frombuffer(data, np.uint8)]):
+        own = data[start : start + n + suffixes.LENGTH - 1]
+        row = suffixes._rows(suffixes.CUT, [(False, 0, 0, 0, 0, b"k", start, n, own)])
+        for width in suffixes.WIDTHS:
+            parts = [r for b in suffixes._split(width)(iter([row])) for r in b.to_pylist()]
+            assert sorted(s for r in parts for s in range(r["start"], r["start"] + r["starts"])) == list(range(start, start + n))
+            assert all(r["bytes"] == data[r["start"] : r["start"] + r["starts"] + suffixes.LENGTH - 1] and r["starts"] <= width for r in parts)
+
+
 def test_suffix_array():
     for _ in range(80):
         data = bytes(RNG.choice(b"ab\x00") for _ in range(RNG.randint(0, 250)))
@@ -332,7 +397,7 @@ def test_decontamination_in_blocks(spark, docs, texts, monkeypatch):
     source = fold(texts[5])
     bench = spark.createDataFrame([(i, " ".join(source[i * 7 : i * 7 + 12])) for i in range(20)], "item_id long, text string")
     whole = by_id(decontaminate.contamination(docs, bench))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 24)
     assert by_id(decontaminate.contamination(docs, bench)) == whole
     none = by_id(decontaminate.contamination(docs, empty(spark, "item_id long, text string")))
     assert not any(r["contaminated"] for r in none.values()) and none[5]["items_sha256"] == hashlib.sha256(b"").hexdigest()
@@ -357,6 +422,20 @@ def test_jump_hash(spark, shards):
     assert [r["shard"] for r in sharding.assign_shards(df, "k", shards).collect()] == [jump(k, shards) for k in keys]
 
 
+def test_shards_of_any_key(spark):
+    import uuid
+
+    keys = [None, "a0", "", *(str(uuid.UUID(int=RNG.getrandbits(128))) for _ in range(400))]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    few = {r["k"]: r["shard"] for r in sharding.assign_shards(df, "k", 8).collect()}
+    more = {r["k"]: r["shard"] for r in sharding.assign_shards(df, "k", 9).collect()}
+    assert set(few.values()) == set(range(8)) and all(more[k] in (few[k], 8) for k in keys) and any(more[k] == 8 for k in keys)
+    got = sharding.shard_documents(df.selectExpr("k as doc_id", "k as text")).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == few
+    with pytest.raises(ValueError):
+        sharding.number_within(df.withColumn("__n", df["k"]), "k", ["k"])
+
+
 def test_sharding(spark, texts):
     rows = [(i, t) for i, t in enumerate(texts * 30)] + [(None, "x"), (5, "y"), (5, "y")]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -10,7 +10,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 def test_stages_and_run(spark):
     import corpus_pipeline
-    from corpuslab.llm import decontaminate, pii, simhash
+    from corpuslab.llm import decontaminate, entries, pii, simhash
     from corpuslab.llm.common import stored
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -30,9 +30,9 @@ def test_stages_and_run(spark):
     left = pii.personal_data(seen[4]).selectExpr("sum(n_email + n_ip + n_card + n_phone)").first()[0]
     before = pii.personal_data(seen[3]).selectExpr("sum(n_email + n_ip + n_card + n_phone)").first()[0]
     assert before > 0 and left == 0
-    words = {r["doc_id"]: len(r["text"].split()) for r in seen[4].collect()}
-    packed = {r["doc_id"]: r["n"] for r in seen[5].groupBy("doc_id").sum("n_words").withColumnRenamed("sum(n_words)", "n").collect()}
-    assert packed == words
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(entries.tokenizer())
+    counts = {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) for r in seen[4].collect()}
+    assert {r["doc_id"]: r["n"] for r in seen[5].groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect()} == counts
     assert corpus_pipeline.run(spark, FOLDER).count() == seen[5].count()
 
 
