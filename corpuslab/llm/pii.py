@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import checkpoint
+from corpuslab.llm.common import checkpoint, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Leftmost non-overlapping matches of the stated patterns. Look-behinds and possessive quantifiers
@@ -33,83 +33,71 @@ GROUPS = r"(?<![\p{L}0-9@._%+/-])\+?\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++(?![\
 TOKEN = r"(?<![\p{L}0-9@._%+/-])[\p{L}._%+/-]*+[0-9@][\p{L}0-9@._%+/-]*+"
 #: Digits that a candidate without @ must have.
 LEAST_DIGITS = 4
-#: Characters of the left neighbourhood that are looked at for the two words of a pattern.
-CONTEXT = 60
+#: Code points of a text that are rebuilt at a time when its spans are replaced.
+PIECE = 1024
 ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE = 3, 5, 0.9
 
 
-def _found(text: Column, pattern: str, gate: str) -> Column:
-    """array<struct<start,end,match,left>> of a pattern's matches; left: the text between the one before and this."""
+def _matches(text: Column, what: int, pattern: str, gate: str) -> Column:
+    """array<struct<what,n,gap,size,match,tail>> of a pattern's matches: the number of each, the lengths of the
+    text between it and the one before and of itself, and the last words of that text, white space as one space."""
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.transform(F.arrays_zip(matches.alias("match"), F.slice(between, 1, F.size(matches)).alias("left")), lambda z: z)
-    size = lambda z: F.length(z["left"]) + F.length(z["match"])
-    ends = F.aggregate(both, F.array().cast("array<int>"), lambda a, z: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + size(z)))
-    whole = F.transform(
-        F.arrays_zip(both.alias("z"), ends.alias("end")),
-        lambda x: F.struct((x["end"] - F.length(x["z"]["match"])).alias("start"), x["end"].alias("end"), x["z"]["match"].alias("match"), F.right(x["z"]["left"], F.lit(CONTEXT)).alias("left")),
-    )
-    return F.when(text.rlike(gate), whole).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,left:string>>"))
-
-
-def _luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
-    turned = F.reverse(digits)
-
-    def add(total: Column, i: Column) -> Column:
-        d = F.substr(turned, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
-        return total + d - F.when(d > 9, 9).otherwise(0)
+    both = F.arrays_zip(matches.alias("match"), F.slice(between, 1, F.size(matches)).alias("left"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
+    def row(z: Column, n: Column) -> Column:
+        tail = F.substring_index(F.regexp_replace(z["left"], r"\s++", " "), " ", -3)
+        sizes = F.length(z["left"]).alias("gap"), F.length(z["match"]).alias("size")
+        return F.struct(F.lit(what).alias("what"), n.alias("n"), *sizes, z["match"].alias("match"), tail.alias("tail"))
 
-
-def _span(kind_no: int, m: Column) -> Column:
-    return F.struct(m["start"].alias("start"), F.lit(kind_no).alias("kind_no"), m["end"].alias("end"))
-
-
-def _of_kind(kind_no: int, span: Column) -> Column:
-    return span["kind_no"] == kind_no
+    none = F.array().cast("array<struct<what:int,n:int,gap:int,size:int,match:string,tail:string>>")
+    return F.when(text.rlike(gate), F.transform(both, row)).otherwise(none)
 
 
-def _holds(kind: str, m: Column) -> Column:
-    match = m["match"]
+def _holds(kind: str, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     return {
         "email": F.lit(True),
         "ip": match.rlike(rf"^{PART}(?:\.{PART}){{3}}$"),
-        "card": F.length(digits).between(12, 19) & _luhn(F.substr(digits, F.lit(1), F.lit(19))),
+        "card": F.length(digits).between(12, 19) & F.call_function("luhn_check", F.substr(digits, F.lit(1), F.lit(19))),
         "phone": F.length(digits).between(9, 15),
     }[kind]
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<start,kind_no,end>> of the base patterns in a text, by start, then kind as listed.
-    Code points, end exclusive; a null text has none."""
-    text = F.coalesce(text, F.lit(""))
-    kinds = []
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null for a null text."""
+    return F.unhex(F.md5(text))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(key, start, end, instance, pattern, kind_no) of the base spans of each different text and, with no
+    kind, of identifier-like tokens that touch none. Code points, end exclusive.
+
+    pattern: the two words to the left, lower-cased, as far as three matches back; null without two words
+    or a letter in them. Every match becomes a row, and positions are running sums, so a text of any
+    number of matches takes time in proportion; copies of a text are one from the map side on."""
+    text = F.col("text")
+    arrays = [_matches(text, k, PATTERNS[kind], GATES[kind]) for k, kind in enumerate(KINDS)]
+    arrays.append(_matches(text, len(KINDS), f"{GROUPS}|{TOKEN}", "[0-9@]"))
+    # The key is made beside the array, below the explode, or else it would be made for each match.
+    rows = docs.where(text.isNotNull()).select(text_key(text).alias("key"), F.concat(*arrays).alias("all"))
+    rows = rows.select("key", F.explode("all").alias("m")).select("key", "m.*")
+    rows = stored(rows.dropDuplicates(["key", "what", "n"])).repartition("key")
+    own = Window.partitionBy("key", "what").orderBy("n")
+    before = lambda name, k: F.coalesce(F.lag(name, k).over(own), F.lit(""))
+    left = F.substring_index(F.concat(before("tail", 2), before("match", 2), before("tail", 1), before("match", 1), "tail"), " ", -3)
+    pattern = F.lower(F.regexp_extract(left, r"^(\S+ \S+) $", 1))
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    rows = rows.select("key", "what", (F.col("end") - F.col("size")).alias("start"), "end", F.col("match").alias("instance"), F.when(pattern.rlike(r"\p{L}"), pattern).alias("pattern"))
+    match, token = F.col("instance"), F.col("what") == len(KINDS)
+    fine = token & (match.contains("@") | (F.length(F.regexp_replace(match, "[^0-9]", "")) >= LEAST_DIGITS))
     for k, kind in enumerate(KINDS):
-        kept = F.filter(_found(text, PATTERNS[kind], GATES[kind]), partial(_holds, kind))
-        kinds.append(F.transform(kept, partial(_span, k)))
-    return F.array_sort(F.concat(*kinds))
-
-
-def _candidates(text: Column, base: Column) -> Column:
-    """array<struct<start,end,instance,pattern,kind_no>> of the base spans and, with no kind, of identifier-like
-    tokens that touch none; each with the two words, letters among them, that stand to its left in the text."""
-    text = F.coalesce(text, F.lit(""))
-    free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
-    tokens = F.filter(
-        _found(text, f"{GROUPS}|{TOKEN}", "[0-9@]"),
-        lambda m: (m["match"].contains("@") | (F.length(F.regexp_replace(m["match"], "[^0-9]", "")) >= LEAST_DIGITS)) & free(m),
-    )
-    place = lambda m, kind_no: F.struct(m["start"].alias("start"), m["end"].alias("end"), kind_no.alias("kind_no"))
-    both = F.concat(F.transform(base, lambda b: place(b, b["kind_no"])), F.transform(tokens, lambda m: place(m, F.lit(None).cast("int"))))
-    left = lambda m: F.substr(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
-    words = lambda m: F.lower(F.regexp_extract(left(m), r"(?:^|\s)(\S+\s+\S+)\s+$", 1))
-    framed = F.transform(
-        both,
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substr(text, m["start"] + 1, m["end"] - m["start"]).alias("instance"), words(m).alias("pattern"), m["kind_no"].alias("kind_no")),
-    )
-    return F.filter(framed, lambda c: c["pattern"].rlike(r"\p{L}"))
+        fine = fine | ((F.col("what") == k) & _holds(kind, match))
+    # A token touches a base span if one that starts before the token's end ends behind its start.
+    place = F.struct(F.when(token, F.col("end")).otherwise(F.col("start")), ~token)
+    reach = F.max(F.when(~token, F.col("end"))).over(Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.where(fine).withColumn("place", place).withColumn("reach", reach)
+    rows = rows.where(~token | F.col("reach").isNull() | (F.col("reach") <= F.col("start")))
+    return rows.select("key", "start", "end", "instance", "pattern", F.when(~token, F.col("what")).alias("kind_no"))
 
 
 def _pattern_scores(edges: DataFrame) -> DataFrame:
@@ -142,30 +130,15 @@ def _pattern_scores(edges: DataFrame) -> DataFrame:
     return patterns.where(F.col("confidence") >= LEAST_CONFIDENCE).withColumnRenamed("as_kind", "kind_no")
 
 
-def _row_key(df: DataFrame) -> Column:
-    """Tells the rows of one doc_id apart; joins use it with doc_id, so 64 bits do at any size."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
-
-
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, base, spans) for every document of (doc_id, text): spans are arrays of
-    struct<start, kind_no, end>, ``spans`` those of ``base`` and what the contexts add.
-
-    The texts are read once; what follows is narrow. Added spans touch no base span and no other
-    added one. Null texts have no spans; rows repeated in doc_id and text get the same spans."""
-    text = F.col("text")
-    found = docs.select("doc_id", _row_key(docs).alias("row_key"), "text", base_spans(text).alias("base"))
-    found = checkpoint(found.select("doc_id", "row_key", "base", _candidates(text, F.col("base")).alias("tokens")))
-    rows = found.where(F.size("tokens") > 0).select("doc_id", "row_key", F.explode("tokens").alias("t")).select("doc_id", "row_key", "t.*")
-    edges = rows.groupBy("pattern", "instance").agg(F.max("kind_no").alias("kind_no"))
-    patterns = _pattern_scores(edges)
-    fresh = rows.where("kind_no is null").join(checkpoint(patterns.withColumnRenamed("kind_no", "as_kind")), "pattern")
-    span = F.struct("start", F.col("as_kind").alias("kind_no"), "end")
-    added = fresh.select("doc_id", "row_key", span.alias("span")).distinct().groupBy("doc_id", "row_key").agg(F.collect_list("span").alias("added"))
-    added = checkpoint(added.select(F.col("doc_id").alias("added_id"), F.col("row_key").alias("added_key"), "added"))
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))))
-    same = (F.col("row_key") == F.col("added_key")) & F.col("doc_id").eqNullSafe(F.col("added_id"))
-    return found.join(added, same, "left").select("doc_id", "row_key", "base", spans.alias("spans"))
+def spans_of(docs: DataFrame) -> DataFrame:
+    """(key, start, end, kind_no, base) of every span of each different text: base ones, and those that contexts
+    add, which touch no base span and no other added one."""
+    rows = stored(candidates(docs))
+    edges = rows.where("pattern is not null").groupBy("pattern", "instance").agg(F.max("kind_no").alias("kind_no"))
+    patterns = stored(_pattern_scores(edges).select("pattern", F.col("kind_no").alias("as_kind")))
+    base = rows.where("kind_no is not null").select("key", "start", "end", "kind_no", F.lit(True).alias("base"))
+    added = rows.where("kind_no is null").join(patterns, "pattern").select("key", "start", "end", F.col("as_kind").alias("kind_no"), F.lit(False).alias("base"))
+    return base.unionByName(added)
 
 
 def _listed(spans: Column | str) -> Column:
@@ -173,33 +146,65 @@ def _listed(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(kind_no: int, span: Column) -> Column:
+    return span["kind_no"] == kind_no
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every document of (doc_id, text).
+
+    Null and empty texts have no spans; copies and repeated rows get the same ones; an empty table gives no
+    rows. Spans are listed by start, then kind."""
+    span = F.struct("start", "kind_no", "end")
+    found = spans_of(docs).groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key")).join(stored(found), "key", "left")
+    empty = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
+    rows = rows.select("doc_id", F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans"))
     counts = [F.size(F.filter("base", partial(_of_kind, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return find(docs).select("doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
+def _cuts(spans: DataFrame) -> DataFrame:
+    """(key, cuts): what goes from each PIECE of a text, as map<piece, array<struct<from,to,label>>>. Overlapping
+    spans are one, of the first one's kind; a span over several pieces leaves its label in the first."""
+    ordered = Window.partitionBy("key").orderBy("start", "kind_no", "end")
+    reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
+    spans = spans.withColumn("whole", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("start", "kind_no"))
+    whole = spans.groupBy("key", "whole").agg(first.alias("first"), F.max("end").alias("end")).select("key", "first.start", "first.kind_no", "end")
+    at = F.floor(F.col("start") / PIECE).cast("int")
+    parts = whole.select("*", F.explode(F.sequence(at, F.floor((F.col("end") - 1) / PIECE).cast("int"))).alias("piece"))
+    names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
+    base = F.col("piece") * PIECE
+    cut = F.struct(
+        F.greatest(F.col("start") - base, F.lit(0)).alias("from"),
+        F.least(F.col("end") - base, F.lit(PIECE)).alias("to"),
+        F.when(F.col("piece") == at, F.get(names, "kind_no")).otherwise("").alias("label"),
+    )
+    parts = parts.select("key", "piece", cut.alias("cut")).groupBy("key", "piece").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    return parts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("piece", "cuts"))).alias("cuts"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets, overlapping spans as
-    one; n_chars, where present, is counted anew. All rows and columns stay."""
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("row_key").alias("__found_key"), F.col("doc_id").alias("__found_id"), F.col("spans").alias("__spans"))
-    spans = spans.dropDuplicates(["__found_key", "__found_id"])
-    empty = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
+def _without(piece: Column, cuts: Column) -> Column:
+    """A piece of a text with its cuts replaced by their labels."""
+    until = lambda i: F.coalesce(F.get(cuts, i)["from"], F.length(piece))
+    since = lambda i: F.coalesce(F.get(cuts, i - 1)["to"], F.lit(0))
+    part = lambda i: F.concat(F.substr(piece, since(i) + 1, until(i) - since(i)), F.coalesce(F.get(cuts, i)["label"], F.lit("")))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts)), part), "")
 
-    def merge(a: Column, s: Column) -> Column:
-        last = F.try_element_at(a, F.lit(-1))
-        wider = F.struct(last["start"].alias("start"), last["kind_no"].alias("kind_no"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(a) > 0) & (s["start"] < last["end"]), F.array_append(F.slice(a, 1, F.size(a) - 1), wider)).otherwise(F.array_append(a, s))
 
-    same = (F.col("__key") == F.col("__found_key")) & F.col("doc_id").eqNullSafe(F.col("__found_id"))
-    joined = docs.withColumn("__key", _row_key(docs)).join(spans, same, "left")
-    joined = joined.withColumn("__spans", F.aggregate("__spans", empty, merge))
-    names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
-    to = lambda i: F.coalesce(F.get("__spans", i)["start"], F.length("text"))
-    since = lambda i: F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
-    piece = lambda i: F.concat(F.substr("text", since(i) + 1, to(i) - since(i)), F.coalesce(F.get(names, F.get("__spans", i)["kind_no"]), F.lit("")))
-    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__spans")), piece), "")
-    out = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean))
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with every span replaced by its kind in angle brackets, overlapping spans as one;
+    n_chars, where present, is counted anew. All rows and columns stay.
+
+    Texts without spans, null and empty ones stay as they are; copies and repeated rows change alike; an
+    empty table gives no rows. Columns named __key, __found or __cuts are replaced by none of these."""
+    found = stored(_cuts(spans_of(docs.select("text")))).select(F.col("key").alias("__found"), F.col("cuts").alias("__cuts"))
+    joined = docs.withColumn("__key", text_key(F.col("text"))).join(found, F.col("__key") == F.col("__found"), "left")
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = F.array_join(F.transform(pieces, lambda p, i: F.coalesce(_without(p, F.try_element_at(F.col("__cuts"), i)), p)), "")
+    out = joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
