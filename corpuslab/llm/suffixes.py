@@ -23,7 +23,7 @@ from corpuslab.llm.common import checkpoint, stored, stretches
 
 LENGTH, SHORT = 400, 64
 #: The same in words, for passages that other documents hold too.
-PASSAGE_WORDS, SHORT_WORDS = 51, 16
+PASSAGE_WORDS, SHORT_WORDS = 51, 8
 #: Bytes whose anchors are worked out at a time.
 STRETCH = 1 << 17
 #: Bytes of one suffix array, about, and distinct segments of one key that one may hold.
@@ -227,40 +227,60 @@ def _ddl(columns: dict[str, str]) -> str:
 
 
 PLACE = {"text_key": "binary", "start": "bigint", "starts": "bigint"}
-SEGMENT = {"words": "boolean", "k1": "bigint", "k2": "bigint", "d1": "bigint", "d2": "bigint", **PLACE}
+SEGMENT = {"k1": "bigint", "k2": "bigint", "d1": "bigint", "d2": "bigint", **PLACE}
+FOUND = {"words": "boolean", **SEGMENT, "inside": "bigint"}
 CUT = {**SEGMENT, "bytes": "binary"}
+CUT_ANY = {"words": "boolean", **CUT}
 STRING = {"h1": "bigint", "h2": "bigint", "text_key": "binary"}
 
 
+def _words_before(data: np.ndarray) -> np.ndarray:
+    """The number of words that start before each byte, and in all."""
+    gap = (data == 32) | ((data >= 9) & (data <= 13))
+    return np.cumsum(np.append(0, ~gap & np.append(True, gap[:-1])), dtype=np.int32)
+
+
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to their segments in bytes and in words. k1 is the anchor; k2 is for later splits."""
+    """Texts to their segments in bytes, with the whole words inside each at least, and to the anchors only of
+    those in words. k1 is the anchor; k2 is for later splits."""
     for batch in batches:
         at = 0
         for part in stretches(batch["bytes"], STRETCH):
             texts, keys = part.to_pylist(), batch["text_key"].slice(at, len(part)).to_pylist()
             at += len(part)
-            rows = [(False, a, 0, d1, d2, keys[t], s, n) for t, a, d1, d2, s, n in segments([np.frombuffer(x, np.uint8) for x in texts])]
-            found = segments([word_hashes(x) for x in texts], PASSAGE_WORDS, SHORT_WORDS)
-            yield _rows(SEGMENT, rows + [(True, a, 0, d1, d2, keys[t], s, n) for t, a, d1, d2, s, n in found])
+            data = [np.frombuffer(x, np.uint8) for x in texts]
+            words = [_words_before(x) for x in data]
+            rows = [(False, a, 0, d1, d2, keys[t], s, n, int(words[t][s + n + LENGTH - 1] - words[t][s]) - 1) for t, a, d1, d2, s, n in segments(data)]
+            rows += [(True, a, 0, 0, 0, keys[t], 0, 0, 0) for t, a in {x[:2] for x in segments([word_hashes(x) for x in texts], PASSAGE_WORDS, SHORT_WORDS)}]
+            yield _rows(FOUND, rows)
+
+
+def _passages(text: bytes, own: set[int]) -> Iterator[bytes]:
+    """128 bits for each string of PASSAGE_WORDS words that is placed by one of ``own`` anchors."""
+    hashes = word_hashes(text)
+    for _, anchor, _, _, start, n in segments([hashes], PASSAGE_WORDS, SHORT_WORDS):
+        if anchor in own:
+            data, size = hashes[start : start + n + PASSAGE_WORDS - 1].tobytes(), 8 * PASSAGE_WORDS
+            yield b"".join(xxhash.xxh3_128_digest(data[i : i + size]) for i in range(0, len(data) - size + 1, 8))
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the segments wanted of them, to a row for each segment with its bytes (of words: their hashes)."""
+    """Texts with the segments wanted of them, to a row for each with its bytes; of a text with anchors in words,
+    rows of digests of the passages there."""
     for batch in batches:
         rows, held = [], 0
-        for key, text, wanted in zip(batch["text_key"].to_pylist(), batch["bytes"], batch["wanted"].to_pylist()):
-            text = text.as_py()
-            hashes = word_hashes(text) if any(w["words"] for w in wanted) else None
-            for w in wanted:
+        for row in zip(*(batch[c] for c in ("text_key", "bytes", "wanted", "own"))):
+            key, text, wanted, own = (x.as_py() for x in row)
+            for w in wanted or []:
                 s, n = w["start"], w["starts"]
-                data = hashes[s : s + n + PASSAGE_WORDS - 1].tobytes() if w["words"] else text[s : s + n + LENGTH - 1]
-                rows.append((w["words"], w["k1"], w["k2"], w["d1"], w["d2"], key, s, n, data))
-                held += len(data)
+                rows.append((False, w["k1"], w["k2"], w["d1"], w["d2"], key, s, n, text[s : s + n + LENGTH - 1]))
+                held += len(rows[-1][-1])
                 if held > ARRAY_BYTES:
-                    yield _rows(CUT, rows)
+                    yield _rows(CUT_ANY, rows)
                     rows, held = [], 0
+            rows += [(True, 0, 0, 0, 0, key, 0, 0, found) for found in _passages(text, set(own or []))]
         if rows:
-            yield _rows(CUT, rows)
+            yield _rows(CUT_ANY, rows)
 
 
 def _split(width: int):
@@ -278,7 +298,7 @@ def _split(width: int):
                         a, b = max(0, anchor - r * width - width + 1), min(n, anchor - r * width + 1)
                         shared = data[anchor - r * width : anchor - r * width + LENGTH - width + 1]
                         own = data[a : b + LENGTH - 1]
-                        rows.append((False, *digest(b"%d " % r + shared), *digest(own), key, start + a, b - a, own))
+                        rows.append((*digest(b"%d " % r + shared), *digest(own), key, start + a, b - a, own))
                 yield _rows(CUT, rows)
 
     return split
@@ -306,12 +326,12 @@ def _sort_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of words to a row for each string of PASSAGE_WORDS words."""
+    """Rows of digests to a row for each."""
     for batch in batches:
-        for part in stretches(batch["bytes"], ARRAY_BYTES // 8):
-            keys = batch["text_key"].slice(part.offset - batch["bytes"].offset, len(part)).to_pylist()
-            size = 8 * PASSAGE_WORDS
-            yield _rows(STRING, [(*digest(d[i : i + size]), key) for key, d in zip(keys, part.to_pylist()) for i in range(0, len(d) - size + 1, 8)])
+        keys, digests = batch["text_key"].to_pylist(), batch["bytes"].to_pylist()
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        owners = pa.array(np.repeat(np.arange(len(keys)), [len(d) // 16 for d in digests]))
+        yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), batch["text_key"].take(owners)], names=list(STRING))
 
 
 def text_key(text: Column) -> Column:
@@ -324,18 +344,15 @@ KEY, KIND = ["k1", "k2"], ["k1", "k2", "d1", "d2"]
 
 def _weighed(found: DataFrame) -> DataFrame:
     """Each kind of segment (equal digests) of ``found`` whose key has another segment: its number n, one of
-    its places, whether its texts differ, and the number of kinds of its key and whether its texts differ."""
-    differ = lambda low, high: (F.min(low) < F.max(high)).alias("differ")
-    kinds = found.groupBy("words", *KIND).agg(
-        F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("one"), differ("text_key", "text_key"), F.max("text_key").alias("last")
-    )
-    keys = kinds.groupBy("words", *KEY).agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), (F.min("one.text_key") < F.max("last")).alias("across"))
-    return checkpoint(kinds.join(keys.where(F.col("all") > 1), ["words", *KEY]).select("words", *KIND, "n", "one", "differ", "kinds", "across"))
+    its places, whether its texts differ, and the number of kinds of its key."""
+    kinds = found.groupBy(*KIND).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("one"), (F.min("text_key") < F.max("text_key")).alias("differ"))
+    keys = kinds.groupBy(*KEY).agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
+    return checkpoint(kinds.join(keys.where(F.col("all") > 1), KEY).select(*KIND, "n", "one", "differ", "kinds"))
 
 
 def _equal(found: DataFrame, weighed: DataFrame) -> DataFrame:
     """Segments that occur more than once: every string of them starts elsewhere."""
-    return found.join(weighed.where("n > 1 and not words").select(*KIND), KIND, "left_semi").select(*PLACE)
+    return found.join(weighed.where("n > 1").select(*KIND, "differ"), KIND)
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -343,40 +360,50 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     such strings as array<struct<start,starts>>; and (text_key) of the texts that hold PASSAGE_WORDS
     consecutive words which a different text holds too. Texts that occur twice count once in both."""
     long = docs.where(F.octet_length("text") >= 2 * PASSAGE_WORDS - 1).select("doc_id", text_key(F.col("text")).alias("text_key"), F.encode("text", "UTF-8").alias("bytes"))
-    found = long.select("text_key", "bytes").mapInArrow(_find_segments, _ddl(SEGMENT))
-    found = stored(found.groupBy("words", *KIND, "text_key", "start").agg(F.first("starts").alias("starts")))
-    weighed = _weighed(found)
-    spans, passages = [_equal(found, weighed)], [found.where("words").join(weighed.where("words and differ").select(*KIND), KIND, "left_semi").select("text_key")]
-    # Different segments of one key, one of each kind; of words, those with a key in different texts.
-    wanted = F.struct("words", *KIND, "one.start", "one.starts")
-    wanted = weighed.where("kinds > 1 and (not words or across)").select(F.col("one.text_key").alias("wanted_key"), wanted.alias("w"))
-    wanted = wanted.groupBy("wanted_key").agg(F.collect_list("w").alias("wanted"))
+    found = stored(long.select("text_key", "bytes").mapInArrow(_find_segments, _ddl(FOUND)))
+    # Anchors that occur at another place, of words in another text: two places differ in 64 bits.
+    short_key = F.xxhash64("text_key")
+    place = F.when(F.col("words"), short_key).otherwise(F.xxhash64("text_key", "start")).alias("place")
+    places = found.select("words", "k1", place).groupBy("words", "k1").agg(F.min("place").alias("a"), F.max("place").alias("b"))
+    often = stored(places.where("a <> b").select("words", "k1"))
+    in_bytes = found.where("not words").select(*SEGMENT, "inside").join(often.where("not words"), "k1", "left_semi")
+    in_bytes = stored(in_bytes.dropDuplicates([*KIND, "text_key", "start"]))
+    weighed = _weighed(in_bytes)
+    equal = stored(_equal(in_bytes, weighed).select(*PLACE, "inside", "differ"))
+    spans = [equal.select(*PLACE)]
+    # Different segments of one key, one of each kind.
+    kind = weighed.where("kinds > 1").select(F.col("one.text_key").alias("text_key"), F.struct(*KIND, "one.start", "one.starts").alias("w"))
+    kind = kind.groupBy("text_key").agg(F.collect_list("w").alias("wanted"))
+    # Texts whose shared bytes hold a passage for certain; of anchors in words, those that another text has.
+    sure = stored(equal.where(F.col("differ") & (F.col("inside") >= PASSAGE_WORDS)).select("text_key").distinct())
+    of_words = stored(found.where("words").select("k1", short_key.alias("short")).join(often.where("words"), "k1", "left_semi"))
+    open_ones = of_words.join(sure.select(short_key.alias("short")), "short", "left_anti").select("k1").distinct()
+    of_words = of_words.join(open_ones, "k1", "left_semi").groupBy("short").agg(F.collect_set("k1").alias("own"))
     # Of copies of a text, the document of the smallest id gives the bytes.
-    one = long.groupBy("text_key").agg(F.min("doc_id").alias("one_id")).withColumnRenamed("text_key", "wanted_key")
-    same = (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
-    cut = stored(long.join(wanted.join(one, "wanted_key"), same).select("text_key", "bytes", "wanted").mapInArrow(_cut_segments, _ddl(CUT)))
-    cut = cut.dropDuplicates(["words", *KIND])  # rows repeated in id and text come twice
-    strings = cut.where("words").select("text_key", "bytes").mapInArrow(_strings, _ddl(STRING))
-    strings = stored(strings.distinct())
-    shared = strings.groupBy("h1", "h2").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("h1", "h2")
-    passages.append(strings.join(shared, ["h1", "h2"], "left_semi").select("text_key"))
-    cut = cut.where("not words")
+    one = long.groupBy("text_key").agg(F.min("doc_id").alias("one_id"))
+    wanted = one.join(kind, "text_key", "left").withColumn("short", short_key).join(of_words, "short", "left")
+    wanted = wanted.where("wanted is not null or own is not null").withColumnRenamed("text_key", "one_key").drop("short")
+    same = (F.col("text_key") == F.col("one_key")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
+    cut = stored(long.join(wanted, same).select("text_key", "bytes", "wanted", "own").mapInArrow(_cut_segments, _ddl(CUT_ANY)))
+    words = cut.where("words").select("text_key", "bytes")
+    strings = words.mapInArrow(_strings, _ddl(STRING))
+    again = strings.groupBy("h1", "h2").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("h1", "h2")
+    passages = sure.unionByName(strings.join(again, ["h1", "h2"], "left_semi").select("text_key"))
+    cut = cut.where("not words").drop("words").dropDuplicates(KIND)  # rows repeated in id and text come twice
     for width in (*WIDTHS, None):
-        sizes = weighed.where("kinds > 1 and not words").select(*KEY, "kinds").distinct()
-        cut = stored(cut.join(sizes, KEY))
-        alike = cut.where(F.col("kinds") <= MOST_SEGMENTS).select(*KEY, *PLACE, "bytes")
-        alike = alike.repartition(*KEY).sortWithinPartitions(*KEY, "text_key", "start")
-        spans.append(alike.mapInArrow(_sort_segments, _ddl(PLACE)))
+        cut = stored(cut.join(weighed.where("kinds > 1").select(*KEY, "kinds").distinct(), KEY))
+        few = cut.where(F.col("kinds") <= MOST_SEGMENTS).select(*KEY, *PLACE, "bytes")
+        few = few.repartition(*KEY).sortWithinPartitions(*KEY, "text_key", "start")
+        spans.append(few.mapInArrow(_sort_segments, _ddl(PLACE)))
         many = cut.where(F.col("kinds") > MOST_SEGMENTS)
         if width is None or many.isEmpty():
             break
         parts = stored(many.select(*PLACE, "bytes").mapInArrow(_split(width), _ddl(CUT)))
         weighed = _weighed(parts.drop("bytes"))
-        spans.append(_equal(parts, weighed))
-        one = weighed.where("kinds > 1").select(*KIND, "one.text_key", "one.start")
-        cut = parts.join(one, [*KIND, "text_key", "start"], "left_semi")
-    spans = reduce(DataFrame.unionByName, spans).groupBy("text_key").agg(F.collect_set(F.struct("start", "starts")).alias("spans"))
-    return spans, reduce(DataFrame.unionByName, passages).distinct()
+        spans.append(_equal(parts, weighed).select(*PLACE))
+        cut = parts.join(weighed.where("kinds > 1").select(*KIND, "one.text_key", "one.start"), [*KIND, "text_key", "start"], "left_semi")
+    spans = reduce(DataFrame.unionByName, spans).groupBy("text_key").agg(F.collect_list(F.struct("start", "starts")).alias("spans"))
+    return spans, passages.distinct()
 
 
 RESULT = "struct<n_removed:bigint,n_spans:bigint,kept_sha256:string>"

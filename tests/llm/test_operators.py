@@ -343,7 +343,7 @@ def test_parts_of_a_split_segment():
     data = words(200).encode()
     for _, _, _, _, start, n in suffixes.segments([np.frombuffer(data, np.uint8)]):
         own = data[start : start + n + suffixes.LENGTH - 1]
-        row = suffixes._rows(suffixes.CUT, [(False, 0, 0, 0, 0, b"k", start, n, own)])
+        row = suffixes._rows(suffixes.CUT, [(0, 0, 0, 0, b"k", start, n, own)])
         for width in suffixes.WIDTHS:
             parts = [r for b in suffixes._split(width)(iter([row])) for r in b.to_pylist()]
             assert sorted(s for r in parts for s in range(r["start"], r["start"] + r["starts"])) == list(range(start, start + n))
