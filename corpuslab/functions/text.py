@@ -15,6 +15,18 @@ CITATION = r"\[\d{1,2}\]"
 SPACE = r"(?U)\s+"
 
 
+#: Escapes of markup inside a script string and what they stand for, in the order they are undone (fixed values).
+ESCAPES = (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\/", "/"), ("\\\\", "\\"))
+
+
+def unescaped(page: Column) -> Column:
+    """A page whose markup sits in a script string, as markup; one without escaped quotes or line ends as it is."""
+    plain = page
+    for mark, stands_for in ESCAPES:
+        plain = F.replace(plain, F.lit(mark), F.lit(stands_for))
+    return F.when(F.contains(page, F.lit(ESCAPES[0][0])) | F.contains(page, F.lit(ESCAPES[1][0])), plain).otherwise(page)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches of a pattern; none in a null text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))

@@ -1,7 +1,7 @@
 """BM25 over a corpus, without a shuffle by term of the corpus.
 
-Only terms that queries hold are taken from the texts, so a shuffle carries one row per document and
-query term; document frequencies and lengths are sums. The queries' terms are measured first: up to
+Only terms that queries hold are taken from the texts, which are tokenised once, so a shuffle carries one
+row per document and query term, and one for all else; frequencies and lengths are sums of these. The queries' terms are measured first: up to
 BROADCAST_BYTES they go to the tasks, beyond it both sides are shuffled by term. The exploded corpus is
 never broadcast, however small Spark takes its files to be."""
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import token_count, tokens
+from corpuslab.sources.session import stored
 
 K1, B = 1.5, 0.75
 #: Scores are compared after rounding, so that the order of a sum decides no tie.
@@ -25,16 +26,20 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return terms.groupBy(id_col, "term").agg(F.count("*").alias("f"))
 
 
-def held_terms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, dl, term) with repeats: the tokens of every document that ``wanted`` (term) holds, and how
-    many tokens it has in all.
+def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, f) of the tokens that ``wanted`` (term) holds, with a document's length, and a row of
+    null term for what else it has, so every document is there.
 
-    ``explode_outer`` keeps Spark from tokenising every text once more to test for emptiness."""
-    terms = wanted.select("term").distinct()
+    The texts are tokenised once; what no query holds is summed in place, and the rows are stored, as
+    scores, averages and document frequencies all come from them."""
+    terms = wanted.select("term").where("term is not null").distinct()
     size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + TERM_BYTES), F.lit(0))).first()[0]
-    side = F.broadcast(terms) if size <= BROADCAST_BYTES else terms.hint("merge")
+    side = terms.withColumnRenamed("term", "held")
+    side = F.broadcast(side) if size <= BROADCAST_BYTES else side.hint("merge")
     tokenised = docs.select("doc_id", tokens(F.col("text")).alias("terms"))
-    return tokenised.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).join(side, "term")
+    rows = tokenised.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
+    rows = rows.join(side, F.col("term") == F.col("held"), "left")
+    return stored(rows.groupBy("doc_id", "dl", F.col("held").alias("term")).agg(F.count("term").alias("f")))
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:
@@ -58,23 +63,24 @@ def _idf():
     return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, held: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score) of all pairs that share a term: the sum of idf * f (k1 + 1) / (f + k1 (1 - b +
-    b dl / avgdl)), weighted by how often the query has the term. All rows of ``docs`` are the corpus."""
+    b dl / avgdl)), weighted by how often the query has the term. All rows of ``docs`` are the corpus;
+    ``held`` are its postings, of the queries' terms at least, where they are known."""
     wanted = query_terms(queries)
-    about = docs.agg(F.count("*").alias("n"), F.avg(token_count(F.col("text"))).alias("avgdl"))
-    tf = held_terms(docs, wanted).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("f"))
-    df = F.count_if(F.col("f") > 0)  # all rows; naming f keeps both uses of tf one plan, whose shuffle Spark reuses
-    idf = tf.groupBy("term").agg(df.alias("df")).crossJoin(about).select("term", _idf().alias("idf"), "avgdl")
+    held = postings(docs, wanted) if held is None else held
+    tf = held.where("term is not null")
+    about = docs.agg(F.count("*").alias("n")).crossJoin(held.agg(F.sum("f").alias("all"))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(about).select("term", _idf().alias("idf"), "avgdl")
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("qf")
     pairs = tf.join(wanted.join(idf, "term"), "term").select("qid", "doc_id", part.alias("part"))
     return pairs.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))
 
 
-def topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+def topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, held: DataFrame | None = None) -> DataFrame:
     """The ranked list (qid, doc_id, rank, score) of the best k documents of each query, scores above 0
     only; ties by doc_id."""
-    found = scores(docs, queries, k1, b).withColumn("score", F.round("score", DIGITS)).where("score > 0")
+    found = scores(docs, queries, k1, b, held).withColumn("score", F.round("score", DIGITS)).where("score > 0")
     return rank(found, k)
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import chunks as cut
 from corpuslab.operators.metrics import floor_rank, ranked_values
+from corpuslab.sources.session import stored
 
 STRATEGIES = ("fixed", "recursive", "structural", "atomic")
 PARENT_CHARS, CHILD_CHARS, CHILD_STEP = 1000, 1000, 900
@@ -112,22 +114,31 @@ def broken_code(docs: DataFrame) -> DataFrame:
 
 def crossings(docs: DataFrame) -> DataFrame:
     """docs (pieces, sections) with `cross`: the pieces that, laid end to end, reach into two sections or more, which
-    lie two characters apart."""
-    ends = lambda lengths, gap: F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)) + gap, F.lit(0)) + n))
-    of = lambda c, get: F.transform(c, get)
-    section_n = F.filter(of("sections", lambda s: F.length(s["text"])), lambda n: n > 0)
-    piece_n = of("pieces", F.length)
-    span = lambda lengths, gap: F.zip_with(lengths, ends(lengths, gap), lambda n, e: F.struct((e - n).alias("s"), e.alias("e")))
-    hits = lambda p: F.size(F.filter(span(section_n, 2), lambda s: (p["e"] > s["s"]) & (p["s"] < s["e"])))
-    return docs.withColumn("cross", F.size(F.filter(span(piece_n, 0), lambda p: hits(p) >= 2)))
+    lie two characters apart. Borders are looked up among sorted ends."""
+
+    @F.pandas_udf("int")
+    def crossing(pieces: pd.Series, sections: pd.Series) -> pd.Series:
+        out = []
+        for p, s in zip(pieces, sections):
+            p, s = np.array(p, np.int64), np.array(s, np.int64)
+            s = s[s > 0]
+            piece_end, section_end = np.cumsum(p), np.cumsum(s + 2) - 2
+            begun = np.searchsorted(section_end - s, piece_end, side="left")
+            over = np.searchsorted(section_end, piece_end - p, side="right")
+            out.append(int((begun - over >= 2).sum()))
+        return pd.Series(out)
+
+    return docs.withColumn("cross", crossing(F.transform("pieces", F.length), F.transform("sections", lambda s: F.coalesce(F.length(s["text"]), F.lit(0)))))
 
 
 def audit(docs: DataFrame, strategy: str) -> DataFrame:
     """One row on the chunks of docs (pieces, sections, code_blocks, doc_type): number, length percentiles, shares of
-    short ones (< 200), crossing ones and broken tables and code, number of oversized ones (> 1500)."""
-    checked = broken_code(crossings(docs))
+    short ones (< 200), crossing ones and broken tables and code, number of oversized ones (> 1500). The documents
+    are cut once, for a stored table of what is counted."""
+    about = F.transform("pieces", lambda p: F.struct(F.length(p).alias("len"), has_table(p).alias("t"), broken_table(p).alias("b")))
+    checked = stored(broken_code(crossings(docs)).select("code_n", "code_bad", "cross", about.alias("about")))
     per_doc = checked.agg(F.sum("code_n").alias("code_n"), F.sum("code_bad").alias("code_bad"), F.sum("cross").alias("cross"))
-    pieces = docs.select(F.explode("pieces").alias("p")).select(F.length("p").alias("len"), has_table(F.col("p")).alias("t"), broken_table(F.col("p")).alias("b"))
+    pieces = checked.select(F.inline("about"))
     rows = pieces.agg(F.count("*").alias("n_chunks"), F.count_if(F.col("len") < 200).alias("short"), F.count_if(F.col("len") > 1500).alias("oversized"), F.count_if("t").alias("table_n"), F.count_if("b").alias("table_bad"))
     spread = ranked_values(pieces, "len").agg(floor_rank("len", 0.5).alias("p50"), floor_rank("len", 0.9).alias("p90"), F.max("len").alias("max"))
     share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)

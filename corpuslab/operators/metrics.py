@@ -47,11 +47,11 @@ def floor_rank(value: str, q: float) -> Column:
     return at_rank(value, F.least(F.col("n") - 1, F.floor(F.col("n") * q)))
 
 
-def hit_report(golden: DataFrame, found: DataFrame) -> DataFrame:
+def hit_report(golden: DataFrame, found: DataFrame, modes: Sequence[str]) -> DataFrame:
     """Per mode and question type, and per mode in all (type null): n, hit1, hit3, hit5 and mrr of golden
-    (qid, expect_chunk, type) in ranked lists with a mode."""
-    modes = sorted(r["mode"] for r in found.select("mode").distinct().collect())
-    wanted = golden.select("qid", F.col("expect_chunk").alias("doc_id"), "type", F.explode(F.array(*map(F.lit, modes)).cast("array<string>")).alias("mode"))
+    (qid, expect_chunk, type) in ranked lists with a mode. ``modes`` are named, so that one which finds
+    nothing counts too and the lists are made once."""
+    wanted = golden.select("qid", F.col("expect_chunk").alias("doc_id"), "type", F.explode(F.array(*map(F.lit, sorted(modes))).cast("array<string>")).alias("mode"))
     hits = found.groupBy("mode", "qid", "doc_id").agg(F.min("rank").alias("rank"))
     joined = wanted.join(hits, ["mode", "qid", "doc_id"], "left")
     hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit{k}")

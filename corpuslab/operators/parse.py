@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import markup
-from corpuslab.functions.text import estimated_tokens, matches, plain_text, squeezed
+from corpuslab.functions.text import estimated_tokens, matches, plain_text, squeezed, unescaped
 from corpuslab.operators.metrics import floor_rank, ranked_values
 
 MIN_CHARS = 300
@@ -95,16 +95,17 @@ def parse(pages: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             reasons = frame["reason"] if "reason" in frame else [None] * len(frame)
-            made = [_parsed(*row, least) for row in zip(frame["body"], frame["kind"], frame["url"], reasons)]
-            out = frame.drop(columns=[c for c in ("body", "kind", "reason") if c in frame]).reset_index(drop=True)
+            made = [_parsed(*row, least) for row in zip(frame["body"], frame["markup"], frame["kind"], frame["url"], reasons)]
+            out = frame.drop(columns=[c for c in ("body", "markup", "kind", "reason") if c in frame]).reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(made, columns=["title", "doc_type", "text", "raw_chars", "sections", "tables", "code_blocks", "reason"])], axis=1)
 
-    docs = pages.select(*given, "body", "kind").mapInPandas(run, f"{kinds}, {PARSED}")
+    plain = F.when(F.col("kind") == "escaped", unescaped(F.col("body"))).otherwise(F.col("body")).alias("markup")
+    docs = pages.select(*given, "body", plain, "kind").mapInPandas(run, f"{kinds}, {PARSED}")
     stats = F.struct(F.size("sections").alias("n_sections"), F.size("tables").alias("n_tables"), F.size("code_blocks").alias("n_code_blocks"))
     return docs.withColumn("n_chars", F.length("text")).withColumn("n_tokens_est", estimated_tokens(F.col("text"))).withColumn("stats", stats)
 
 
-def _parsed(body: str | None, kind: str, url: str | None, reason: str | None, least: int) -> tuple:
+def _parsed(body: str | None, plain: str | None, kind: str, url: str | None, reason: str | None, least: int) -> tuple:
     def rejected(why: str) -> tuple:
         return None, None, None, None, [], [], [], why
 
@@ -112,7 +113,7 @@ def _parsed(body: str | None, kind: str, url: str | None, reason: str | None, le
         return rejected(reason)
     if body is None:
         return rejected("file missing")
-    items = markup.markdown_items(body) if kind == "markdown" else markup.html_items(markup.unescaped(body) if kind == "escaped" else body)
+    items = markup.markdown_items(plain) if kind == "markdown" else markup.html_items(plain)
     for doc_type, inline in (("tutorial", False), ("reference", True)):
         built = markup.structure(items, inline)
         if doc_type == "tutorial":

@@ -5,9 +5,13 @@ thought, answer). Spans are (trace_id, span_id, parent, name, kind, start, end,
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.sources.session import stored
+
 ENDS = ("final", "stop")
 THOUGHT_CHARS = 500
 SPAN_FIELDS = ("parent", "name", "kind", "start", "end", "dur_ms", "status", "error")
@@ -152,15 +156,18 @@ def by_kind(rows: DataFrame) -> DataFrame:
     return kinds.join(total, "trace_id").withColumn("pct", F.round(F.when(F.col("total_ms") > 0, F.col("ms") / F.col("total_ms") * 100).otherwise(0.0), 1)).drop("total_ms")
 
 
-def tree(rows: DataFrame, depth: int = 4) -> DataFrame:
-    """Spans with their depth and their place in depth-first order, children by start, then id. Spans below ``depth``
-    levels or without a known parent's chain to a root are left out."""
+def tree(rows: DataFrame) -> DataFrame:
+    """Spans with their depth and their place in depth-first order, children by start, then id, to any depth. Spans
+    whose chain of parents reaches no root are left out. Each level is stored and joined to the next."""
+    rows = stored(rows.select("trace_id", "span_id", "parent", "name", "start"))
     key = F.struct(F.col("start"), F.col("span_id"))
     level = rows.where("parent is null").select("trace_id", "span_id", "name", F.lit(0).alias("depth"), F.array(key).alias("path"))
     out, own = level, rows.where("parent is not null").select("trace_id", "parent", "span_id", "name", key.alias("key"))
-    for d in range(1, depth + 1):
+    for d in count(1):
         above = level.select("trace_id", F.col("span_id").alias("parent"), "path")
-        level = own.join(above, ["trace_id", "parent"]).select("trace_id", "span_id", "name", F.lit(d).alias("depth"), F.concat("path", F.array("key")).alias("path"))
+        level = stored(own.join(above, ["trace_id", "parent"]).select("trace_id", "span_id", "name", F.lit(d).alias("depth"), F.concat("path", F.array("key")).alias("path")))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.withColumn("place", F.row_number().over(Window.partitionBy("trace_id").orderBy("path"))).drop("path")
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators.bm25 import DIGITS, rank
 
-#: Query vectors that are held against the corpus in one pass; more take more passes.
-QUERY_BLOCK = 4096
+#: Query vectors that are held against the corpus in one pass, and the bytes that they may take; more take more passes.
+QUERY_BLOCK, QUERY_BYTES = 4096, 32 << 20
 
 
 def embed(rows: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], text_col: str = "text", batch: int = 64) -> DataFrame:
@@ -64,7 +64,7 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]
     for row in queries.select("qid", "vector").where("vector is not null").toLocalIterator():
         ids.append(row["qid"])
         vectors.append(row["vector"])
-        if len(ids) == block:
+        if len(ids) == block or len(ids) * len(vectors[0]) * 8 >= QUERY_BYTES:
             yield ids, _unit(np.array(vectors, float))
             ids, vectors = [], []
     if ids:
@@ -73,7 +73,7 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]
 
 def topk(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """The ranked list (qid, doc_id, rank, score) of the k nearest of docs (doc_id, vector) to each query
-    (qid, vector) by cosine. Blocks of queries of a stated size go to the tasks; each batch of vectors
+    (qid, vector) by cosine. Blocks of queries of a stated number and size are broadcast; each batch of vectors
     gives its own best k, of which the best are ranked. A zero query finds nothing; ties by doc_id."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     qid_type = queries.schema["qid"].dataType.simpleString()
@@ -81,17 +81,19 @@ def topk(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BL
     docs = docs.select("doc_id", "vector").where("vector is not null")
     found = None
     for ids, matrix in _blocks(queries, block):
-        part = docs.mapInPandas(_nearest(ids, matrix, k), schema)
+        part = docs.mapInPandas(_nearest(docs.sparkSession.sparkContext.broadcast((ids, matrix)), k), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
     return rank(found, k)
 
 
-def _nearest(ids: list, matrix: np.ndarray, k: int):
-    used = np.flatnonzero(matrix.any(axis=1))
+def _nearest(queries, k: int):
+    """``queries``: a broadcast (ids, matrix of unit vectors)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = queries.value
+        used = np.flatnonzero(matrix.any(axis=1))
         for frame in frames:
             if not len(frame):
                 continue

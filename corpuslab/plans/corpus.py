@@ -58,9 +58,12 @@ def page_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("""with l as (select regexp_extract(url, '^https?://([^/]+)', 1) as source, regexp_replace(url, '#.*$', '') as url from pages)
 select source, url, substring(sha1(url), 1, 12) as doc_id from l group by all""")
 def url_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index text for each source, a sitemap made of its pages' URLs, read back."""
+    """Index texts for each source, sitemaps made of its pages' URLs, read back. As sitemaps are, each is bounded:
+    a source's URLs are dealt by hash, so that one of any number of pages has texts of about 20,000 at most."""
     entry = F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc></url>"))
-    index = pages(spark, sf_dir).groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("text"))
+    rows = pages(spark, sf_dir)
+    parts = max(1, -(-rows.count() // 20_000))
+    index = rows.groupBy("source", F.pmod(F.xxhash64("url"), F.lit(parts)).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("text"))
     return parse.normalise_urls(parse.discover(index, "sitemap")).drop("pos")
 
 

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.plans.operations import BREAKER
 from corpuslab.plans.registry import Registry
+from corpuslab.sources.session import shared_folder
 from corpuslab.streaming import jobs
 
 R = Registry()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's state and results, in the cluster's shared checkpoint folder where it names one."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='corpuslab-')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # As a pattern, since a file stream takes a single file's path for a folder.
     return jobs.read_events(spark, f"{sf_dir}/events.parque[t]")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpuslab.functions import chunks, markup
+from corpuslab.functions import chunks, markup, text
 from corpuslab.operators import chunk, parse
 
 PAGE = """<html><head><title>T &amp; U</title><script>var a='<p>no</p>'</script></head><body><nav><p>menu</p></nav>
@@ -24,12 +24,38 @@ def test_main_region():
     assert markup.main_region('<div class="x"><p>a<p>b</div><div class="icms-help-docs-content z">in <div>deep</div> side</div>') == "in <div>deep</div> side"
     assert markup.main_region("<main><p>1</p></main>") == "<main><p>1</p></main>"
     assert markup.main_region("<b/><div><p>1<p>2</div><div id=2><p>1<p>2<p>3</div>").startswith("<div id=2>")
-    assert markup.unescaped('a \\"b\\" \\n\\/') == 'a "b" \n/' and markup.unescaped("a\\/b") == "a\\/b"
+
+
+def test_escapes_are_undone_in_order(spark):
+    cases = {'a \\"b\\" \\n\\/': 'a "b" \n/', "a\\/b": "a\\/b", "\\\\n": "\\\n", None: None, "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "page string")
+    assert [r["x"] for r in df.select(text.unescaped(F.col("page")).alias("x")).collect()] == list(cases.values())
+
+
+def test_headings_take_the_text_behind_them():
+    kinds = lambda page: [(i["type"], i.get("text")) for i in markup.html_items(page)]
+    assert kinds("<p>a<h2>b</h2>c</p>d") == [("p", "a"), ("h", "b"), ("p", "c")]
+    assert kinds("<h1>lost<h2>b</h2><h3>open<p>x") == [("h", "b"), ("h", "openx")]
+    assert kinds("<ul><li>no</li></ul><p>a<li>b<br>c") == [("p", "a b c")]
+    assert kinds("<nav><div><p>n</div></nav><script>'<p>s'</script><p>y</p>") == [("p", "y")]
+
+
+def test_markdown_edges():
+    assert markup.markdown_items("```\nnever closed\n\nx") == [{"type": "code", "lang": "", "code": "never closed\n\nx"}]
+    assert [i["text"] for i in markup.markdown_items("  # not one\n#\n#no\n| pipe\n> gone\n")] == ["# not one", "#", "#no", "| pipe"]
+    assert markup.table_markdown([["a"], ["b|", "c"]]) == "| a |  |\n| --- | --- |\n| b\\| | c |" and markup.table_markdown([]) == ""
+
+
+def test_short_pieces_and_touching_atoms():
+    assert chunks.short_joined(["a" * 90, "b" * 10, "c" * 30, "d" * 10], 100) == ["a" * 90 + "b" * 10, "c" * 30 + "d" * 10]
+    assert chunks.short_joined(["a" * 125, "b" * 10], 100) == ["a" * 125, "b" * 10]
+    text = "x\n| a |\n```\ncode\n```\ny known block of code here z"
+    assert [text[a:b] for a, b in chunks.atoms(text, ["known block of code here", "short"])] == ["| a |\n```\ncode\n```", "known block of code here"]
 
 
 def test_markdown_structure():
-    text = "# Title\n> quote\nlead\n\n## Part\n| a | b |\n|---|---|\n| 1 | 2 |\n```python\ncode\n\nmore\n```\n[x](#x) [y](#y)\ntail"
-    items = markup.markdown_items(text)
+    page = "# Title\n> quote\nlead\n\n## Part\n| a | b |\n|---|---|\n| 1 | 2 |\n```python\ncode\n\nmore\n```\n[x](#x) [y](#y)\ntail"
+    items = markup.markdown_items(page)
     assert [i["type"] for i in items] == ["h", "p", "h", "table", "code", "p"]
     assert items[3]["rows"] == [["a", "b"], ["1", "2"]] and items[4]["code"] == "code\n\nmore" and items[5]["text"] == "tail"
 
