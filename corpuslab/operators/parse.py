@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import markup
 from corpuslab.functions.text import estimated_tokens, matches, plain_text, squeezed, unescaped
 from corpuslab.operators.metrics import floor_rank, ranked_values
+from corpuslab.sources.session import stored
 
 MIN_CHARS = 300
 LOC, LINK = r"<loc>(.*?)</loc>", r"\((https?://[^)\s]+)\)"
@@ -129,12 +130,14 @@ def _parsed(body: str | None, plain: str | None, kind: str, url: str | None, rea
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", order: str = "pos") -> DataFrame:
     """docs (url, ``order``, ``text_col``) with a reason for those whose text without white space came earlier:
-    the winner's URL. Only digests are grouped, with map-side minima, so a hot text is no hot task."""
+    the winner's URL. Digests are grouped with map-side minima, so a hot text is no hot task, and those that
+    occur again are stored: Spark sends a short list to the rows, and shuffles both sides by digest beyond that."""
     keyed = docs.withColumn("__digest", F.md5(squeezed(F.coalesce(text_col, F.lit(""))).cast("binary")))
-    first = keyed.groupBy("__digest").agg(F.min(F.struct(F.col(order).alias("o"), F.col("url").alias("u"))).alias("__first"))
+    first = keyed.groupBy("__digest").agg(F.min(F.struct(F.col(order).alias("o"), F.col("url").alias("u"))).alias("__first"), F.count("*").alias("__n"))
+    first = stored(first.where("__n > 1").drop("__n"))
     late = F.col(order) > F.col("__first.o")
     why = F.when(late, F.concat(F.lit("same text as "), F.col("__first.u")))
-    return keyed.join(first, "__digest").withColumn("reason", why).drop("__digest", "__first")
+    return keyed.join(first, "__digest", "left").withColumn("reason", why).drop("__digest", "__first")
 
 
 def corpus_summary(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpuslab.plans import corpus, curation, operations, retrieval, streams
+from corpuslab.plans import corpus, curation, files, operations, retrieval, streams
 from corpuslab.plans.registry import Query
 
-AREAS = (retrieval, corpus, curation, operations, streams)
+AREAS = (retrieval, corpus, curation, operations, streams, files)
 
 
 def queries() -> dict[str, Query]:
