@@ -30,6 +30,8 @@ STRETCH = 1 << 17
 ARRAY_BYTES, MOST_SEGMENTS = 1 << 19, 256
 #: Strings that share a part of a split segment, level by level. In a part of one, equal keys are equal strings.
 WIDTHS = (42, 6, 1)
+#: Places of an anchor that one task is to join at least, and anchors with more at most.
+HOT_PLACES, MOST_HOT = 10_000, 10_000
 #: Suffixes whose bytes are laid out at a time for sorting, and pairs that are compared at a time.
 ROWS_SORTED, ROWS_COMPARED = 1 << 15, 1 << 13
 
@@ -350,6 +352,18 @@ def _weighed(found: DataFrame) -> DataFrame:
     return checkpoint(kinds.join(keys.where(F.col("all") > 1), KEY).select(*KIND, "n", "one", "differ", "kinds"))
 
 
+def _of_often(found: DataFrame, often: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose anchor (words, k1) is in ``often`` (with its number n of places).
+
+    An anchor of very many places, such as a run of one word, is split: it stands once for each part of its
+    places, and its rows go to a part by their place. At most MOST_HOT anchors are split, so they are broadcast."""
+    most = max(HOT_PLACES, -(-found.count() // MOST_HOT))
+    hot = often.where(F.col("n") > most).select("words", "k1", F.ceil(F.col("n") / most).alias("parts"))
+    dealt = found.join(F.broadcast(hot), ["words", "k1"], "left").withColumn("part", F.pmod(F.xxhash64("text_key", "start"), F.coalesce("parts", F.lit(1))))
+    parts = often.select("words", "k1", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > most, F.ceil(F.col("n") / most) - 1).otherwise(0))).alias("part"))
+    return dealt.join(parts, ["words", "k1", "part"], "left_semi").select(*found.columns)
+
+
 def _equal(found: DataFrame, weighed: DataFrame) -> DataFrame:
     """Segments that occur more than once: every string of them starts elsewhere."""
     return found.join(weighed.where("n > 1").select(*KIND, "differ"), KIND)
@@ -364,9 +378,9 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Anchors that occur at another place, of words in another text: two places differ in 64 bits.
     short_key = F.xxhash64("text_key")
     place = F.when(F.col("words"), short_key).otherwise(F.xxhash64("text_key", "start")).alias("place")
-    places = found.select("words", "k1", place).groupBy("words", "k1").agg(F.min("place").alias("a"), F.max("place").alias("b"))
-    often = stored(places.where("a <> b").select("words", "k1"))
-    in_bytes = found.where("not words").select(*SEGMENT, "inside").join(often.where("not words"), "k1", "left_semi")
+    places = found.select("words", "k1", place).groupBy("words", "k1").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
+    often = stored(places.where("a <> b").select("words", "k1", "n"))
+    in_bytes = _of_often(found.where("not words"), often.where("not words")).drop("words")
     in_bytes = stored(in_bytes.dropDuplicates([*KIND, "text_key", "start"]))
     weighed = _weighed(in_bytes)
     equal = stored(_equal(in_bytes, weighed).select(*PLACE, "inside", "differ"))
@@ -376,7 +390,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = kind.groupBy("text_key").agg(F.collect_list("w").alias("wanted"))
     # Texts whose shared bytes hold a passage for certain; of anchors in words, those that another text has.
     sure = stored(equal.where(F.col("differ") & (F.col("inside") >= PASSAGE_WORDS)).select("text_key").distinct())
-    of_words = stored(found.where("words").select("k1", short_key.alias("short")).join(often.where("words"), "k1", "left_semi"))
+    of_words = _of_often(found.where("words").select("words", "k1", "text_key", "start"), often.where("words"))
+    of_words = stored(of_words.select("k1", short_key.alias("short")))
     open_ones = of_words.join(sure.select(short_key.alias("short")), "short", "left_anti").select("k1").distinct()
     of_words = of_words.join(open_ones, "k1", "left_semi").groupBy("short").agg(F.collect_set("k1").alias("own"))
     # Of copies of a text, the document of the smallest id gives the bytes.

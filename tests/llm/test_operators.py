@@ -321,6 +321,7 @@ def removed_by_force(texts, length):
 def test_suffix_dedup(spark, texts, monkeypatch, most):
     """Both where arrays hold all segments of an anchor and where anchors are split down to single strings."""
     monkeypatch.setattr(suffixes, "MOST_SEGMENTS", most)
+    monkeypatch.setattr(suffixes, "HOT_PLACES", 10_000 if most > 2 else 3)
     passage, few = words(120, "qrstuv"), words(51, "mn")[:390]
     more = texts + [passage + " " + words(30), words(35) + passage, words(10) + passage[:450], "é" + passage, words(3) * 200, words(40) + passage + passage]
     more += [words(5) + " " + few + " " + words(6), words(8) + " " + few]
