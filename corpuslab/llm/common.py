@@ -40,6 +40,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of a stage's own, which ``df`` has not."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 #: Bytes of text that a Python helper works on at a time.
 STRETCH_BYTES = 4 << 20
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import stored, stretches
+from corpuslab.llm.common import spare, stored, stretches
 
 WINDOW = 10
 #: Words of benchmark text that one automaton may hold, which bounds its memory (measured: about 200 MB).
@@ -21,6 +21,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 #: A word of the benchmark is a pair of characters in the automaton's texts, from two alphabets of DIGITS
 #: each, so that no node has many children and no match starts inside a word; OTHER is any other word.
 DIGITS, OTHER = 400, "\x01\x01"
+FINDINGS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 HIT = "struct<starts:array<int>,ends:array<int>,items:array<string>>"
 
 
@@ -107,8 +108,8 @@ def _scanned(shared) -> Column:
     return scanned(F.encode("text", "UTF-8"))
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with __hits: an array of HIT, one for each block with an occurrence; null or empty without any.
+def _hits(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the column ``name``: an array of HIT, one for each block with an occurrence; null or empty without any.
 
     One block, the usual case, needs no shuffle. More blocks are scanned for one after another: each pass
     broadcasts its automaton's items, writes the few texts with hits, by 128 bits of the text, and
@@ -117,15 +118,16 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first, second = next(blocks), next(blocks, None)
     spread = docs.sparkSession.sparkContext.broadcast
     if second is None:
-        return docs.withColumn("__hits", F.array(_scanned(spread(Scanner(first)))))
+        return docs.withColumn(name, F.array(_scanned(spread(Scanner(first)))))
     found, keyed = None, docs.select(F.md5("text").alias("__text"), "text")
     for block in (b for some in ([first, second], blocks) for b in some):
         shared = spread(Scanner(block))
         some = stored(keyed.select("__text", _scanned(shared).alias("hit")).where("hit is not null").dropDuplicates(["__text"]))
         shared.destroy()
         found = some if found is None else found.unionByName(some)
-    found = found.groupBy("__text").agg(F.collect_list("hit").alias("__hits"))
-    return docs.withColumn("__text", F.md5("text")).join(found, "__text", "left").drop("__text")
+    (key,) = spare(docs, "__text")
+    found = found.groupBy("__text").agg(F.collect_list("hit").alias(name)).withColumnRenamed("__text", key)
+    return docs.withColumn(key, F.md5("text")).join(found, key, "left").drop(key)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -135,8 +137,9 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null texts have no words, and null items no windows; an item that repeats counts once; repeated
     documents are judged each. An empty benchmark hits nothing; an empty table gives no rows."""
-    out = _hits(docs, benchmark)
-    all_of = lambda name: F.flatten(F.transform(F.filter("__hits", lambda h: h.isNotNull()), lambda h: h[name]))
+    (hits,) = spare(docs, "__hits")
+    out = _hits(docs, benchmark, hits)
+    all_of = lambda name: F.flatten(F.transform(F.filter(hits, lambda h: h.isNotNull()), lambda h: h[name]))
     items = F.coalesce(F.array_sort(F.array_distinct(all_of("items"))), F.array().cast("array<string>"))
     return (
         out.withColumn("n_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
@@ -144,7 +147,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .withColumn("n_items", F.size(items).cast("long"))
         .withColumn("items_sha256", F.sha2(F.array_join(items, ",").cast("binary"), 256))
         .withColumn("contaminated", F.col("n_hit") > 0)
-        .drop("__hits")
+        .drop(hits)
     )
 
 
@@ -165,4 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns.
 
     Null and empty texts stay, repeated rows are judged each; an empty table gives no rows."""
-    return scan(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    own = [c for c in FINDINGS if c in docs.columns]
+    aside = dict(zip(own, spare(docs, *(f"__{c}" for c in own))))
+    clean = scan(docs.withColumnsRenamed(aside), benchmark).where(~F.col("contaminated")).drop(*FINDINGS)
+    return clean.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import stored, stretches
+from corpuslab.llm.common import spare, stored, stretches
 
 #: Labelled documents that a model is fitted on, about; chosen by the hash of their id.
 SAMPLE_ROWS = 20_000
@@ -165,8 +165,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         found = [f for part in stretches(texts) for f in shared.value.predict(part.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
 
-    out = docs.withColumn("__found", predicted("text"))
-    return out.withColumn("lang_pred", F.col("__found")["lang_pred"]).withColumn("score", F.col("__found")["score"]).drop("__found")
+    (made,) = spare(docs, "__found")
+    out = docs.withColumn(made, predicted("text"))
+    return out.withColumn("lang_pred", F.col(made)["lang_pred"]).withColumn("score", F.col(made)["score"]).drop(made)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -185,4 +186,7 @@ def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
     goes. Repeated rows are judged each; a tie of languages goes to the first label in order. An
     empty table gives no rows. ``lang`` null teaches nothing, a null doc_id is never learned from."""
     model = train(docs.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    said = [c for c in ("lang_pred", "score") if c in docs.columns]
+    aside = dict(zip(said, spare(docs, *(f"__{c}" for c in said))))
+    judged = predict(docs.withColumnsRenamed(aside), model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return judged.drop("lang_pred", "score").withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)

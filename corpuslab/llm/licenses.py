@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import stretches
+from corpuslab.llm.common import spare, stretches
 from corpuslab.llm.decontaminate import normalise
 from corpuslab.llm.license_rules import rules
 
@@ -96,10 +96,11 @@ def scan(docs: DataFrame) -> DataFrame:
         names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    out = docs.withColumn("__found", scanned(F.encode("text", "UTF-8")))
+    (found,) = spare(docs, "__found")
+    out = docs.withColumn(found, scanned(F.encode("text", "UTF-8")))
     for name in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"):
-        out = out.withColumn(name, F.col("__found")[name])
-    return out.drop("__found")
+        out = out.withColumn(name, F.col(found)[name])
+    return out.drop(found)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import checkpoint, stored
+from corpuslab.llm.common import checkpoint, spare, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Leftmost non-overlapping matches of the stated patterns. Look-behinds and possessive quantifiers
@@ -199,12 +199,13 @@ def redact(docs: DataFrame) -> DataFrame:
     n_chars, where present, is counted anew. All rows and columns stay.
 
     Texts without spans, null and empty ones stay as they are; copies and repeated rows change alike; an
-    empty table gives no rows. Columns named __key, __found or __cuts are replaced by none of these."""
-    found = stored(_cuts(spans_of(docs.select("text")))).select(F.col("key").alias("__found"), F.col("cuts").alias("__cuts"))
-    joined = docs.withColumn("__key", text_key(F.col("text"))).join(found, F.col("__key") == F.col("__found"), "left")
+    empty table gives no rows."""
+    key, listed, cuts = spare(docs, "__key", "__found", "__cuts")
+    found = stored(_cuts(spans_of(docs.select("text")))).toDF(listed, cuts)
+    joined = docs.withColumn(key, text_key(F.col("text"))).join(found, F.col(key) == F.col(listed), "left")
     pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
-    clean = F.array_join(F.transform(pieces, lambda p, i: F.coalesce(_without(p, F.try_element_at(F.col("__cuts"), i)), p)), "")
-    out = joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(clean))
+    clean = F.array_join(F.transform(pieces, lambda p, i: F.coalesce(_without(p, F.try_element_at(F.col(cuts), i)), p)), "")
+    out = joined.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)

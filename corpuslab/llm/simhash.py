@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import checkpoint, connected_components, stored, stretches, tiles
+from corpuslab.llm.common import checkpoint, connected_components, spare, stored, stretches, tiles
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: A fingerprint's bits are cut into radius + ALIKE pieces; within the radius, ALIKE pieces at least are equal.
@@ -182,12 +182,13 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS)
     key = F.md5(F.coalesce("text", F.lit(""))).alias("key")
     grouped = _grouped(docs, key, words=words, radius=radius)
     counted = stored(grouped.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")))
-    goes = stored(counted.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__id"), F.col("key").alias("__found")))
-    again = stored(counted.where("doc_id <=> component_id and n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__found")))
-    keyed = docs.withColumn("__key", key)
-    same = lambda listed: (F.col("__key") == F.col("__found")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    stays = keyed.join(goes, same(goes), "left_anti")
+    goes = stored(counted.where("not (doc_id <=> component_id)").select("doc_id", "key"))
+    again = stored(counted.where("doc_id <=> component_id and n > 1").select("doc_id", "key"))
+    own, listed_id, listed = spare(docs, "__key", "__id", "__found")
+    keyed, goes, again = docs.withColumn(own, key), *(x.toDF(listed_id, listed) for x in (goes, again))
+    same = (F.col(own) == F.col(listed)) & F.col("doc_id").eqNullSafe(F.col(listed_id))
+    stays = keyed.join(goes, same, "left_anti")
     if not again.isEmpty():
-        once = stays.join(again, same(again), "left_anti")
-        stays = once.unionByName(stays.join(again, same(again), "left_semi").dropDuplicates(["__key", "doc_id"]))
+        once = stays.join(again, same, "left_anti")
+        stays = once.unionByName(stays.join(again, same, "left_semi").dropDuplicates([own, "doc_id"]))
     return stays.select(*docs.columns)

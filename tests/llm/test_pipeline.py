@@ -56,3 +56,59 @@ def test_same_rows_as_sql(spark, name):
     rel = con.sql(entries.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert sorted(repr([r[c] for c in rel.columns]) for r in df.collect()) == sorted(repr(list(r)) for r in rel.fetchall())
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, n_hit string, contaminated string, __key string, __found string, __hits string, __text string, __cuts string, label string"
+
+
+def odd_documents(spark):
+    prose = {"en": "the house and the garden are with a river near it", "de": "das haus und der garten sind mit dem fluss nah"}
+    rows = [(i, " ".join([prose[k]] * 3 + [f"w{i}x{j}" for j in range(40)]), k) for i in range(40) for k in [("en", "de")[i % 2]]]
+    base = rows[0][1]
+    rows += [(100, base, "en"), (100, base, "en"), (101, None, None), (102, "", None), (None, base + " tail of this one", None), (None, None, None), (103, "call the house and the garden at user@mail.example.com now " + " ".join(f"v{j}" for j in range(30)), None), (104, "the house and " + "the garden " * 20000, None)]
+    return spark.createDataFrame([(i, t, k, "s", len(t) if t else None, *("kept" for _ in range(10))) for i, t, k in rows], ODD)
+
+
+def test_stages_on_odd_rows_and_columns(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns named like a stage's own: what is not a stage's
+    decision stays as it is."""
+    import corpus_pipeline
+    from corpuslab.llm.common import stored
+
+    docs = odd_documents(spark)
+    spark.createDataFrame([(1, " ".join(f"w7x{j}" for j in range(12))), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = docs
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        left = stored(stage(spark, left, str(tmp_path)))
+        seen[name] = left.collect()
+        if name != "pack":
+            assert left.columns == docs.columns and all(set(r[5:]) == {"kept"} for r in seen[name])
+        else:
+            assert sum(r["length"] for r in seen[name]) > 40_000
+    ids = {name: sorted(((r["doc_id"] if r["doc_id"] is not None else -1) for r in rows)) for name, rows in seen.items() if name != "pack"}
+    assert ids["language"] == [-1, *range(40), 100, 100, 103, 104]  # null and empty texts go
+    assert 0 in ids["near_duplicates"] and 100 not in ids["near_duplicates"] and set(ids["near_duplicates"]) >= {*range(40), 103, 104}
+    assert set(ids["near_duplicates"]) - set(ids["benchmark_passages"]) == {7}
+    assert ids["personal_data"] == ids["benchmark_passages"]
+    shown = {r["doc_id"]: r for r in seen["personal_data"]}
+    assert "<EMAIL>" in shown[103]["text"] and shown[103]["n_chars"] == len(shown[103]["text"]) and shown[1]["text"] == docs.where("doc_id = 1").first()["text"]
+
+
+def test_stages_keep_nulls_that_reach_them(spark, tmp_path):
+    """Stages after the first on null and empty texts and repeated rows, and every stage on an empty table."""
+    import corpus_pipeline
+    from corpuslab.llm import simhash
+
+    docs = odd_documents(spark).where("doc_id >= 100 or doc_id is null")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    got = lambda name: sorted(((r["doc_id"] or -1, r["text"] or "") for r in stages[name](spark, docs, str(tmp_path)).collect()))
+    every = sorted((r["doc_id"] or -1, r["text"] or "") for r in docs.collect())
+    assert got("benchmark_passages") == every
+    assert [i for i, _ in got("personal_data")] == [i for i, _ in every]
+    text = {r["doc_id"]: r["text"] for r in docs.where("text is not null").collect()}
+    linked = ((simhash.simhash(text[100].encode()) ^ simhash.simhash(text[None].encode())) % 2**64).bit_count() <= simhash.RADIUS
+    # Repeated rows and the empty texts are one each; so is the text without an id, unless it links with one that has.
+    assert [i for i, _ in got("near_duplicates")] == [*([] if linked else [-1]), 100, 101, 103, 104]
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, str(tmp_path)).count() == 0 for stage in stages.values())
