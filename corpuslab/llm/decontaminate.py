@@ -22,7 +22,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 #: each, so that no node has many children and no match starts inside a word; OTHER is any other word.
 DIGITS, OTHER = 400, "\x01\x01"
 FINDINGS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-HIT = "struct<starts:array<int>,ends:array<int>,items:array<string>>"
+HIT = "struct<n_words:bigint,starts:array<int>,ends:array<int>,items:array<string>>"
 
 
 def normalise(text: bytes | None) -> list[bytes]:
@@ -57,20 +57,20 @@ class Scanner:
         if known:
             self.automaton.make_automaton()
 
-    def scan(self, text: bytes | None) -> tuple[list[int], list[int], list[str]] | None:
-        """The ranges of word positions that occurrences cover, and the items that occur. The text is
-        normalised and scanned once; half a position in the scanned line is that of a word."""
+    def scan(self, text: bytes | None) -> tuple[int, list[int] | None, list[int] | None, list[str] | None]:
+        """Words, the ranges of word positions that occurrences cover, and the items that occur, null without
+        any. The text is normalised and scanned once; half a position in the scanned line is that of a word."""
         if self.automaton is None:
             self.build()
         words = normalise(text)
         if not words or not len(self.automaton):
-            return None
+            return len(words), None, None, None
         get = self.pairs.get
         hits = list(self.automaton.iter("".join([get(w, OTHER) for w in words])))
         if not hits:
-            return None
+            return len(words), None, None, None
         ends = [(e + 1) // 2 for e, _ in hits]
-        return [e - n for e, (_, (n, _)) in zip(ends, hits)], ends, sorted(set().union(*(i for _, (_, i) in hits)))
+        return len(words), [e - n for e, (_, (n, _)) in zip(ends, hits)], ends, sorted(set().union(*(i for _, (_, i) in hits)))
 
 
 def _parts(rows: Iterator) -> Iterator[tuple[str, bytes, int]]:
@@ -101,15 +101,16 @@ def _scanned(shared) -> Column:
     @F.arrow_udf(HIT)
     def scanned(texts: pa.Array) -> pa.Array:
         rows = [shared.value.scan(t) for part in stretches(texts) for t in part.to_pylist()]
-        kinds = (("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())))
-        columns = [pa.array([r and r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]
-        return pa.StructArray.from_arrays(columns, names=[n for n, _ in kinds], mask=pa.array([r is None for r in rows], pa.bool_()))
+        kinds = (("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())))
+        columns = [pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]
+        return pa.StructArray.from_arrays(columns, names=[n for n, _ in kinds])
 
     return scanned(F.encode("text", "UTF-8"))
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the column ``name``: an array of HIT, one for each block with an occurrence; null or empty without any.
+    """``docs`` with the column ``name``: an array of HIT, one for each block that was scanned for or, of several,
+    for each with an occurrence; null without any.
 
     One block, the usual case, needs no shuffle. More blocks are scanned for one after another: each pass
     broadcasts its automaton's items, writes the few texts with hits, by 128 bits of the text, and
@@ -122,7 +123,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
     found, keyed = None, docs.select(F.md5("text").alias("__text"), "text")
     for block in (b for some in ([first, second], blocks) for b in some):
         shared = spread(Scanner(block))
-        some = stored(keyed.select("__text", _scanned(shared).alias("hit")).where("hit is not null").dropDuplicates(["__text"]))
+        some = stored(keyed.select("__text", _scanned(shared).alias("hit")).where("hit.items is not null").dropDuplicates(["__text"]))
         shared.destroy()
         found = some if found is None else found.unionByName(some)
     (key,) = spare(docs, "__text")
@@ -139,10 +140,11 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents are judged each. An empty benchmark hits nothing; an empty table gives no rows."""
     (hits,) = spare(docs, "__hits")
     out = _hits(docs, benchmark, hits)
-    all_of = lambda name: F.flatten(F.transform(F.filter(hits, lambda h: h.isNotNull()), lambda h: h[name]))
+    all_of = lambda name: F.flatten(F.transform(F.filter(hits, lambda h: h["items"].isNotNull()), lambda h: h[name]))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     items = F.coalesce(F.array_sort(F.array_distinct(all_of("items"))), F.array().cast("array<string>"))
     return (
-        out.withColumn("n_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+        out.withColumn("n_words", F.coalesce(F.get(hits, F.lit(0))["n_words"], words))
         .withColumn("n_hit", F.coalesce(_covered(all_of("starts"), all_of("ends")), F.lit(0).cast("long")))
         .withColumn("n_items", F.size(items).cast("long"))
         .withColumn("items_sha256", F.sha2(F.array_join(items, ",").cast("binary"), 256))
