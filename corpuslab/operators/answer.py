@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import collapse, matches
+from corpuslab.functions.text import CITATION, ENTITY, collapse, matches
 
 MIN_COSINE, MIN_BM25 = 0.40, 8.0
 NO_ANSWER = "NO_ANSWER"
@@ -92,3 +92,26 @@ def abstain_stability(runs: DataFrame) -> DataFrame:
     share = F.when(F.col("n_model") == F.col("n"), 4.0).when(F.col("n_model") == 0, 1.5).otherwise(0.5)
     points = share + F.when(F.col("reason_chars") >= 20, 1.5).otherwise(0.0)
     return grouped.withColumn("points", F.when(F.col("n_abstain") < F.col("n"), 0.0).otherwise(points))
+
+
+#: What an entity's characters are among; an entity lies within one such run of a text.
+RUN = r"[A-Za-z0-9_.\-%]+"
+
+
+def floors(turns: DataFrame, answers: DataFrame) -> DataFrame:
+    """(conv_id, turn, floor) of answers (conv_id, turn, answer; one each): the share of an answer's distinct entities
+    that earlier turns (conv_id, turn, text) of its conversation contain; 1.0 if it names none.
+
+    No context is put together: of every run of entity characters the first turn is kept, an entity meets the runs that
+    hold its first three characters, and the least first turn of those that contain it is compared. So a
+    conversation costs as its different words do, not as the square of its turns."""
+    plain = lambda c: F.regexp_replace(c, CITATION, " ")
+    runs = turns.select("conv_id", "turn", F.explode(F.array_distinct(matches(plain("text"), RUN))).alias("run"))
+    runs = runs.groupBy("conv_id", "run").agg(F.min("turn").alias("first"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.array(*(F.substr("run", i, F.lit(n)) for n in (1, 2, 3))))
+    runs = runs.select("conv_id", "run", "first", F.explode(F.array_distinct(F.flatten(parts))).alias("part"))
+    named = answers.select("conv_id", "turn", F.explode_outer(F.array_distinct(matches(plain("answer"), ENTITY))).alias("name"))
+    wanted = named.where("name is not null").select("conv_id", "name").distinct().withColumn("part", F.left("name", F.lit(3)))
+    first = wanted.join(runs, ["conv_id", "part"]).where(F.contains("run", "name")).groupBy("conv_id", "name").agg(F.min("first").alias("first"))
+    found = named.join(first, ["conv_id", "name"], "left").groupBy("conv_id", "turn").agg(F.count("name").alias("n"), F.count_if(F.col("first") < F.col("turn")).alias("held"))
+    return found.select("conv_id", "turn", F.when(F.col("n") == 0, 1.0).otherwise(F.col("held") / F.col("n")).alias("floor"))

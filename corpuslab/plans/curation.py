@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import faithfulness_floor
 from corpuslab.operators import answer, curate, metrics
 from corpuslab.plans.registry import Registry
 from corpuslab.sources.tables import table
@@ -161,8 +160,8 @@ def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What assistants say with the turns before as context, and two citations put after."""
-    turns = table(spark, sf_dir, "conversations").withColumn("before", F.expr("array_join(collect_list(text) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), ' ')"))
+    """What assistants say, and two citations put after."""
+    turns = table(spark, sf_dir, "conversations")
     n = F.col("conv_id") % 4
     cited = F.concat("text", F.lit(" ["), (n + 1).cast("string"), F.lit("] and ["), (n * 3 + 1).cast("string"), F.lit("] ["), (n + 1).cast("string"), F.lit("]"))
     return turns.where("role = 'assistant'").withColumn("answer", cited)
@@ -175,7 +174,8 @@ a as (select *, text || ' [' || (conv_id % 4 + 1) || '] and [' || (conv_id % 4 *
 @R.add(f"""with {ANSWERS}, e as (select conv_id, turn, before, list_distinct(regexp_extract_all(regexp_replace(answer, '\\[\\d{{1,2}}\\]', ' ', 'g'), '[A-Za-z][A-Za-z0-9_.\\-]{{2,}}|\\d+(?:\\.\\d+)?%?')) as named from a)
 select conv_id, turn, round(case when len(named) = 0 then 1.0 else len(list_filter(named, lambda x: contains(before, x))) / len(named) end, 6) as floor from e""")
 def faithfulness_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers(spark, sf_dir).select("conv_id", "turn", F.round(faithfulness_floor(F.col("answer"), F.col("before")), 6).alias("floor"))
+    """With the turns before an answer as its context."""
+    return answer.floors(table(spark, sf_dir, "conversations"), answers(spark, sf_dir)).withColumn("floor", F.round("floor", 6))
 
 
 @R.add(f"""with {ANSWERS}, n as (select conv_id, turn, list_distinct([conv_id % 4 + 1, conv_id % 4 * 3 + 1]) as named from a)
@@ -231,8 +231,9 @@ def abstain_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"""with {ANSWERS}, e as (select conv_id, before, conv_id % 4 * 3 + 1 > 5 as wrong, list_distinct(regexp_extract_all(regexp_replace(answer, '\\[\\d{{1,2}}\\]', ' ', 'g'), '[A-Za-z][A-Za-z0-9_.\\-]{{2,}}|\\d+(?:\\.\\d+)?%?')) as named from a where conv_id % 7 <> 0)
 select count(*) as n, round(avg(case when wrong then 1.0 else 0.0 end), 6) as wrong_rate, round(avg(case when len(named) = 0 then 1.0 else len(list_filter(named, lambda x: contains(before, x))) / len(named) end), 6) as floor from e""")
 def citation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = answers(spark, sf_dir).withColumn("c", answer.citations(F.col("answer"), F.lit(5)))
-    rows = rows.select((F.col("conv_id") % 7 == 0).alias("abstained"), "c.used", "c.unsupported", faithfulness_floor(F.col("answer"), F.col("before")).alias("floor"))
+    said = answers(spark, sf_dir)
+    rows = said.withColumn("c", answer.citations(F.col("answer"), F.lit(5))).join(answer.floors(table(spark, sf_dir, "conversations"), said), ["conv_id", "turn"])
+    rows = rows.select((F.col("conv_id") % 7 == 0).alias("abstained"), "c.used", "c.unsupported", "floor")
     return metrics.citation_report(rows)
 
 
