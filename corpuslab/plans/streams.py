@@ -48,12 +48,12 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@R.add("select count(*) as n, count(distinct event_id) as ids from events")
+@R.add("select event_id, user_id, event_type, value from events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event twice, each kept once."""
     rows = _stream(spark, sf_dir)
     twice = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    return _to_table(jobs.first_of_each(twice, "event_id")).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    return _to_table(jobs.first_of_each(twice, "event_id")).select("event_id", "user_id", "event_type", "value")
 
 
 @R.add("""with w as (select user_id, event_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 6) as so_far, value from events)
@@ -67,15 +67,14 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _to_table(jobs.breaker_trips(_stream(spark, sf_dir)))
 
 
-@R.add("""with tr as (select user_id * 100 + day(ts) as trace_id, event_id, ts, case event_type when 'signup' then 'step_start' when 'view' then 'action' when 'click' then 'observation' else 'other' end as type from events),
-m as (select trace_id, event_id, lead(event_id) over (partition by trace_id order by event_id) as e from tr where type = 'step_start'),
-s as (select trace_id, row_number() over (partition by trace_id order by event_id) as n, event_id as a from tr where type = 'action'),
-steps as (select 'step' as kind, count(*) as n from m where e is not null) select * from steps""")
+@R.add("""with tr as (select user_id * 100 + day(ts) as trace_id, event_id, ts from events where event_type = 'signup'),
+m as (select trace_id, ts, lead(ts) over (partition by trace_id order by event_id) as e from tr)
+select trace_id, round(epoch(ts), 3) as start, round(epoch(e), 3) as "end" from m where e is not null""")
 def stream_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step spans closed by a next step, counted; a trace is a user's day."""
+    """Step spans closed by a next step; a trace is a user's day."""
     kinds = {"signup": "step_start", "view": "action", "click": "observation"}
     kind = F.lit("other")
     for name, to in kinds.items():
         kind = F.when(F.col("event_type") == name, to).otherwise(kind)
     rows = _stream(spark, sf_dir).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("trace_id"), F.col("event_id").alias("seq"), "ts", kind.alias("type"), F.lit(1).alias("step"), F.lit("t").alias("tool"))
-    return _to_table(jobs.closed_spans(rows, "2 days")).where("kind = 'step' and status = 'ok'").groupBy("kind").agg(F.count("*").alias("n"))
+    return _to_table(jobs.closed_spans(rows, "2 days")).where("kind = 'step' and status = 'ok'").select("trace_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
