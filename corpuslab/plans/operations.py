@@ -215,12 +215,25 @@ def span_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", "span_count", "child_errors", "errors", "total_ms", "status", "stop_reason")
 
 
-@R.add()
+@R.add(f"""with recursive {CLOSED}, o as (select cl.*, props, last_value(case when type = 'step_start' then seq end ignore nulls) over (partition by trace_id order by seq rows between unbounded preceding and 1 preceding) as open_step from cl join events using (event_id)),
+sp as (select trace_id, case type when 'step_start' then 'step-' || seq when 'action' then 'tool-' || seq || '-0' else 'confirm-' || seq end as span_id,
+  case when type = 'step_start' or open_step is null then 'root' else 'step-' || open_step end as parent, case type when 'step_start' then 'step.' || (props ->> '$.k') when 'action' then 'tool.' || tool else 'confirm.' || tool end as name, o.ts as start
+  from o where type in ('step_start', 'action', 'need_confirm') union all select trace_id, 'root', null, 'trace', min(ts) from cl group by trace_id),
+t as (select trace_id, span_id, name, 0 as depth, [{{'s': start, 'i': span_id}}] as path from sp where parent is null
+  union all select c.trace_id, c.span_id, c.name, depth + 1, list_append(path, {{'s': c.start, 'i': c.span_id}}) from t join sp c on c.trace_id = t.trace_id and c.parent = t.span_id)
+select trace_id, span_id, name, depth, cast(row_number() over (partition by trace_id order by path) as int) as place from t""")
 def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.tree(traces.spans(closed_traces(spark, sf_dir)))
 
 
-@R.add()
+@R.add(f"""with {CLOSED}, whole as (select trace_id, min(ts) as s, max(ts) as e from cl group by trace_id), fin as (select trace_id, max_by(ts, seq) as e from cl group by trace_id),
+marks as (select trace_id, type, ts as s, lead(ts) over (partition by trace_id order by seq) as e from cl where type in ('step_start', 'final', 'stop')),
+a as (select trace_id, tool, ts, row_number() over (partition by trace_id, tool order by seq) as n from cl where type = 'action'), b as (select trace_id, tool, ts, row_number() over (partition by trace_id, tool order by seq) as n from cl where type = 'observation'),
+d as (select trace_id, 'step' as kind, round((e - s) * 1000, 3) as ms from marks where type = 'step_start'
+ union all select a.trace_id, 'tool', round((coalesce(b.ts, fin.e) - a.ts) * 1000, 3) from a join fin using (trace_id) left join b using (trace_id, tool, n)
+ union all select trace_id, 'confirm', round((fin.e - ts) * 1000, 3) from cl join fin using (trace_id) where type = 'need_confirm'),
+k as (select trace_id, kind, count(*) as count, round(sum(ms), 3) as ms from d group by trace_id, kind)
+select trace_id, kind, count, ms, round(case when e > s then ms / round((e - s) * 1000, 3) * 100 else 0.0 end, 1) as pct from k join whole using (trace_id)""")
 def span_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.by_kind(traces.spans(closed_traces(spark, sf_dir)))
 
