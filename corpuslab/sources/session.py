@@ -29,7 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if named is None and not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='corpuslab-')}/table-{uuid.uuid4().hex}"
+    if named is None:
+        named = tempfile.mkdtemp(prefix="corpuslab-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named}/table-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
