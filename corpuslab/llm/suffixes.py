@@ -112,6 +112,30 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, text.split(), repeat(1)), np.uint64)
 
 
+def word_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(texts, anchor hashes) of the strings of PASSAGE_WORDS words: an anchor once for neighbours that share it."""
+    some: list[tuple[int, np.ndarray]] = []
+    held = 0
+    for t, hashes in enumerate(map(word_hashes, texts)):
+        for at in range(0, len(hashes) - PASSAGE_WORDS + 1, STRETCH):
+            some.append((t, hashes[at : at + STRETCH + PASSAGE_WORDS - 1]))
+            held += len(some[-1][1])
+            if held >= STRETCH:
+                yield _word_anchors(some)
+                some, held = [], 0
+    if some:
+        yield _word_anchors(some)
+
+
+def _word_anchors(pieces: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    at, hashed = anchors(np.concatenate([p for _, p in pieces]), PASSAGE_WORDS, SHORT_WORDS)
+    sizes = np.array([len(p) for _, p in pieces])
+    owner = np.repeat(np.arange(len(pieces)), sizes)[: len(at)]
+    kept = np.arange(len(at)) < (np.cumsum(sizes) - PASSAGE_WORDS + 1)[owner]  # later strings cross into the next text
+    kept[1:] &= (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+    return np.array([t for t, _ in pieces])[owner[kept]], hashed[kept].view(np.int64)
+
+
 def _by_prefix(windows: np.ndarray, positions: np.ndarray, offset: int) -> np.ndarray:
     """Positions in the order of their windows from ``offset`` on. Eight bytes at a time decide; ties are
     settled by all their bytes, in batches of bounded size."""
@@ -253,8 +277,11 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             data = [np.frombuffer(x, np.uint8) for x in texts]
             words = [_words_before(x) for x in data]
             rows = [(False, a, 0, d1, d2, keys[t], s, n, int(words[t][s + n + LENGTH - 1] - words[t][s]) - 1) for t, a, d1, d2, s, n in segments(data)]
-            rows += [(True, a, 0, 0, 0, keys[t], 0, 0, 0) for t, a in {x[:2] for x in segments([word_hashes(x) for x in texts], PASSAGE_WORDS, SHORT_WORDS)}]
             yield _rows(FOUND, rows)
+            for owner, anchor in word_anchors(texts):
+                none = pa.array(np.zeros(len(owner), np.int64))
+                made = {"words": pa.array(np.ones(len(owner), bool)), "k1": pa.array(anchor), "text_key": pa.array(keys, pa.binary()).take(pa.array(owner))}
+                yield pa.RecordBatch.from_arrays([made.get(name, none) for name in FOUND], names=list(FOUND))
 
 
 def _passages(text: bytes, own: set[int]) -> Iterator[bytes]:
