@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.bm25 import DIGITS, rank
+from corpuslab.sources.session import stored
 
 #: Query vectors that are held against the corpus in one pass, and the bytes that they may take; more take more passes.
 QUERY_BLOCK, QUERY_BYTES = 4096, 32 << 20
@@ -117,9 +118,9 @@ def train_ivf(docs: DataFrame, nlist: int = 64, rounds: int = 12, seed: int = 42
     n = max(1, min(nlist, len(pool)))
     centres, spare = pool[:n].copy(), iter(pool[n:])
     for _ in range(rounds if len(pool) else 0):
-        sums = docs.mapInPandas(_cluster_sums(centres), "cluster int, total array<double>, n long").groupBy("cluster").agg(
-            F.sum("n").alias("n"), F.array(*(F.sum(F.col("total")[i]) for i in range(centres.shape[1]))).alias("total")
-        )
+        parts = docs.mapInPandas(_cluster_sums(centres), "cluster int, total array<double>, n long")
+        parts = parts.select("cluster", "n", F.posexplode("total").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        sums = parts.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total"))
         filled = {r["cluster"]: np.array(r["total"]) / r["n"] for r in sums.collect()}
         for j in range(n):
             centres[j] = filled[j] if j in filled else next(spare, centres[j])
@@ -213,11 +214,12 @@ def noisy_queries(docs: DataFrame, n: int, sigma: float, seed: int = 7) -> DataF
 
 
 def sweep(docs: DataFrame, queries: DataFrame, nlists: list[int], nprobes: list[int], k: int = 10, rounds: int = 12) -> DataFrame:
-    """Mean recall@k of the inverted file against exact search for each nlist and nprobe."""
-    exact, out = topk(docs, queries, k), None
+    """Mean recall@k of the inverted file against exact search for each nlist and nprobe. The exact lists and each
+    index are stored once."""
+    exact, out = stored(topk(docs, queries, k)), None
     for nlist in nlists:
         centres = train_ivf(docs, nlist, rounds)
-        index = assign_ivf(docs, centres)
+        index = stored(assign_ivf(docs, centres))
         for nprobe in nprobes:
             part = recall(search_ivf(index, centres, queries, k, nprobe), exact, k)
             part = part.agg(F.round(F.avg("recall"), 4).alias("recall")).select(F.lit(nlist).alias("nlist"), F.lit(nprobe).alias("nprobe"), "recall")
