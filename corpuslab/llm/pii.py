@@ -198,10 +198,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets, overlapping spans as one;
     n_chars, where present, is counted anew. All rows and columns stay.
 
-    Texts without spans, null and empty ones stay as they are; copies and repeated rows change alike; an
+    The texts are shuffled once, at every size, to meet what goes from them. Texts without spans, null and
+    empty ones stay as they are; copies and repeated rows change alike; an
     empty table gives no rows."""
     key, listed, cuts = spare(docs, "__key", "__found", "__cuts")
-    found = stored(_cuts(spans_of(docs.select("text")))).toDF(listed, cuts)
+    found = stored(_cuts(spans_of(docs.select("text")))).toDF(listed, cuts).hint("merge")
     joined = docs.withColumn(key, text_key(F.col("text"))).join(found, F.col(key) == F.col(listed), "left")
     pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
     clean = F.array_join(F.transform(pieces, lambda p, i: F.coalesce(_without(p, F.try_element_at(F.col(cuts), i)), p)), "")

@@ -177,15 +177,15 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS)
     Null and wordless texts are one component. Of rows equal in doc_id and text any one stays; a
     doc_id given to different texts is judged by each. Documents without a doc_id stay where a whole
     component has none. An empty table gives no rows. What goes is listed by id and 128 bits of the
-    text, in a table whose size Spark knows: a short list is sent to the texts, a long one meets them
-    by that key, so the texts are shuffled once at most."""
+    text, and meets the texts by that key: they are shuffled once, at every size, as a list that is
+    broadcast while it is short would grow out of that."""
     key = F.md5(F.coalesce("text", F.lit(""))).alias("key")
     grouped = _grouped(docs, key, words=words, radius=radius)
     counted = stored(grouped.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")))
     goes = stored(counted.where("not (doc_id <=> component_id)").select("doc_id", "key"))
     again = stored(counted.where("doc_id <=> component_id and n > 1").select("doc_id", "key"))
     own, listed_id, listed = spare(docs, "__key", "__id", "__found")
-    keyed, goes, again = docs.withColumn(own, key), *(x.toDF(listed_id, listed) for x in (goes, again))
+    keyed, goes, again = docs.withColumn(own, key), *(x.toDF(listed_id, listed).hint("merge") for x in (goes, again))
     same = (F.col(own) == F.col(listed)) & F.col("doc_id").eqNullSafe(F.col(listed_id))
     stays = keyed.join(goes, same, "left_anti")
     if not again.isEmpty():
