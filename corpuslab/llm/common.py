@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read back, so that a lost
     executor costs no recomputation."""
-    _folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names. Where it names none, a local session gets a new one, and
     a cluster, whose executors could not read the driver's disk, an error."""
     context = spark.sparkContext
@@ -35,7 +35,7 @@ def _folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared checkpoint folder and read back: what
     ``checkpoint`` does, compressed and in columns, for wide or many rows."""
-    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
