@@ -131,7 +131,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts are empty, null sources the part ''. Of equal texts all fail E but those of the smallest doc_id, which
     repeated rows of it share; a null doc_id comes last. A document with several label rows is good or toxic if one
-    says so; labels without a document count nowhere. An empty table gives no rows."""
+    says so, one of a null doc_id neither; labels without a document count nowhere. An empty table gives no rows."""
     marks = labels.groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"))
     rows = judged(docs.select("doc_id", "text", "source")).join(marks, "doc_id", "left")
     return interactions(rows.select("part", "failing", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad")))

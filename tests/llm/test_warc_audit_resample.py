@@ -144,8 +144,8 @@ def test_only_committed_files_are_read(spark, tmp_path):
 
 
 def plain_audit(docs, labels):
-    good = {d for d, q, t in labels if q == 1}
-    bad = {d for d, q, t in labels if t == 1}
+    good = {d for d, q, t in labels if q == 1 and d is not None}
+    bad = {d for d, q, t in labels if t == 1 and d is not None}
     first, fails, part = {}, {}, {}
     for i, (d, t, _, s, _) in enumerate(docs):
         t = t or ""
