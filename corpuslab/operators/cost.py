@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators import scans
+
 # Prices per million tokens, rate of exchange, least cached prefix.
 PRICES = (
     ("deepseek-flash", "deepseek", "USD", 2.0, 0.15, 0.003, 0.60, False),
@@ -116,11 +118,11 @@ def calls_to_save(scenarios: DataFrame, table: DataFrame | None = None) -> DataF
 
 def running_budget(ledger: DataFrame, limit: float, tenant: str = "tenant", order: str = "ts", key: str = "id") -> DataFrame:
     """Each tenant's cost so far and whether its gate was still open when a call came: closed once the cost before it
-    reaches the limit. There is no order across tenants."""
-    w = Window.partitionBy(tenant).orderBy(order, key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    so_far = F.sum(F.coalesce("cost_cny", F.lit(0.0))).over(w)
-    rows = ledger.withColumn("so_far", F.round(so_far, 6))
-    return rows.withColumn("open", F.round(F.col("so_far") - F.coalesce("cost_cny", F.lit(0.0)), 6) < limit)
+    reaches the limit. There is no order across tenants. A tenant's calls are summed by slices (see ``scans``), so it
+    may have any number of them."""
+    spent = F.coalesce("cost_cny", F.lit(0.0))
+    rows = scans.bare(scans.prefix(scans.sliced(ledger, tenant, [order, key]), tenant, [order, key], {"so_far": ("sum", spent)}))
+    return rows.withColumn("so_far", F.round("so_far", 6)).withColumn("open", F.round(F.col("so_far") - spent, 6) < limit)
 
 
 def traffic_report(traffic: DataFrame) -> DataFrame:

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keywords that one pass compares with each text; a larger dictionary takes more passes.
-BLOCK = 500
+from corpuslab.operators import matching
+
 GAP_PERCENT = 30.0
 
 
-def document_frequency(docs: DataFrame, dictionary: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
+def document_frequency(docs: DataFrame, dictionary: list[tuple[str, str]] | DataFrame, text_col: str = "text") -> DataFrame:
     """(category, keyword, docs, pct) of a dictionary of (category, keyword): documents that hold a keyword, letter case
-    apart, and their share in percent (1 digit). Keywords in no document are left out. Each text is read once
-    for a block of keywords, and only matches are counted."""
-    text, found = F.lower(F.coalesce(text_col, F.lit(""))), None
-    for at in range(0, len(dictionary), BLOCK):
-        known = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword")) for c, k in dictionary[at : at + BLOCK]))
-        held = docs.select(text.alias("t")).select(F.explode(F.filter(known, lambda w: F.contains(F.col("t"), F.lower(w["keyword"])))).alias("w"))
-        part = held.groupBy("w.category", "w.keyword").agg(F.count("*").alias("docs"))
-        found = part if found is None else found.unionByName(part)
+    apart, and their share in percent (1 digit). Keywords in no document are left out. All keywords are found in one
+    scan of a text (see ``matching.holding``), and only matches are counted."""
+    spark = docs.sparkSession
+    known = dictionary if isinstance(dictionary, DataFrame) else spark.createDataFrame(dictionary, "category string, keyword string")
+    known = known.select("category", "keyword", F.lower("keyword").alias("word"))
+    texts = docs.select(F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+    found = matching.counts(texts, known.select("word")).join(known, "word")
     total = docs.agg(F.count("*").alias("total"))
     return found.crossJoin(total).select("category", "keyword", "docs", F.round(F.col("docs") / F.col("total") * 100, 1).alias("pct")).orderBy(F.desc("pct"), "category", "keyword")
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators import scans
+
 # Target numbers and hard types of a question set, limits of its alarms.
 TARGETS = {"term": 50, "semantic": 30, "multi": 15, "boundary": 15, "conflict": 10}
 HARD = ("multi", "boundary", "conflict")
@@ -87,14 +89,13 @@ def validated(rows: DataFrame, chunk_ids: DataFrame) -> DataFrame:
 
 def new_ids(drafts: DataFrame, used: DataFrame, start: int = 1, prefix: str = "m") -> DataFrame:
     """drafts (pos) with qid, in order of pos: the smallest free number at or after ``start`` + its place, each number
-    once, three digits at least. Question sets are small: one sorted pass gives all places."""
+    once, three digits at least. Drafts and free numbers are both numbered by ranges (see ``scans``)."""
     n = drafts.count()
     taken = used.select("qid").where(F.col("qid").startswith(prefix))
     most = n + taken.count() + start
     every = drafts.sparkSession.range(start, most + 1).select("id", F.concat(F.lit(prefix), F.when(F.col("id") < 1000, F.lpad(F.col("id").cast("string"), 3, "0")).otherwise(F.col("id").cast("string"))).alias("qid"))
-    free = every.join(taken, "qid", "left_anti")
-    place = lambda c: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(c))
-    return drafts.drop("qid").withColumn("__n", place("pos")).join(free.withColumn("__n", place("id")).drop("id"), "__n").drop("__n")
+    free = scans.numbered(every.join(taken, "qid", "left_anti"), ["id"], "__n").drop("id")
+    return scans.numbered(drafts.drop("qid"), ["pos"], "__n").join(free, "__n").drop("__n")
 
 
 def append_unseen(golden: DataFrame, more: DataFrame) -> DataFrame:
@@ -144,9 +145,10 @@ def stratified(rows: DataFrame, n: int, key: str, source: str = "source", seed:
 
 def cross_pairs(rows: DataFrame, key: str, source: str = "source", seed: int = 42) -> DataFrame:
     """(place, source_a, a, source_b, b): rows of two different sources, each row in one pair at most. Sources are
-    taken two by two in order, and their rows by seeded rank."""
-    names = rows.select(F.col(source).alias("s")).distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("s")) - 1)
-    ranked = rows.select(F.col(source).alias("s"), F.col(key).alias("k")).withColumn("place", F.row_number().over(Window.partitionBy("s").orderBy(seeded("k", seed), "k")))
+    taken two by two in order, and their rows by seeded rank, which is given by slices (see ``scans``): a source may hold
+    any share of the rows. Rows beyond the other source's number have no partner."""
+    names = scans.numbered(rows.select(F.col(source).alias("s")).distinct(), ["s"], "i").withColumn("i", F.col("i") - 1)
+    ranked = scans.numbered(rows.select(F.col(source).alias("s"), F.col(key).alias("k"), seeded(key, seed).alias("draw")), ["draw", "k"], "place", by="s").drop("draw")
     sided = ranked.join(names, "s").withColumn("pair", F.floor(F.col("i") / 2))
     side = lambda odd, s, k: sided.where(F.col("i") % 2 == odd).select("pair", "place", F.col("s").alias(s), F.col("k").alias(k))
     return side(0, "source_a", "a").join(side(1, "source_b", "b"), ["pair", "place"]).drop("pair")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators import bm25, vectors
+from corpuslab.operators import bm25, inverted, vectors
 
 RRF_K = 60
 MODES = ("vector", "bm25", "hybrid", "hybrid_rerank")
@@ -38,20 +38,22 @@ def minmax(found: DataFrame) -> DataFrame:
     return found.withColumn("score", F.round(scaled, 6))
 
 
-def search(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", topk: int = 5, pool: int = 50, judged: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", topk: int = 5, pool: int = 50, judged: DataFrame | None = None, index: inverted.Index | None = None) -> DataFrame:
     """Search docs (doc_id, text, vector) for queries (qid, question, vector) in one of MODES. Path scores
     are vector_score and bm25_score: 0.0 where a path that found something did not find the document,
-    null where the path was not run or found nothing. hybrid_rerank applies judge texts (qid, order_text)."""
+    null where the path was not run or found nothing. hybrid_rerank applies judge texts (qid, order_text).
+    ``index`` is the stored index of these docs, where there is one; without, texts are tokenised for this call."""
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is none of {MODES}")
     none = F.lit(None).cast("double")
+    words = lambda k: bm25.topk(docs, queries, k) if index is None else inverted.topk(index, queries, k)
     if mode == "vector":
         found = vectors.topk(docs, queries, min(topk, pool))
         return found.select("*", F.round("score", 4).alias("vector_score"), none.alias("bm25_score"))
     if mode == "bm25":
-        found = bm25.topk(docs, queries, min(topk, pool))
+        found = words(min(topk, pool))
         return found.select("*", none.alias("vector_score"), F.round("score", 4).alias("bm25_score"))
-    lists = [vectors.topk(docs, queries, pool), bm25.topk(docs, queries, pool)]
+    lists = [vectors.topk(docs, queries, pool), words(pool)]
     fused = rrf(lists, pool)
     if mode == "hybrid_rerank":
         if judged is None:
@@ -96,14 +98,14 @@ def variants(text: Column, n: int) -> Column:
     return F.slice(F.filter(lines, lambda s: s != ""), 1, n)
 
 
-def multi_query(docs: DataFrame, queries: DataFrame, n: int = 3, topk: int = 5, mode: str = "bm25") -> DataFrame:
+def multi_query(docs: DataFrame, queries: DataFrame, n: int = 3, topk: int = 5, mode: str = "bm25", index: inverted.Index | None = None) -> DataFrame:
     """Queries (qid, question, variants_text[, vector]) searched as they are and in up to n variants, each
     cut to topk, fused by reciprocal rank. Lists tie in the order original, first variant, ..."""
     every = F.concat(F.array("question"), variants(F.col("variants_text"), n))
     more = [c for c in queries.columns if c == "vector"]
     spread = queries.select(F.col("qid").alias("own"), *more, F.posexplode(every).alias("pos", "question"))
     spread = spread.withColumn("qid", F.concat_ws("/", F.col("own").cast("string"), F.col("pos").cast("string")))
-    found = search(docs, spread, mode, topk).join(spread.select("qid", "own", "pos"), "qid")
+    found = search(docs, spread, mode, topk, index=index).join(spread.select("qid", "own", "pos"), "qid")
     part = F.lit(1.0) / (RRF_K + F.col("rank"))
     fused = found.groupBy("own", "doc_id").agg(F.round(F.sum(part), 9).alias("score"), F.min(F.col("pos") * 1e9 + F.col("rank")).alias("first"))
     return bm25.rank(fused.withColumnRenamed("own", "qid"), topk, "first")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import estimated_tokens, tokens
-from corpuslab.operators import answer, bm25, fuse, metrics, vectors
+from corpuslab.operators import answer, fuse, inverted, matching, metrics, vectors
 from corpuslab.plans.registry import Registry
 from corpuslab.sources.session import stored
 from corpuslab.sources.tables import table
@@ -65,8 +65,22 @@ def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
 
+#: Stored indexes of this process, by application, data folder and corpus.
+INDEXES: dict[tuple[str, str, str], inverted.Index] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, name: str = "documents") -> inverted.Index:
+    """The stored index of `documents` (or of `hybrid`, which also has the vectors that no text belongs to). It is
+    written by the first query of an application that asks for it; the others read it. A table that has
+    changed under its path needs another application or ``INDEXES.clear()``."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in INDEXES:
+        INDEXES[key] = inverted.build(corpus(spark, sf_dir) if name == "documents" else hybrid_corpus(spark, sf_dir))
+    return INDEXES[key]
+
+
 def bm(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return bm25.topk(corpus(spark, sf_dir), questions(spark, sf_dir), k)
+    return inverted.topk(stored_index(spark, sf_dir), questions(spark, sf_dir), k)
 
 
 def vec(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -93,7 +107,7 @@ def est_tokens_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(rf"""with t as (select distinct doc_id, unnest({TOKENS}) as term from documents), n as (select count(*) as n from documents)
 select term, count(*) as df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from t, n group by term""")
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.index_stats(corpus(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+    return inverted.statistics(stored_index(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
 @R.add(f"with {bm25_list(10)} select * from bm")
@@ -101,36 +115,39 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm(spark, sf_dir, 10)
 
 
-def expected(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+@R.add()
+def bm25_block_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, held, read): the postings of each question's terms in the stored index, and those that its first ten hits took."""
+    return inverted.Search(stored_index(spark, sf_dir), questions(spark, sf_dir), 10).reads()
+
+
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, expect_chunk, lang): the lowest document that holds the item's text word for word. Items of fewer
     than 24 characters are left out."""
     items = table(spark, sf_dir, "benchmark").where("length(text) >= 24").select("item_id", F.col("text").alias("item"))
-    held = holders(corpus(spark, sf_dir), items, held)
+    held = holders(corpus(spark, sf_dir), items, stored_index(spark, sf_dir))
     found = held.groupBy("item_id").agg(F.min(F.struct("doc_id", "lang")).alias("d"))
     return found.select(F.col("item_id").alias("qid"), F.col("d.doc_id").alias("expect_chunk"), F.col("d.lang").alias("lang"))
 
 
-def holders(docs: DataFrame, items: DataFrame, held: DataFrame | None = None) -> DataFrame:
+def holders(docs: DataFrame, items: DataFrame, index: inverted.Index) -> DataFrame:
     """Pairs of an item (item_id, item) and a document (doc_id, lang, text) whose text contains it.
 
-    Only documents with the item's rarest inner token are compared, found by an equi-join over ``held``,
-    postings of the items' tokens at least. Tokens in the item's first and last run without spaces may
-    be part of longer ones in a text, so they do not choose; the items without others, a stated
-    list, are held against all texts."""
+    Only documents with the item's rarest inner token, which ``index`` names, are compared. Tokens in the item's
+    first and last run without spaces may be part of longer ones in a text, so they do not choose; items without
+    others are looked for by an automaton, in one scan of the texts for each block of them."""
     edges = F.concat_ws(" ", F.regexp_extract("item", r"^\s*\S*", 0), F.regexp_extract("item", r"\S*\s*$", 0))
     terms = items.select("item_id", F.explode_outer(F.array_except(tokens(F.col("item")), tokens(edges))).alias("term"))
-    held = bm25.postings(docs, terms) if held is None else held
-    found = held.where("term is not null").select("doc_id", "term")
     # An item's terms that no text has are the rarest; such an item is in no text.
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    chosen = terms.where("term is not null").join(df, "term", "left")
+    named = terms.where("term is not null")
+    chosen = named.join(inverted.frequencies(index, named.select("term").distinct()), "term", "left")
     rarest = chosen.groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    pairs = stored(found.join(rarest, "term").select("item_id", "doc_id").distinct())
-    inner = pairs.join(items, "item_id").join(docs.select("doc_id", "lang", "text"), "doc_id").where(F.contains("text", "item"))
-    bare = items.join(terms.where("term is null").select("item_id").distinct(), "item_id", "left_semi")
-    if bare.isEmpty():
-        return inner
-    return inner.unionByName(docs.select("doc_id", "lang", "text").join(F.broadcast(bare), F.contains("text", "item")))
+    pairs = stored(inverted.holding(index, rarest.select("term").distinct()).join(rarest, "term").select("item_id", "doc_id").distinct())
+    shown = docs.select("doc_id", "lang", "text")
+    inner = pairs.join(items, "item_id").join(shown, "doc_id").where(F.contains("text", "item"))
+    bare = items.join(terms.where("term is null").select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id").alias("key"), F.col("item").alias("word"))
+    found = matching.holding(shown, bare).withColumnRenamed("key", "item_id").join(items, "item_id")
+    return inner.unionByName(found.select(*inner.columns))
 
 
 EXPECTED = """expected as (select item_id as qid, min(d.doc_id) as expect_chunk, arg_min(d.lang, d.doc_id) as lang
@@ -145,11 +162,8 @@ select lang, count(*) as n, round(avg(case when rank <= 1 then 1.0 else 0.0 end)
 )
 def bm25_recall_mrr_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: tokenise, score, rank, and measure against the documents that hold each item."""
-    docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term"))
-    held = bm25.postings(docs, bm25.query_terms(asked).select("term").unionByName(items))
-    golden = expected(spark, sf_dir, held).withColumnRenamed("lang", "type")
-    report = metrics.hit_report(golden, bm25.topk(docs, asked, 10, held=held).withColumn("mode", F.lit("bm25")), ["bm25"])
+    golden = expected(spark, sf_dir).withColumnRenamed("lang", "type")
+    report = metrics.hit_report(golden, bm(spark, sf_dir, 10).withColumn("mode", F.lit("bm25")), ["bm25"])
     return report.select(F.col("type").alias("lang"), "n", "hit1", "hit3", "hit5", "mrr")
 
 
@@ -183,21 +197,20 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, 100, [0.3, 0.7])
 
 
-HYBRID = f"""{bm25_list(50)}, {vector_list(50)}, {rrf_sql(['vec', 'bm'], 60, 50, [1.0, 1.0])},
+# The full join of texts and vectors gives rows without text no tokens, but they count in N and avgdl.
+HYBRID_CORPUS = bm25_list(50).replace(f"select doc_id, {TOKENS} as terms from documents", f"select coalesce(doc_id, vec_id) as doc_id, {TOKENS} as terms from documents full join embeddings on doc_id = vec_id", 1)
+HYBRID = f"""{HYBRID_CORPUS}, {vector_list(50)}, {rrf_sql(['vec', 'bm'], 60, 50, [1.0, 1.0])},
 hybrid as materialized (select qid, doc_id, rank, round(score, 6) as score,
-  round(case when max(score_0) over (partition by qid) is not null then coalesce(score_0, 0.0) + 1e-9 end, 4) as vector_score,
-  round(case when max(score_1) over (partition by qid) is not null then coalesce(score_1, 0.0) + 1e-9 end, 4) as bm25_score from rrf)"""
+  cast(round(case when max(score_0) over (partition by qid) is not null then cast(coalesce(score_0, 0.0) as decimal(18, 6)) end, 4) as double) as vector_score,
+  cast(round(case when max(score_1) over (partition by qid) is not null then cast(coalesce(score_1, 0.0) as decimal(18, 6)) end, 4) as double) as bm25_score from rrf)"""
 
 
-def hybrid(spark: SparkSession, sf_dir: str, topk: int) -> DataFrame:
-    docs = corpus(spark, sf_dir).select("doc_id", "text").join(vecs(spark, sf_dir), "doc_id", "full")
-    return fuse.search(docs, questions(spark, sf_dir), "hybrid", topk)
+def hybrid_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", "text").join(vecs(spark, sf_dir), "doc_id", "full")
 
 
-# The full join of texts and vectors gives rows without text no tokens, but they count in N and avgdl.
-HYBRID = HYBRID.replace("from tok)", "from tok)", 1).replace(
-    f"select doc_id, {TOKENS} as terms from documents", f"select coalesce(doc_id, vec_id) as doc_id, {TOKENS} as terms from documents full join embeddings on doc_id = vec_id", 1
-)
+def hybrid(spark: SparkSession, sf_dir: str, topk: int) -> DataFrame:
+    return fuse.search(hybrid_corpus(spark, sf_dir), questions(spark, sf_dir), "hybrid", topk, index=stored_index(spark, sf_dir, "hybrid"))
 
 
 @R.add(f"with {HYBRID} select * from hybrid where rank <= 5")
@@ -272,14 +285,14 @@ def multiquery_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two variants a question: its last 60, and its first 40 characters; bullets and blank lines are trimmed."""
     text = F.concat(F.lit("- "), F.regexp_replace(F.right("question", F.lit(60)), "\n", " "), F.lit("\n\n* "), F.regexp_replace(F.left("question", F.lit(40)), "\n", " "))
     asked = questions(spark, sf_dir).select("qid", "question", text.alias("variants_text"))
-    return fuse.multi_query(corpus(spark, sf_dir), asked, 3, 5)
+    return fuse.multi_query(corpus(spark, sf_dir), asked, 3, 5, index=stored_index(spark, sf_dir))
 
 
 @R.add(f"""with {bm25_list(5).replace("q as (select item_id as qid, text as question from benchmark)", "q as (select item_id as qid, case when item_id % 2 = 0 then left(text, 60) else text end as question from benchmark)")} select * from bm""")
 def hyde_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even questions have a hypothetical text, odd ones a blank one."""
     asked = questions(spark, sf_dir).withColumn("hypothesis", F.when(F.col("qid") % 2 == 0, F.left("question", F.lit(60))).otherwise("  "))
-    return bm25.topk(corpus(spark, sf_dir), fuse.hypothetical(asked), 5)
+    return inverted.topk(stored_index(spark, sf_dir), fuse.hypothetical(asked), 5)
 
 
 @R.add(f"""with {bm25_list(8)}, n as (select qid, count(*) as n from bm group by qid)

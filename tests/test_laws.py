@@ -286,11 +286,12 @@ def test_tree_of_any_depth(spark):
 
 def test_holders_of_items_with_glued_edges(spark):
     """Documents that hold an item inside longer words, an item without inner tokens, and one that none holds."""
+    from corpuslab.operators import inverted
     from corpuslab.plans import retrieval
 
     items = {1: "zebra walks over the hill today", 2: "unusuallylongtogetherwritten", 3: "walks over another hill today ok", 4: "文字 走过 山岗 a b", 5: "over the"}
     texts = ["prefixzebra walks over the hill today now", "zebra walks over the hill todayish", "zebra walked over the hill today", "so unusuallylongtogetherwrittenwords", "x文字 走过 山岗 a bc", "zebra Walks over the hill today", None]
     docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
-    got = retrieval.holders(docs, spark.createDataFrame(list(items.items()), "item_id long, item string"))
+    got = retrieval.holders(docs, spark.createDataFrame(list(items.items()), "item_id long, item string"), inverted.build(docs))
     want = {(i, d) for i, item in items.items() for d, t in enumerate(texts) if t and item in t}
     assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == want and {(1, 0), (1, 1), (2, 3), (4, 4)} <= want
