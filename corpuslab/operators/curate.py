@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,26 +104,63 @@ def append_unseen(golden: DataFrame, more: DataFrame) -> DataFrame:
     return golden.unionByName(more.join(golden.select("qid"), "qid", "left_anti"))
 
 
-def keyword_pattern(keyword: Column) -> Column:
+#: Characters that stand for one another or may be missing in a spelling (fixed values).
+DASHES, COMMAS = "-~～—–", ",，"
+
+
+def keyword_pattern(keyword: str) -> str:
     """A regular expression that finds a keyword in other spellings: white space anywhere, any dash for a dash,
     a comma or none for a comma."""
-    parts = F.transform(
-        F.filter(F.split(keyword, ""), lambda c: c != ""),
-        lambda c: F.when(F.instr(F.lit("-~～—–"), c) > 0, F.lit("[-~～—–]")).when(F.instr(F.lit(",，"), c) > 0, F.lit("[,，]?")).otherwise(F.concat(F.lit("\\Q"), c, F.lit("\\E"))),
-    )
-    return F.array_join(parts, r"(?U:\s*)")
+    either = lambda c: f"[{re.escape(DASHES)}]" if c in DASHES else f"[{COMMAS}]?" if c in COMMAS else re.escape(c)
+    return r"\s*".join(map(either, keyword))
+
+
+class Folded:
+    """A text without white space and commas, all dashes alike, with the place in the text of each character left.
+    Other spellings of a keyword are what folds to the same; where one stands, the pattern decides."""
+
+    def __init__(self, text: str):
+        self.text = text
+        kept = [(i, "-" if c in DASHES else c) for i, c in enumerate(text) if c not in COMMAS and not c.isspace()]
+        self.places = [i for i, _ in kept]
+        self.folded = "".join(c for _, c in kept)
+
+    def spelling(self, keyword: str) -> str | None:
+        """The keyword as the text spells it first, as it is written if the text has that."""
+        if keyword in self.text:
+            return keyword
+        bare = "".join("-" if c in DASHES else c for c in keyword if c not in COMMAS and not c.isspace())
+        pattern = re.compile(keyword_pattern(keyword))
+        if not bare or keyword[0] in COMMAS or any(c.isspace() for c in keyword):  # a match may begin before what is left of it
+            found = pattern.search(self.text)
+            return found[0] if found else None
+        at = self.folded.find(bare)
+        while at >= 0:
+            if found := pattern.match(self.text, self.places[at]):
+                return found[0]
+            at = self.folded.find(bare, at + 1)
+        return None
+
+
+def _spellings(texts: pd.Series, keywords: pd.Series) -> pd.Series:
+    """Each text's keywords as it spells them, null where it does not; a text is folded once for all of them."""
+    out = []
+    for text, words in zip(texts, keywords):
+        folded = Folded(text) if text is not None else None
+        out.append([folded.spelling(w) if folded and w else None for w in words])
+    return pd.Series(out, dtype=object)
 
 
 def repair_keywords(golden: DataFrame, chunks: DataFrame) -> DataFrame:
     """golden (qid, expect_chunk, expect_any) with each keyword as its chunk (chunk_id, text) spells it; keywords that
-    it does not hold are dropped, and so are questions that keep none."""
-    words = golden.select("qid", "expect_chunk", F.posexplode("expect_any").alias("pos", "kw"))
-    held = words.join(chunks.select(F.col("chunk_id").alias("expect_chunk"), "text"), "expect_chunk").where(F.col("kw") != "")
-    exact = F.contains("text", "kw")
-    found = F.when(exact, F.col("kw")).otherwise(F.regexp_substr("text", F.when(~exact, keyword_pattern(F.col("kw")))))
-    real = held.select("qid", "pos", found.alias("real")).where("real is not null")
-    fixed = real.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "real"))), lambda x: x["real"]).alias("expect_any"))
-    return golden.drop("expect_any").join(fixed, "qid")
+    it does not hold are dropped, and so are questions that keep none. All keywords of all questions of a chunk
+    are looked for in it at once; only chunks that a question names are read in Python."""
+    asked = golden.select("expect_chunk", F.explode("expect_any").alias("kw")).where("kw <> ''").distinct()
+    asked = asked.groupBy("expect_chunk").agg(F.collect_list("kw").alias("kws"))
+    held = asked.join(chunks.select(F.col("chunk_id").alias("expect_chunk"), "text"), "expect_chunk")
+    real = held.select("expect_chunk", F.map_from_arrays("kws", F.pandas_udf(_spellings, "array<string>")("text", "kws")).alias("real"))
+    fixed = golden.join(real, "expect_chunk").withColumn("expect_any", F.filter(F.transform("expect_any", lambda w: F.try_element_at("real", w)), lambda w: w.isNotNull()))
+    return fixed.where(F.size("expect_any") > 0).drop("real")
 
 
 def candidates(chunks: DataFrame, golden: DataFrame, least: int = 80, most: int = 1200) -> DataFrame:

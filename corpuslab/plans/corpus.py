@@ -9,6 +9,7 @@ from corpuslab.functions.text import collapse, plain_text
 from corpuslab.operators import chunk, parse
 from corpuslab.plans.registry import Registry
 from corpuslab.sources import tables
+from corpuslab.sources.session import stored
 from corpuslab.sources.tables import table
 
 R = Registry()
@@ -120,16 +121,20 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "text")
 
 
-GATED = r"""(select doc_id, source, length(text) as n, case when length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) < 300 then 'too short (' || coalesce(length(text), 0) || ' characters)'
- when doc_id > first then 'same text as ' || first end as reason, text from (select *, min(doc_id) over (partition by md5(regexp_replace(coalesce(text, ''), '\s+', '', 'g'))) as first from documents))"""
+#: A document as a page: its words in one paragraph, so the page's text is the document's with white space collapsed.
+GATED = r"""(select doc_id, source, n, case when length(replace(flat, ' ', '')) < 300 then 'too short (' || n || ' characters < 300)' when doc_id > first then 'same text as doc/' || first end as reason, flat as text
+ from (select *, length(flat) as n, min(doc_id) over (partition by length(replace(flat, ' ', '')) < 300, replace(flat, ' ', '')) as first
+  from (select doc_id, source, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[<>&]', ' ', 'g'), '[\x09-\x0D\x1C-\x20\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) as flat from documents)))"""
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with reject reasons: too short, or a copy."""
-    rows = parse.exact_dedup(_listed(spark, sf_dir), order="doc_id").join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
-    bare = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", ""))
-    short = F.concat(F.lit("too short ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" characters)"))
-    return rows.withColumn("reason", F.when(bare < 300, short).otherwise(F.regexp_replace("reason", "doc/", "")))
+    """documents as pages of one paragraph, parsed, with reject reasons: too short, or a copy of one accepted."""
+    body = F.concat(F.lit("<html><body><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " "), F.lit("</p></body></html>"))
+    url = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", "source", url.alias("url"), body.alias("body"), F.lit("html").alias("kind"))
+    parsed = stored(parse.parse(pages))
+    accepted = parse.exact_dedup(parsed.where("reason is null"), order="doc_id")
+    return accepted.unionByName(parsed.where("reason is not null"))
 
 
 @R.add(f"select doc_id, source, reason from {GATED} where reason is not null")
@@ -146,9 +151,7 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"""select source, cast(count(*) filter (reason is null) as bigint) as accepted, cast(count(*) filter (reason is not null) as bigint) as rejected,
  cast(coalesce(floor(avg(n) filter (reason is null)), 0) as bigint) as avg_chars from {GATED} group by rollup (source)""")
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = F.struct(F.lit(0).alias("n_tables"), F.lit(0).alias("n_code_blocks"))
-    rows = gated(spark, sf_dir).withColumns({"n_chars": F.col("n"), "n_tokens_est": F.lit(0), "stats": empty})
-    return parse.corpus_summary(rows).select("source", "accepted", "rejected", "avg_chars")
+    return parse.corpus_summary(gated(spark, sf_dir)).select("source", "accepted", "rejected", "avg_chars")
 
 
 @R.add("""with o as (select length(text) as n_chars, row_number() over (order by length(text)) - 1 as rn, count(*) over () as n from documents where text is not null)

@@ -62,20 +62,22 @@ def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.fill_quota(rows.where("doc_id % 50 <> 0"), rows.where("doc_id % 50 = 0")).select("qid", "type")
 
 
-NORMAL = "trim(regexp_replace(question, '\\s+', '', 'g'), '?？.。')"
+NORMAL = "trim(regexp_replace(coalesce(text, ''), '\\s+', '', 'g'), '?？.。')"
 
 
-@R.add(f"""with {GOLDEN}, n as (select *, {NORMAL} as q from golden), f as (select *, min(doc_id) over (partition by q) as first from n where doc_id % 4 <> 0)
+@R.add(f"""with {GOLDEN}, n as (select doc_id, 'q' || doc_id as qid, {NORMAL} as q from documents), f as (select *, min(doc_id) over (partition by q) as first from n where doc_id % 4 <> 0)
 select qid from f where doc_id = first and q not in (select q from n where doc_id % 4 = 0)""")
 def draft_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = golden(spark, sf_dir).withColumn("pos", F.col("doc_id"))
+    """Whole texts as questions: a fourth of them is there already, the others are drafts."""
+    rows = golden(spark, sf_dir).withColumns({"pos": F.col("doc_id"), "question": F.coalesce("text", F.lit(""))})
     return curate.fresh_drafts(rows.where("doc_id % 4 <> 0"), rows.where("doc_id % 4 = 0")).select("qid")
 
 
-@R.add(f"with {GOLDEN} select qid, type from golden where doc_id % 3 = 0 union all select qid, type from golden where doc_id % 2 = 0 and doc_id % 3 <> 0")
+@R.add(f"with {GOLDEN} select qid, type, doc_id % 3 <> 0 as added from golden")
 def append_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = golden(spark, sf_dir).select("doc_id", "qid", "type")
-    return curate.append_unseen(rows.where("doc_id % 3 = 0"), rows.where("doc_id % 2 = 0")).drop("doc_id")
+    """A third of the questions is there already; all of them come again."""
+    rows = golden(spark, sf_dir).select("qid", "type", (F.col("doc_id") % 3 != 0).alias("added"))
+    return curate.append_unseen(rows.where("not added"), rows)
 
 
 @R.add("""with d as (select doc_id, source, row_number() over (partition by source order by md5('42-' || doc_id), doc_id) as place from documents)
@@ -103,16 +105,17 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@R.add("""with w as (select doc_id, split_part(text, ' ', 2) as a, split_part(text, ' ', 4) as b, split_part(text, ' ', 5) as c, text from documents where text is not null and length(text) - length(replace(text, ' ', '')) >= 5 and not contains(left(text, 200), chr(10)) and not contains(left(text, 200), '  '))
-select 'q' || doc_id as qid, [a, case when contains(text, b || c) then b || c else b || ' ' || c end] as expect_any from w where not contains(b || c, ',')""")
+@R.add()
 def keyword_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's second word, its fourth and fifth run together, and a word that it does not hold."""
-    docs = table(spark, sf_dir, "documents").where("text is not null and length(text) - length(replace(text, ' ', '')) >= 5 and not contains(left(text, 200), '\\n') and not contains(left(text, 200), '  ')")
-    part = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
-    kws = F.array(part(2), F.concat(part(4), part(5)), F.lit("zzqqzz"))
-    plain = docs.where(~F.contains(F.concat(part(4), part(5)), F.lit(",")))
-    rows = plain.select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("qid"), F.col("doc_id").alias("expect_chunk"), kws.alias("expect_any"))
-    return curate.repair_keywords(rows, docs.select(F.col("doc_id").alias("chunk_id"), "text")).select("qid", "expect_any")
+    """Of each document: its second word, its fourth and fifth run together, its sixth and seventh with a comma and
+    another dash between, its eighth to tenth without what parts them, and a word that it does not hold."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x09-\x0D\x20]+"), lambda w: w != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.slice(words, 1, 10).alias("w"))
+    at = lambda i: F.get("w", F.lit(i - 1))
+    joined = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else at(p) for p in parts))
+    kws = F.array_compact(F.array(at(2), joined(4, 5), joined(6, ", ", 7), F.translate(joined(6, "–", 7), "-", "~"), joined(8, 9, 10), F.lit("zzqqzz")))
+    asked = rows.select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("qid"), F.col("doc_id").alias("expect_chunk"), kws.alias("expect_any"))
+    return curate.repair_keywords(asked, rows.select(F.col("doc_id").alias("chunk_id"), "text")).select("qid", "expect_any")
 
 
 @R.add(f"""with {GOLDEN}, v as (select *, doc_id % 13 <> 0 as there, doc_id % 5 = 0 as bad_member, doc_id % 6 = 0 as no_kw from golden)
@@ -125,7 +128,7 @@ def draft_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""with {GOLDEN}, used as (select doc_id as n from golden where doc_id % 4 = 1),
-d as (select qid, row_number() over (order by doc_id) as k from golden where doc_id % 10 = 0), f as (select i, row_number() over (order by i) as k from range(1, 200000) t(i) where i not in (select n from used))
+d as (select qid, row_number() over (order by doc_id) as k from golden where doc_id % 10 = 0), f as (select i, row_number() over (order by i) as k from range(1, (select count(*) * 2 + max(doc_id) from golden)) t(i) where i not in (select n from used))
 select qid as draft, 'm' || case when i < 1000 then lpad(cast(i as varchar), 3, '0') else cast(i as varchar) end as qid from d join f using (k)""")
 def fresh_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = golden(spark, sf_dir)
