@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def refused(spark: SparkSession, sql: str) -> str | None:
     jvm = spark._jvm
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Py4JJavaError:
+    except (Py4JJavaError, ParseException):
         return "no single SQL statement"
     acts = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in ("Command", "ParsedStatement", "CompoundPlanStatement")]
     left = [plan]

@@ -80,7 +80,7 @@ def _map(key: str, value: str) -> Column:
 def spans(events: DataFrame) -> DataFrame:
     """All spans of the events: root, steps, tools and confirmations. A tool's or confirmation's parent is the step
     open at its start, else the root. One still open at the first final or stop after its start is
-    abandoned there. A span's id is its kind and the place of its event."""
+    abandoned there, whatever comes for it later. A span's id is its kind and the place of its event."""
     events = placed(events)
     none = F.lit(None).cast("string")
 
@@ -98,7 +98,8 @@ def spans(events: DataFrame) -> DataFrame:
     )
     left = F.col("closing").isNotNull() & (F.col("end_seq").isNull() | (F.col("end_seq") > F.col("closing.seq")))
     status = F.when(left, "abandoned").when(F.col("error").isNotNull(), "error").when(F.col("end_seq").isNull(), "running").otherwise("ok")
-    rows = rows.withColumns({"status": status, "error": F.when(left, ABANDONED).otherwise(F.col("error")), "end": F.when(left, F.col("closing.ts")).otherwise(F.col("end"))})
+    meta = F.when(left & (F.col("kind") == "tool"), F.lit(None)).when(left & (F.col("kind") == "confirm"), F.create_map(F.lit("approved"), F.lit("false"))).otherwise(F.col("meta"))
+    rows = rows.withColumns({"meta": meta, "status": status, "error": F.when(left, ABANDONED).otherwise(F.col("error")), "end": F.when(left, F.col("closing.ts")).otherwise(F.col("end"))})
     root = roots(events).select("trace_id", F.lit("root").alias("span_id"), none.alias("parent"), F.lit("trace").alias("name"), F.lit("root").alias("kind"), "start", "end", "status", "error", _map("stop_reason", "stop_reason").alias("meta"))
     out = rows.select(*root.columns).unionByName(root)
     return out.withColumn("dur_ms", F.round((F.col("end") - F.col("start")) * 1000, 3))

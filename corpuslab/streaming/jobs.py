@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslab.operators.guards import MAX_FAILURES, MAX_STEPS
+from corpuslab.streaming import stateful
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -49,92 +46,26 @@ def first_of_each(events: DataFrame, key: str, late: str = "1 hour") -> DataFram
     return events.dropDuplicates([key])
 
 
-def budget_crossings(events: DataFrame, limit: float) -> DataFrame:
-    """(user_id, event_id, so_far): the event of each user whose cost reaches the limit, once. Events must come in
-    order within a batch's files; a batch is sorted by time."""
+def budget_crossings(events: DataFrame, limit: float, idle: str = "90 days", late: str = "10 minutes") -> DataFrame:
+    """(user_id, event_id, so_far): the event of each user whose cost reaches the limit, once. A user without events for
+    ``idle`` is forgotten, and starts anew."""
+    return stateful.run(events, "user_id", stateful.Budget(limit, idle), "user_id long, event_id long, so_far double", late)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (so_far, crossed) = state.get if state.exists else (0.0, False)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, value in zip(rows["event_id"], rows["value"].fillna(0.0)):
-            so_far = round(so_far + value, 6)
-            if not crossed and so_far >= limit:
-                crossed = True
-                out.append((key[0], event_id, so_far))
-        state.update((so_far, crossed))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "so_far"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, so_far double", "so_far double, crossed boolean", "append", GroupStateTimeout.NoTimeout)
+def breaker_trips(events: DataFrame, max_failures: int = MAX_FAILURES, max_steps: int = MAX_STEPS, idle: str = "90 days", late: str = "10 minutes") -> DataFrame:
+    """(user_id, event_id): the event of each user at which the breaker trips. `error` is a failure, `purchase` a
+    success, `signup` a step. A user without events for ``idle`` is forgotten, and its breaker is whole again."""
+    return stateful.run(events, "user_id", stateful.Breaker(max_failures, max_steps, idle), "user_id long, event_id long", late)
 
 
-def breaker_trips(events: DataFrame, max_failures: int = MAX_FAILURES, max_steps: int = MAX_STEPS) -> DataFrame:
-    """(user_id, event_id): the event of each user at which the breaker trips. `error` is a failure, `purchase` a
-    success, `signup` a step."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (failures, steps, tripped) = state.get if state.exists else (0, 0, False)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, kind in zip(rows["event_id"], rows["event_type"]):
-            failures = 0 if kind == "purchase" else failures + (kind == "error")
-            steps += kind == "signup"
-            if not tripped and (failures >= max_failures or steps >= max_steps):
-                tripped = True
-                out.append((key[0], event_id))
-        state.update((int(failures), int(steps), tripped))
-        yield pd.DataFrame(out, columns=["user_id", "event_id"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "failures long, steps long, tripped boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-SPAN = "trace_id long, name string, kind string, start double, end double, status string"
-
-
-def closed_spans(events: DataFrame, timeout: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Spans of events (trace_id, seq, ts, type, step, tool) as they close. A trace's open step and its queue of
-    starts for each tool are kept; a trace without events for ``timeout`` is given up, and what it has open is
-    abandoned. The queues of a trace are bounded by its open tools."""
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, open_step, queue = state.get if state.exists else (0.0, None, [])
-        queue, out = [tuple(q) for q in queue], []
-        close = lambda name, kind, start, end, status: out.append((key[0], name, kind, start, end, status))
-        if state.hasTimedOut:
-            if open_step is not None:
-                close(open_step[0], "step", open_step[1], now, "abandoned")
-            for name, start in queue:
-                close(f"tool.{name}", "tool", start, now, "abandoned")
-            state.remove()
-            yield pd.DataFrame(out, columns=["trace_id", "name", "kind", "start", "end", "status"])
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for ts, kind, number, tool in zip(rows["ts"], rows["type"], rows["step"], rows["tool"]):
-            at = ts.timestamp()
-            now = max(now, at)
-            if kind in ("step_start", "final", "stop") and open_step is not None:
-                close(open_step[0], "step", open_step[1], at, "ok")
-                open_step = None
-            if kind == "step_start":
-                open_step = (f"step.{int(number)}", at)
-            elif kind == "action":
-                queue.append((tool, at))
-            elif kind == "observation":
-                found = next((q for q in queue if q[0] == tool), None)
-                if found:
-                    queue.remove(found)
-                    close(f"tool.{tool}", "tool", found[1], at, "ok")
-            elif kind in ("final", "stop"):
-                for name, start in queue:
-                    close(f"tool.{name}", "tool", start, at, "abandoned")
-                queue = []
-        state.update((now, open_step, queue))
-        state.setTimeoutTimestamp(max(int(now * 1000) + wait, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["trace_id", "name", "kind", "start", "end", "status"])
-
-    kept = "now double, open struct<name:string,start:double>, queue array<struct<tool:string,start:double>>"
-    return events.withWatermark("ts", late).groupBy("trace_id").applyInPandasWithState(step, SPAN, kept, "append", GroupStateTimeout.EventTimeTimeout)
+SPAN = "trace_id long, span_id string, parent string, name string, kind string, start double, end double, status string, error string, meta map<string,string>, dur_ms double"
+
+
+def closed_spans(events: DataFrame, idle: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Spans of events (trace_id, seq, ts, type, step, tool, tools, confirm_id, approved, result, error, reason, thought) as
+    they close, with the columns and rows of ``traces.spans``. A trace without events for ``idle`` is given up:
+    what it has open is abandoned."""
+    return stateful.run(events, "trace_id", stateful.Traces(idle), SPAN, late)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
