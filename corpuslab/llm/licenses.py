@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import ahocorasick
 import numpy as np
@@ -25,6 +26,27 @@ BASE_STRENGTH = 0.6
 FOUND = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double>"
 
 
+class Intervals:
+    """Intervals none of which lies inside another, by rising start and so by rising end: of those that start no later
+    than a given one, the last reaches furthest, so one bisection tells whether any contains it."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def contain(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.ends[i - 1] >= end
+
+    def add(self, more: list[tuple[int, int]]) -> None:
+        every = sorted([*zip(self.starts, self.ends), *more], key=lambda x: (x[0], -x[1]))
+        self.starts, self.ends = [], []
+        for start, end in every:
+            if not self.ends or end > self.ends[-1]:
+                self.starts.append(start)
+                self.ends.append(end)
+
+
 class Signatures:
     """The compiled rules, made once in each Python worker."""
 
@@ -59,15 +81,15 @@ class Signatures:
                 bases.append(phrase)
         if not ends and not tried:
             return len(words), 0, None, None, "", "", 0.0
-        kept: list[tuple[int, int]] = []
+        kept = Intervals()
         labels = {BASE[b] for b in bases}
         doubt = 1.0 - BASE_STRENGTH * bool(bases)
         for i in sorted(tried):
             label, strength, pattern = self.rules[i]
             own = [m.span() for m in pattern.finditer(line)]
-            own = [(a, b) for a, b in own if not any(c <= a and b <= d for c, d in kept)]
+            own = [span for span in own if not kept.contain(*span)]
             if own:
-                kept += own
+                kept.add(own)
                 labels.add(label)
                 doubt *= 1.0 - strength
         first = last = None
