@@ -55,6 +55,35 @@ def _each(function: Callable):
     return apply
 
 
+class Pieces:
+    """A table function: the pieces of one text, a row each."""
+
+    def eval(self, strategy: str, text: str, sections: list, code: list, size: int, overlap: int):  # noqa: A003
+        if strategy == "fixed":
+            made = [text[at : at + size] for at in range(0, len(text), max(1, size - overlap))]
+        elif strategy == "recursive":
+            made = cut.recursive(text, size, overlap)
+        elif strategy == "structural":
+            made = cut.structural(list(sections), size, overlap)
+        else:
+            made = cut.atomic(text, list(code), size, overlap)
+        yield from enumerate(made)
+
+
+def pieces(docs: DataFrame, strategy: str, size: int = 500, overlap: int | None = None) -> DataFrame:
+    """``docs`` with pos and piece, a row for each piece of ``chunk``: the same pieces by a table function and a lateral
+    join, for use from SQL and where the pieces of a text should not be held as one array. Texts without a piece have
+    no row."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
+    overlap = size // 10 if overlap is None else overlap
+    part = lambda c, field: F.transform(c, lambda s: F.coalesce(s[field], F.lit(""))) if c in docs.columns else F.array().cast("array<string>")
+    plain = docs.withColumns({"__text": F.coalesce("text", F.lit("")), "__sections": part("sections", "text"), "__code": F.coalesce(part("code_blocks", "code"), F.array().cast("array<string>"))})
+    cutter = F.udtf(Pieces, returnType="pos: int, piece: string", useArrow=True)
+    given = [F.lit(strategy), *(F.col(c).outer() for c in ("__text", "__sections", "__code")), F.lit(size), F.lit(overlap)]
+    return plain.lateralJoin(cutter(*given)).drop("__text", "__sections", "__code")
+
+
 def build(docs: DataFrame) -> DataFrame:
     """docs with pieces to chunk rows: chunk_id (position among all pieces, blank ones too), role, parent_id, text,
     n_chars, vectorize, section_path. A chunk over PARENT_CHARS becomes a parent that is not vectorised and

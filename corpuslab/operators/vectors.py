@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.bm25 import DIGITS, rank
-from corpuslab.sources.session import stored
+from corpuslab.sources.session import shared_folder, stored
 
-#: Query vectors that are held against the corpus in one pass, and the bytes that they may take; more take more passes.
+#: Query vectors that are broadcast at a time, and the bytes that they may take.
 QUERY_BLOCK, QUERY_BYTES = 4096, 32 << 20
+#: Vectors of a block, where blocks of queries and of vectors form a grid.
+DOC_ROWS = 20_000
+#: Rows of a file of a stored index; a larger cluster is several files. Candidates by code for each hit asked for.
+FILE_ROWS, CANDIDATES = 1_000_000, 2
 
 
 def embed(rows: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], text_col: str = "text", batch: int = 64) -> DataFrame:
@@ -60,33 +66,74 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(size == 0, 1.0, size)
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    ids, vectors = [], []
-    for row in queries.select("qid", "vector").where("vector is not null").toLocalIterator():
-        ids.append(row["qid"])
-        vectors.append(row["vector"])
-        if len(ids) == block or len(ids) * len(vectors[0]) * 8 >= QUERY_BYTES:
-            yield ids, _unit(np.array(vectors, float))
-            ids, vectors = [], []
-    if ids:
-        yield ids, _unit(np.array(vectors, float))
+class Heap:
+    """The k best of all vectors seen so far for each query, ties to the smaller id; a bounded matrix, however many come."""
 
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, np.full((n, 0), 0.0), np.empty((n, 0), object)
 
-def topk(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        """``scores`` of vectors ``ids`` for the queries ``rows``."""
+        if not len(ids) or not scores.shape[0]:
+            return
+        by_id = np.argsort(ids, kind="stable")
+        best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, : self.k]]
+        scores, ids = np.take_along_axis(scores, best, 1), ids.astype(object)[best]
+        if self.scores.shape[1] < self.k:
+            room = self.k - self.scores.shape[1]
+            self.scores = np.concatenate([self.scores, np.full((len(self.scores), room), -np.inf)], axis=1)
+            self.ids = np.concatenate([self.ids, np.full((len(self.ids), room), None, object)], axis=1)
+        scores, ids = np.concatenate([self.scores[rows], scores], axis=1), np.concatenate([self.ids[rows], ids], axis=1)
+        known = ids != None  # noqa: E711
+        place = np.full(ids.shape, np.iinfo(np.int64).max)
+        place[known] = np.unique(ids[known], return_inverse=True)[1]
+        order = np.argsort(place, axis=1, kind="stable")
+        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(scores, order, 1), axis=1, kind="stable"), 1)[:, : self.k]
+        self.scores[rows], self.ids[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+    def rows(self, qids: list) -> pd.DataFrame:
+        row, column = np.nonzero(self.scores > -np.inf) if self.scores.size else (np.zeros(0, int), np.zeros(0, int))
+        return pd.DataFrame({"qid": [qids[r] for r in row], "doc_id": list(self.ids[row, column]), "score": self.scores[row, column]})
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return _unit(np.array(vectors.tolist(), float))
+
+
+def topk(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK, doc_rows: int = DOC_ROWS) -> DataFrame:
     """The ranked list (qid, doc_id, rank, score) of the k nearest of docs (doc_id, vector) to each query
-    (qid, vector) by cosine. Blocks of queries of a stated number and size are broadcast; each batch of vectors
-    gives its own best k, of which the best are ranked. A zero query finds nothing; ties by doc_id."""
+    (qid, vector) by cosine. A zero query finds nothing; ties by doc_id.
+
+    Queries of a stated number and measured size are broadcast, and every task keeps the best k of all vectors it
+    reads, which it gives out once. More queries than that stay distributed: blocks of queries and blocks of vectors
+    form a grid, whose cells are compared each in a task, so neither side is ever in one place."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     qid_type = queries.schema["qid"].dataType.simpleString()
     schema = f"qid {qid_type}, doc_id {id_type}, score double"
-    docs = docs.select("doc_id", "vector").where("vector is not null")
-    found = None
-    for ids, matrix in _blocks(queries, block):
-        part = docs.mapInPandas(_nearest(docs.sparkSession.sparkContext.broadcast((ids, matrix)), k), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], schema)
-    return rank(found, k)
+    docs, queries = docs.select("doc_id", "vector").where("vector is not null"), queries.select("qid", "vector").where("vector is not null")
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    block = max(1, min(block, QUERY_BYTES // (8 * max(1, width))))
+    if n <= block:
+        rows = queries.collect()
+        matrix = _unit(np.array([r["vector"] for r in rows], float)) if rows else np.zeros((0, 1))
+        shared = docs.sparkSession.sparkContext.broadcast(([r["qid"] for r in rows], matrix))
+        return rank(docs.mapInPandas(_nearest(shared, k), schema), k)
+    across, down = -(-n // block), max(1, -(-docs.count() // doc_rows))
+    spread = lambda rows, own, size, other, most: rows.select("*", F.pmod(F.xxhash64(own), F.lit(size)).alias(f"{own}_block"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias(f"{other}_block"))
+    cells = ["qid_block", "doc_id_block"]
+    left, right = spread(docs, "doc_id", down, "qid", across), spread(queries, "qid", across, "doc_id", down)
+
+    def cell(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        heap, qids = Heap(len(asked), k), asked["qid"].tolist()
+        if len(vectors) and len(asked):
+            matrix = _matrix(asked["vector"])
+            used = np.flatnonzero(matrix.any(axis=1))
+            for at in range(0, len(vectors), 4096):
+                some = vectors.iloc[at : at + 4096]
+                heap.add(np.round(matrix[used] @ _matrix(some["vector"]).T, DIGITS), some["doc_id"].to_numpy(), used)
+        return heap.rows(qids)
+
+    return rank(left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(cell, schema), k)
 
 
 def _nearest(queries, k: int):
@@ -95,15 +142,11 @@ def _nearest(queries, k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = queries.value
         used = np.flatnonzero(matrix.any(axis=1))
+        heap = Heap(len(used), k)
         for frame in frames:
-            if not len(frame):
-                continue
-            near = np.round(matrix[used] @ _unit(np.array(frame["vector"].tolist(), float)).T, DIGITS)
-            docs = frame["doc_id"].to_numpy()
-            by_id = np.argsort(docs, kind="stable")
-            best = by_id[np.argsort(-near[:, by_id], axis=1, kind="stable")[:, :k]]
-            rows = np.repeat(np.arange(len(used)), best.shape[1])
-            yield pd.DataFrame({"qid": [ids[used[r]] for r in rows], "doc_id": docs[best.ravel()], "score": near[rows, best.ravel()]})
+            if len(frame) and len(used):
+                heap.add(np.round(matrix[used] @ _matrix(frame["vector"]).T, DIGITS), frame["doc_id"].to_numpy())
+        yield heap.rows([ids[i] for i in used])
 
     return run
 
@@ -158,24 +201,115 @@ def assign_ivf(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "vector").where("vector is not null").mapInPandas(run, f"doc_id {kind}, vector array<float>, cluster int")
 
 
-def search_ivf(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
-    """The k nearest of ``index`` inside the nprobe clusters nearest to each query, by exact cosine, as a
-    ranked list. A query none of whose clusters holds a row is held against all."""
+@dataclass(frozen=True)
+class Ivf:
+    """A stored inverted file: a folder for each cluster, whose rows are doc_id, code, scale and vector."""
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark: SparkSession
+    path: str
+    centres: np.ndarray
+    schema: str
+
+    def rows(self, clusters: np.ndarray | None = None) -> DataFrame:
+        """All rows, or those of some clusters: only their folders are read."""
+        found = self.spark.read.schema(self.schema).parquet(f"{self.path}/vectors")
+        return found if clusters is None else found.where(F.col("cluster").isin([int(c) for c in clusters]))
+
+
+def store_ivf(docs: DataFrame, nlist: int = 64, rounds: int = 12, path: str | None = None) -> Ivf:
+    """The inverted file of docs (doc_id, vector), written to a new folder (by default a shared one) by cluster. With each
+    vector goes a code of one byte a component, a quarter of its size. A cluster of more than FILE_ROWS rows
+    is dealt into several files by hash, so a hot one is no hot task."""
+    spark, path = docs.sparkSession, path or shared_folder(docs.sparkSession)
+    centres = train_ivf(docs, nlist, rounds)
+    assigned = assign_ivf(docs, centres)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, code binary, scale double, vector array<float>, cluster int"
+
+    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                near = np.argsort(_distances(_unit(np.array(frame["vector"].tolist(), float)), centres), axis=1, kind="stable")[:, : max(1, nprobe)]
-                yield frame.assign(clusters=list(near.astype(np.int32)))
+                unit = _matrix(frame["vector"])
+                scale = np.abs(unit).max(axis=1) / 127.0
+                codes = np.round(unit / np.where(scale == 0, 1.0, scale)[:, None]).astype(np.int8)
+                yield frame.assign(code=[c.tobytes() for c in codes], scale=scale)[["doc_id", "code", "scale", "vector", "cluster"]]
+
+    sizes = {r["cluster"]: r["n"] for r in assigned.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # nlist rows at most
+    files = F.create_map(*(F.lit(int(x)) for c, n in sizes.items() for x in (c, -(-n // FILE_ROWS)))) if sizes else F.create_map(F.lit(0), F.lit(1))
+    dealt = assigned.mapInPandas(coded, schema).withColumn("file", F.pmod(F.xxhash64("doc_id"), F.try_element_at(files, F.col("cluster")).cast("long")))
+    dealt.repartition("cluster", "file").drop("file").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("cluster").parquet(f"{path}/vectors")
+    spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>").coalesce(1).write.json(f"{path}/centres")
+    return open_ivf(spark, path, kind)
+
+
+def open_ivf(spark: SparkSession, path: str, id_type: str = "bigint") -> Ivf:
+    rows = spark.read.schema("cluster int, centre array<double>").json(f"{path}/centres").orderBy("cluster").collect()
+    return Ivf(spark, path, np.array([r["centre"] for r in rows]), f"doc_id {id_type}, code binary, scale double, vector array<float>, cluster int")
+
+
+def probe_ivf(index: Ivf, queries: DataFrame, k: int = 10, nprobe: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Two tables for queries (qid, vector): the ranked list of the k nearest in the nprobe clusters nearest to each query, and
+    (qid, codes, vectors): how many codes were scanned and how many vectors read for it.
+
+    Only the folders of probed clusters are read, and of these first the codes; the CANDIDATES * k best by code are then
+    compared by their vectors, exactly. A query none of whose clusters holds a row is held against all. Queries go
+    to the tasks in blocks of a stated number and size."""
+    spark, kind = index.spark, index.schema.split(" ")[1].rstrip(",")
+    qid_type = queries.schema["qid"].dataType.simpleString()
+    queries = stored(queries.select("qid", "vector").where("vector is not null"))
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, -(-n // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, width))))))
+    held = {r["cluster"]: r["n"] for r in index.rows().groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    filled = np.zeros(len(index.centres), bool)
+    filled[list(held)] = True
+    found, counts = [], []
+    for part in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == part).collect()
+        matrix = _unit(np.array([r["vector"] for r in rows], float)) if rows else np.zeros((0, index.centres.shape[1] if len(index.centres) else 1))
+        used = np.flatnonzero(matrix.any(axis=1))
+        ids, matrix = [rows[i]["qid"] for i in used], matrix[used]
+        wanted = np.zeros((len(ids), len(index.centres)), bool)
+        if len(ids):
+            near = np.argsort(_distances(matrix, index.centres), axis=1, kind="stable")[:, : max(1, nprobe)]
+            np.put_along_axis(wanted, near, True, axis=1)
+            wanted[~(wanted & filled).any(axis=1)] = True
+        shared = spark.sparkContext.broadcast((ids, matrix, wanted))
+        codes = index.rows(np.flatnonzero(wanted.any(axis=0))).select("doc_id", "cluster", "code", "scale")
+        best = codes.mapInPandas(_by_code(shared, k * CANDIDATES), f"qid {qid_type}, doc_id {kind}, score double, cluster int")
+        found.append(best)
+        sizes = np.array([held.get(c, 0) for c in range(len(index.centres))])
+        counts += [(q, int(sizes[w].sum())) for q, w in zip(ids, wanted)]
+    best = reduce(DataFrame.unionByName, found)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
+    best = stored(best.withColumn("place", place).where(F.col("place") <= k * CANDIDATES).select("qid", "doc_id", "cluster"))
+    exact = index.rows().select("doc_id", "cluster", "vector").join(best, ["doc_id", "cluster"]).join(queries.withColumnRenamed("vector", "asked"), "qid")
+    hits = rank(exact.select("qid", "doc_id", F.round(cosine(F.col("asked"), F.col("vector")), DIGITS).alias("score")), k)
+    read = spark.createDataFrame(counts, f"qid {qid_type}, codes long").join(best.groupBy("qid").agg(F.count("*").alias("vectors")), "qid", "left")
+    return hits, read.select("qid", "codes", F.coalesce("vectors", F.lit(0)).alias("vectors"))
+
+
+def _by_code(shared, most: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix, wanted = shared.value
+        heaps = Heap(len(ids), most)
+        where: dict = {}
+        for frame in frames:
+            for cluster, rows in frame.groupby("cluster"):
+                asked = np.flatnonzero(wanted[:, cluster])
+                codes = np.frombuffer(b"".join(rows["code"]), np.int8).reshape(len(rows), -1) * rows["scale"].to_numpy()[:, None]
+                heaps.add(matrix[asked] @ codes.T, rows["doc_id"].to_numpy(), asked)
+                where.update(dict.fromkeys(rows["doc_id"], cluster))
+            kept = set(heaps.ids[heaps.scores > -np.inf].tolist()) if heaps.scores.size else set()
+            where = {d: c for d, c in where.items() if d in kept}
+        out = heaps.rows(ids)
+        yield out.assign(cluster=[int(where[d]) for d in out["doc_id"]]).astype({"cluster": "int32"})
+
+    return run
+
 
-    kind = queries.schema["qid"].dataType.simpleString()
-    probed = queries.select("qid", "vector").where("vector is not null").mapInPandas(probe, f"qid {kind}, vector array<float>, clusters array<int>")
-    filled = [r["cluster"] for r in index.select("cluster").distinct().collect()]
-    none = F.size(F.array_intersect("clusters", F.array(*map(F.lit, filled)).cast("array<int>"))) == 0
-    clusters = F.when(none, F.array(*map(F.lit, filled)).cast("array<int>")).otherwise(F.col("clusters"))
-    wanted = probed.where(norm(F.col("vector")) > 0).select("qid", F.col("vector").alias("q"), F.explode(clusters).alias("cluster"))
-    found = index.join(wanted, "cluster").select("qid", "doc_id", F.round(cosine(F.col("q"), F.col("vector")), DIGITS).alias("score"))
-    return rank(found, k)
+def search_ivf(index: Ivf, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
+    """The ranked list of ``probe_ivf``."""
+    return probe_ivf(index, queries, k, nprobe)[0]
 
 
 def bucket_stats(index: DataFrame, nlist: int) -> DataFrame:
@@ -218,10 +352,9 @@ def sweep(docs: DataFrame, queries: DataFrame, nlists: list[int], nprobes: list[
     index are stored once."""
     exact, out = stored(topk(docs, queries, k)), None
     for nlist in nlists:
-        centres = train_ivf(docs, nlist, rounds)
-        index = stored(assign_ivf(docs, centres))
+        index = store_ivf(docs, nlist, rounds)
         for nprobe in nprobes:
-            part = recall(search_ivf(index, centres, queries, k, nprobe), exact, k)
+            part = recall(search_ivf(index, queries, k, nprobe), exact, k)
             part = part.agg(F.round(F.avg("recall"), 4).alias("recall")).select(F.lit(nlist).alias("nlist"), F.lit(nprobe).alias("nprobe"), "recall")
             out = part if out is None else out.unionByName(part)
     return out

@@ -190,9 +190,9 @@ def small_to_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""with {PARENTS} select cast(count(*) filter (role <> 'parent') > 0 as boolean) as ready, count(distinct split_part(chunk_id, '-', 1)) as n_docs, count(*) as n_chunks,
- cast(count(*) filter (role <> 'parent') as bigint) as n_vectorized, cast(count(*) filter (role = 'parent') as bigint) as n_parents, cast(count(*) filter (role = 'child') as bigint) as n_children from chunks""")
+ cast(count(*) filter (role <> 'parent') as bigint) as n_vectorized, cast(count(*) filter (role = 'parent') as bigint) as n_parents, cast(count(*) filter (role = 'child') as bigint) as n_children, (select string_agg(distinct source, ',' order by source) from documents) as sources from chunks""")
 def index_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.snapshot(built(spark, sf_dir)).drop("sources")
+    return tables.snapshot(built(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
 
 
 @R.add("""with p as (select 'fixed' as strategy, substring(text, 1 + i * 450, 500) as t from (select text, unnest(range(0, cast(ceil(length(text) / 450.0) as bigint))) as i from documents)),
@@ -237,3 +237,31 @@ def chunk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = chunk.audit(chunk.chunk(docs, strategy), strategy)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@R.add(r"""with d as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as parts from documents where text is not null),
+c as (select doc_id, i, parts, substring(text, 1 + i * 450, 500) as piece from (select *, unnest(range(0, cast(ceil(length(text) / 450.0) as bigint))) as i from d)),
+f as (select *, list_position(list_transform(parts, lambda x: contains(x, trim(left(piece, 30)))), true) as place from c)
+select doc_id, i as pos, case when trim(left(piece, 30)) <> '' and place > 0 then 's' || (place - 1) else '' end as section from f""")
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph of each window of 500 characters: the first that holds its first 30."""
+    docs = chunk.chunk(as_documents(spark, sf_dir), "fixed", 500, 50)
+    rows = docs.select("doc_id", "sections", F.posexplode("pieces").alias("pos", "piece"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join(chunk.section_of(F.col("sections"), F.col("piece")), "/").alias("section"))
+
+
+@R.add(r"""select page_id, regexp_extract(url, '^https?://[^/?#]+') || '/%C3%A4%20b%20c/' || page_id || '?q=ü x' as url from pages""")
+def encoded_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with letters to encode and some that are encoded; queries stay as they are."""
+    url = F.concat(F.regexp_extract("url", r"^https?://[^/?#]+", 0), F.lit("/ä b%20c/"), F.col("page_id").cast("string"), F.lit("?q=ü x"))
+    return table(spark, sf_dir, "pages").select("page_id", parse.encoded_path(url).alias("url"))
+
+
+@R.add()
+def chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All strategies by the table function: (strategy, doc_id, pos, piece_md5)."""
+    docs, found = as_documents(spark, sf_dir), None
+    for strategy in chunk.STRATEGIES:
+        part = chunk.pieces(docs, strategy).select(F.lit(strategy).alias("strategy"), "doc_id", "pos", F.md5(F.col("piece").cast("binary")).alias("piece_md5"))
+        found = part if found is None else found.unionByName(part)
+    return found

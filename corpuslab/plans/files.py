@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuslab.operators import answer, fuse, metrics, plug, vectors
 from corpuslab.plans.registry import Registry
 from corpuslab.plans.retrieval import BM25, bm, corpus, questions, ranked
-from corpuslab.sources import tables
+from corpuslab.sources import stores, tables
 from corpuslab.sources.session import shared_folder
 from corpuslab.sources.tables import table
 
@@ -91,7 +91,78 @@ def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = corpus(spark, sf_dir).select("doc_id", "source", F.lit("old").alias("batch"))
     again = old.where("doc_id % 50 = 1").select("source").distinct()
     new = old.where("doc_id % 3 <> 0").join(again, "source", "left_semi").withColumn("batch", F.lit("new")).select("doc_id", "source", "batch")
-    return tables.upsert_manifest(old, new)
+    path = shared_folder(spark)
+    old.write.partitionBy("source").parquet(path)
+    for _ in range(2):  # again: nothing changes
+        stores.replace_partitions(new, path)
+    return spark.read.parquet(path).select("doc_id", "source", "batch")
+
+
+@R.add("""select 'smaller' as attempt, true as refused, count(*) as rows from documents union all select 'equal', false, count(*) from documents
+union all select 'forced', false, count(*) from documents where doc_id % 3 <> 0""")
+def shrink_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all documents replaced by two thirds of them, by all, and by force: what was refused, and the rows after."""
+    path = shared_folder(spark)
+    rows = corpus(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.col("doc_id"), "source", F.lit("normal").alias("role"), F.lit(True).alias("vectorize"))
+    tables.write_chunks(rows, f"{path}/store", f"{path}/meta")
+    seen = []
+    for attempt, some, force in (("smaller", rows.where("doc_id % 3 <> 0"), False), ("equal", rows, False), ("forced", rows.where("doc_id % 3 <> 0"), True)):
+        refused = False
+        try:
+            tables.write_chunks(some, f"{path}/store", f"{path}/meta", force)
+        except ValueError:
+            refused = True
+        seen.append((attempt, refused, spark.read.parquet(f"{path}/store").count()))
+    return spark.createDataFrame(seen, "attempt string, refused boolean, rows long")
+
+
+@R.add("select '/api/' || event_type as path, strftime(ts, '%Y%m%d') as day, count(*) as n from events where day(ts) in (2, 4) group by all")
+def traffic_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a traffic log of a file a day, of which two days of a month are read."""
+    folder, day = shared_folder(spark), F.date_format("ts", "yyyyMMdd")
+    rows = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.concat(F.lit("/api/"), "event_type").alias("path"), F.date_format("ts", "yyyyMMdd").alias("ts")))
+    rows.select(line.alias("value"), day.alias("day")).repartition("day").write.partitionBy("day").text(folder)
+    days = [r[0] for r in rows.where(F.dayofmonth("ts").isin(2, 4)).select(day).distinct().collect()]
+    for (d,) in rows.select(day).distinct().collect():  # as the log's names are
+        stores._rename(spark, f"{folder}/day={d}", f"{folder}/traffic-{d}.jsonl")
+    return tables.read_traffic(spark, folder, "/api", days).groupBy("path", F.col("ts").alias("day")).agg(F.count("*").alias("n"))
+
+
+@R.add("select user_id::varchar as trace_id, count(*) as spans, round(sum(value), 6) as ms, cast(1 as bigint) as files from events group by user_id")
+def trace_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as span records of one file a user, compacted; a trace is in one file then."""
+    folder = shared_folder(spark)
+    line = F.to_json(F.struct(F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), F.col("event_type").alias("kind"), F.col("value").alias("dur_ms")))
+    table(spark, sf_dir, "events").select(line.alias("value"), (F.col("user_id") % 50).alias("file")).repartition("file").write.partitionBy("file").text(f"{folder}/small")
+    rows = tables.compact_traces(spark, f"{folder}/small", f"{folder}/large", 5000)
+    rows = rows.select("trace_id", "dur_ms", F.input_file_name().alias("part"))
+    return rows.groupBy("trace_id").agg(F.count("*").alias("spans"), F.round(F.sum("dur_ms"), 6).alias("ms"), F.countDistinct("part").alias("files"))
+
+
+@R.add("""select page_id, case when page_id % 5 = 0 then 'fetch failed: HTTP 404' when page_id % 7 = 0 then 'fetch failed: 200' end as reason, case when page_id % 5 <> 0 and page_id % 7 <> 0 then md5(html) end as body_md5 from pages""")
+def bodies_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as raw files below a folder, read by a manifest in which a fifth failed and a seventh has no path."""
+    folder, n = shared_folder(spark), F.col("page_id")
+    pages = table(spark, sf_dir, "pages")
+    pages.select(F.col("html").alias("value"), n.alias("page")).repartition("page").write.partitionBy("page").option("lineSep", "\n<!-- end -->").text(folder)
+    failed = n % 5 == 0
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", r"page=(\d+)/", 1).cast("long").alias("page_id"), F.regexp_extract("path", r"(page=\d+/.*)$", 1).alias("file"))
+    path = F.when(~failed & (n % 7 != 0), F.col("file"))
+    manifest = pages.join(files, "page_id").select("page_id", path.alias("path"), F.when(failed, 404).otherwise(200).alias("status"), F.when(failed, "HTTP 404").alias("error"))
+    rows = tables.read_bodies(spark, manifest, folder)
+    return rows.select("page_id", "reason", F.md5(F.regexp_replace("body", "\n<!-- end -->$", "").cast("binary")).alias("body_md5"))
+
+
+@R.add("select conv_id || '.md' as name, count(*) as lines, cast(sum(length(text)) + count(*) as bigint) as n_chars from (select conv_id, replace(coalesce(text, ''), chr(10), ' ') as text from conversations) group by conv_id")
+def notes_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as Markdown notes, each below a folder of its own, read whole."""
+    folder = shared_folder(spark)
+    lines = table(spark, sf_dir, "conversations").select(F.translate(F.coalesce("text", F.lit("")), "\n", " ").alias("value"), F.concat("conv_id", F.lit(".md")).alias("conv"))
+    lines.repartition("conv").write.partitionBy("conv").text(folder)
+    notes = tables.read_notes(spark, folder, "*.txt", whole_name=True)
+    name = F.regexp_extract("name", r"conv=([^/]*)", 1)
+    return notes.select(name.alias("name"), (F.size(F.split("text", "\n")) - 1).cast("long").alias("lines"), F.length("text").cast("long").alias("n_chars"))
 
 
 @R.add("select doc_id, length(coalesce(text, ''))::double as a, (doc_id % 7)::double as b from documents")
@@ -111,22 +182,22 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIVE = BM25 + ",\n" + ranked("bm", "all_scores", 5)
 
 
-@R.add(f"with {FIVE} select qid, bm.doc_id, rank, source, doc_id % 3 = 1 as from_parent, length(coalesce(case when doc_id % 3 = 1 then (select d.text from documents d where d.doc_id = bm.doc_id - 1) end, text)) as n_chars from bm join documents using (doc_id)")
+@R.add(f"with {FIVE} select qid, bm.doc_id, rank, source, 't' as title, lang as path, doc_id % 3 = 1 as from_parent, md5(coalesce(case when doc_id % 3 = 1 then (select d.text from documents d where d.doc_id = bm.doc_id - 1) end, text)) as text_md5 from bm join documents using (doc_id)")
 def hits_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits with what they show; every document whose number leaves 1 is a child of the one before."""
     d = F.col("doc_id")
     chunks = corpus(spark, sf_dir).select(d.alias("chunk_id"), F.when(d % 3 == 1, d - 1).alias("parent_id"), "source", F.lit("t").alias("title"), F.array("lang").alias("section_path"), "text")
     shown = fuse.assemble(bm(spark, sf_dir, 5), chunks)
-    return shown.select("qid", "doc_id", "rank", "source", "from_parent", F.length("text").cast("long").alias("n_chars"))
+    return shown.select("qid", "doc_id", "rank", "source", "title", "path", "from_parent", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@R.add(f"with {FIVE} select qid, cast(n as int) as n, doc_id as chunk, length(regexp_replace(trim(left(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 60)), '\\s+', ' ', 'g')) > 0 as quoted from (select qid, unnest([1, 3]) as n from q where qid % 4 <> 0) c join bm on bm.qid = c.qid and bm.rank = c.n join documents using (doc_id)".replace("select qid, cast(n", "select c.qid, cast(n"))
+@R.add(f"with {FIVE} select qid, cast(n as int) as n, doc_id as chunk, left(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 60) as quote from (select qid, unnest([1, 3]) as n from q where qid % 4 <> 0) c join bm on bm.qid = c.qid and bm.rank = c.n join documents using (doc_id)".replace("select qid, cast(n", "select c.qid, cast(n"))
 def citation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that cite their first and third hit; every fourth abstains."""
     q = questions(spark, sf_dir).select("qid", (F.col("qid") % 4 == 0).alias("abstained"), F.array(F.lit(1), F.lit(3)).alias("used"))
     hits = bm(spark, sf_dir, 5).join(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id")
     rows = answer.citation_rows(q, hits, 60)
-    return rows.select("qid", "n", F.col("doc_id").alias("chunk"), (F.length(F.trim("quote")) > 0).alias("quoted"))
+    return rows.select("qid", "n", F.col("doc_id").alias("chunk"), "quote")
 
 
 @R.add(f"""with {FIVE}, words as (select item_id as qid, split_part(text, ' ', 2) as a, split_part(text, ' ', 3) as b from benchmark),

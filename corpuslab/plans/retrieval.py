@@ -358,19 +358,42 @@ def multi_all_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.multi_hit(golden, found, 3)
 
 
+def every_twentieth(docs: DataFrame) -> DataFrame:
+    """Every vector whose number is divisible by 20, as a query against all."""
+    return docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector")
+
+
 @R.add()
 def ivf_recall_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose number is divisible by 20 as a query against all; no nprobe scans all clusters."""
     docs = vecs(spark, sf_dir)
-    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector")
-    return vectors.sweep(docs, queries, [8, 16], [1, 2, 4, 6])
+    return vectors.sweep(docs, every_twentieth(docs), [8, 16], [1, 2, 4, 6])
 
 
 @R.add()
-def ivf_bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hits of each query in 12 of 16 clusters of the stored index: (qid, doc_id, rank, score, codes, vectors), the last two
+    what the query took."""
+    docs = vecs(spark, sf_dir)
+    hits, read = vectors.probe_ivf(vectors.store_ivf(docs, 16), every_twentieth(docs), 10, 12)
+    return hits.join(read, "qid")
+
+
+@R.add()
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of ``ivf_search`` against exact search, and the bytes of vectors that it read, codes and vectors, over those of
+    all vectors: a code is a quarter of its vector."""
     docs = vecs(spark, sf_dir)
-    centres = vectors.train_ivf(docs, 16)
-    return vectors.bucket_stats(vectors.assign_ivf(docs, centres), 16)
+    queries = every_twentieth(docs)
+    hits, read = vectors.probe_ivf(vectors.store_ivf(docs, 16), queries, 10, 12)
+    share = vectors.recall(hits, vectors.topk(docs, queries, 10), 10).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"))
+    took = read.agg(F.avg("codes").alias("codes"), F.avg("vectors").alias("vectors")).crossJoin(docs.agg(F.count("*").alias("n")))
+    bytes_read = F.round((F.col("codes") / 4 + F.col("vectors")) / F.col("n"), 4)
+    return share.crossJoin(took).select("queries", "recall", F.round(F.col("codes") / F.col("n"), 4).alias("codes_share"), F.round(F.col("vectors") / F.col("n"), 4).alias("vectors_share"), bytes_read.alias("bytes_share"))
+
+
+@R.add()
+def ivf_bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.bucket_stats(vectors.store_ivf(vecs(spark, sf_dir), 16).rows(), 16)
 
 
 @R.add(f"""with {bm25_list(5)}, t as (select bm.qid, min(score) filter (rank = 1) as top from bm group by qid),
@@ -382,3 +405,27 @@ def gate_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = expected(spark, sf_dir).select("qid", F.lit("in").alias("kind"))
     top = bm(spark, sf_dir, 5).where("rank = 1").join(held, "qid", "left").select(F.coalesce("kind", F.lit("out")).alias("kind"), F.col("score").alias("value"))
     return metrics.calibration(top)
+
+
+@R.add(f"""with {HYBRID}, top as (select * from hybrid where rank <= 5), n as (select qid, count(*) as n from top group by qid),
+g as (select item_id as qid, coalesce(n, 0) as n, coalesce(case when vector_score is not null then vector_score >= 0.40 when bm25_score is not null then bm25_score >= 8.0 end, false) as passed,
+  case when vector_score is null and bm25_score is null then 'no hits' when vector_score < 0.40 then 'vector' when vector_score is null and bm25_score < 8.0 then 'bm25' end as failed_on
+  from benchmark left join top on item_id = top.qid and rank = 1 left join n on n.qid = item_id)
+select qid, n::int as hits_count, not passed or qid % 3 <> 1 as abstained, case when not passed then 'gate: ' || failed_on when qid % 3 = 0 then 'no source' when qid % 3 = 2 then 'no output' else '' end as abstain_reason,
+  case when passed and qid % 3 = 1 then 'See [2] and [9], also [2].' end as answer, case when passed and qid % 3 = 1 and n >= 2 then '2' else '' end as used,
+  case when passed and qid % 3 = 1 then case when n >= 2 then '9' else '2,9' end else '' end as unsupported from g""")
+def batch_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions searched, gated and answered: a third of the generators give an answer, a third none, a third nothing."""
+    asked = questions(spark, sf_dir).select("qid")
+    text = F.when(F.col("qid") % 3 == 0, "**NO_ANSWER**\nno source").when(F.col("qid") % 3 == 1, "See [2] and [9], also [2].").otherwise("")
+    rows = answer.ask(asked, hybrid(spark, sf_dir, 5), asked.withColumn("text", text))
+    joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<int>")), ",")
+    return rows.select("qid", "hits_count", "abstained", "abstain_reason", F.when(~F.col("abstained"), F.col("answer")).alias("answer"), joined("used").alias("used"), joined("unsupported").alias("unsupported"))
+
+
+@R.add("select vec_id as qid, true as near from embeddings order by md5('7-' || vec_id), vec_id limit 20")
+def noisy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty vectors by seed with a little noise added, and whether each still points where its own does."""
+    docs = vecs(spark, sf_dir)
+    made = vectors.noisy_queries(docs, 20, 0.02).withColumnRenamed("vector", "q")
+    return made.join(docs, made["qid"] == docs["doc_id"]).select("qid", ((vectors.cosine(F.col("q"), F.col("vector")) > 0.9) & (F.abs(vectors.norm(F.col("q")) - 1) < 1e-5)).alias("near"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+from urllib.parse import urlsplit
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.sources import stores
+from corpuslab.sources.session import stored
+
 LEDGER = "ts string, provider string, model string, `in` long, out long, cached long, latency_s double, cost_cny double, streamed boolean, tokens long, hit long, note string"
 TRAFFIC = "ts string, method string, path string, status int, latency_s double, request_id string, request string, response string, streamed boolean, error string, _bad string"
 CHUNK = (
@@ -43,8 +49,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("cached_any", F.coalesce("cached", "hit", F.lit(0)))
 
 
-def read_traffic(spark: SparkSession, path: str, prefix: str = "/") -> DataFrame:
-    """Traffic log lines whose request path starts with ``prefix``; bad lines dropped. Bodies stay JSON text."""
+def read_traffic(spark: SparkSession, path: str, prefix: str = "/", days: list[str] | None = None) -> DataFrame:
+    """Traffic log lines whose request path starts with ``prefix``; bad lines dropped. Bodies stay JSON text. With ``days``
+    (yyyymmdd), ``path`` is a folder of files named traffic-<day>..., and only those days' files are listed and read."""
+    if days is not None:
+        path = f"{path}/traffic-{{{','.join(days)}}}*"
     rows = spark.read.schema(TRAFFIC).option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where(F.col("_bad").isNull() & F.col("path").startswith(prefix)).drop("_bad")
 
@@ -54,37 +63,57 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SPAN).json(path).withColumn("file", F.input_file_name())
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of all .txt and .md files below a folder."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
-    return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+def compact_traces(spark: SparkSession, path: str, out: str, file_rows: int = 1_000_000) -> DataFrame:
+    """A folder of one small file a trace as Parquet files of about ``file_rows`` rows, a trace in one of them, in
+    place of what is at ``out``; returns them. Rows and their file names are as ``read_traces`` gives them."""
+    rows = read_traces(spark, path)
+    files = max(1, -(-rows.count() // file_rows))
+    stores.swap_in(rows.repartition(files, "trace_id").sortWithinPartitions("trace_id"), out)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def _below(root: str) -> Column:
+    """The path of a row's file below ``root``, whichever way the store writes its scheme."""
+    return F.substring_index(F.input_file_name(), urlsplit(root).path.rstrip("/") + "/", -1)
+
+
+def read_notes(spark: SparkSession, path: str, pattern: str = "*.{txt,md}", whole_name: bool = False) -> DataFrame:
+    """(name, text) of all .txt and .md files below a folder; ``whole_name`` gives their paths below it."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    name = _below(path) if whole_name else F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return rows.select(name.alias("name"), F.col("value").alias("text"))
 
 
 def read_bodies(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
     """The manifest with each row's raw body and a reject reason: a status other than 200, no path, no file."""
     bodies = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    bodies = bodies.select(F.col("value").alias("body"), F.substring_index(F.input_file_name(), root.rstrip("/") + "/", -1).alias("path"))
+    bodies = bodies.select(F.col("value").alias("body"), _below(root).alias("path"))
     failed = F.col("status").isNull() | (F.col("status") != 200) | F.col("path").isNull()
     why = F.when(failed, F.concat(F.lit("fetch failed: "), F.coalesce("error", F.col("status").cast("string"), F.lit("")))).when(F.col("body").isNull(), "file missing")
     return manifest.join(bodies, "path", "left").withColumn("reason", why)
 
 
 def write_parsed(docs: DataFrame, accepted: str, rejected: str) -> None:
-    """Rows without a reason to one JSON-lines folder, the others to another, from one computation."""
-    docs = docs.persist()
-    docs.where("reason is null").drop("reason").write.mode("overwrite").json(accepted)
-    docs.where("reason is not null").select("doc_id", "source", "url", "reason").write.mode("overwrite").json(rejected)
-    docs.unpersist()
-
-
-def write_chunks(chunks: DataFrame, path: str, meta: str, force: bool = False) -> DataFrame:
-    """The chunk store by source, and a row about it; returns that row. A store is not replaced by one
-    of fewer rows unless ``force``."""
-    guard_shrink(chunks.sparkSession, path, chunks.count(), force)
-    chunks.write.mode("overwrite").partitionBy("source").parquet(path)
-    about = snapshot(chunks.sparkSession.read.parquet(path))
-    about.write.mode("overwrite").json(meta)
-    return about
+    """Rows without a reason to one JSON-lines folder, the others to another, from one computation, which is stored before
+    either is replaced."""
+    docs = stored(docs)
+    stores.swap_in(docs.where("reason is null").drop("reason"), accepted, "json")
+    stores.swap_in(docs.where("reason is not null").select("doc_id", "source", "url", "reason"), rejected, "json")
+
+
+def write_chunks(chunks: DataFrame, path: str, meta: str, force: bool = False, about: Mapping[str, object] | None = None) -> DataFrame:
+    """The chunk store by source, and a row about it; returns that row. A store is not replaced by one of fewer rows
+    unless ``force``, and is replaced as a whole or not at all. ``about`` adds what the chunks do not tell: strategy,
+    size, backend, model, tokens, cost_cny, seconds; dim is that of their vectors."""
+    chunks = stored(chunks)
+    guard_shrink(chunks.sparkSession, stores.recovered(chunks.sparkSession, path), chunks.count(), force)
+    row = snapshot(chunks).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    if "vector" in chunks.columns:
+        row = row.crossJoin(chunks.agg(F.max(F.size("vector")).alias("dim")))
+    row = stored(row.withColumns({k: F.lit(v) for k, v in (about or {}).items()}))
+    stores.swap_in(chunks, path, by="source")
+    stores.swap_in(row, meta, "json")
+    return row
 
 
 def guard_shrink(spark: SparkSession, path: str, rows: int, force: bool = False) -> None:
@@ -114,7 +143,8 @@ def snapshot(chunks: DataFrame) -> DataFrame:
 
 
 def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of sources not fetched again, and all new ones."""
+    """The rows of sources not fetched again, and all new ones, as a frame; ``stores.replace_partitions`` does the same to
+    a stored manifest, by source."""
     return old.join(new.select("source").distinct(), "source", "left_anti").unionByName(new)
 
 
