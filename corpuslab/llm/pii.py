@@ -1,6 +1,6 @@
 """Personal data: base patterns, and contexts learned from them, in DataFrame functions only.
 
-Base spans come from four fixed patterns. Their words to the left (lexical patterns) are then scored
+Base spans come from four fixed patterns; secrets, long runs of hexadecimal digits, are seeds too. Their words to the left (lexical patterns) are then scored
 on a graph of patterns and instances: a pattern is as good as the instances it introduces, an
 instance as good as the patterns that introduce it, seeds being certain. Identifiers that no base
 pattern knows are found where patterns of high confidence introduce them."""
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from corpuslab.llm.common import checkpoint, spare, stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds: the base ones, and secrets, which are seeds of the method like them but no base spans.
+SEEDS = (*KINDS, "secret")
 #: Leftmost non-overlapping matches of the stated patterns. Look-behinds and possessive quantifiers
 #: only save the search from trying starts and splits that cannot give another match, so that it
 #: stays linear in long runs; \\G is the end of the match before.
@@ -23,9 +25,10 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![\p{L}0-9_-])(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,128}+(?![\p{L}0-9_-])",
 }
 #: What a text must hold for a pattern to be tried.
-GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": r"[0-9a-f]{32}"}
 PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: A candidate instance: groups of digits parted by spaces, brackets, dots or hyphens, as one; or else a run
 #: of these characters with at least one digit or @.
@@ -60,6 +63,7 @@ def _holds(kind: str, match: Column) -> Column:
         "ip": match.rlike(rf"^{PART}(?:\.{PART}){{3}}$"),
         "card": F.length(digits).between(12, 19) & F.call_function("luhn_check", F.substr(digits, F.lit(1), F.lit(19))),
         "phone": F.length(digits).between(9, 15),
+        "secret": F.lit(True),
     }[kind]
 
 
@@ -69,15 +73,15 @@ def text_key(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(key, start, end, instance, pattern, kind_no) of the base spans of each different text and, with no
-    kind, of identifier-like tokens that touch none. Code points, end exclusive.
+    """(key, start, end, instance, pattern, kind_no) of the seeds of each different text (base spans and
+    secrets) and, with no kind, of identifier-like tokens that touch none. Code points, end exclusive.
 
-    pattern: the two words to the left, lower-cased, as far as three matches back; null without two words
-    or a letter in them. Every match becomes a row, and positions are running sums, so a text of any
+    pattern: the two words to the left, lower-cased, as far as three matches back, an opening quote or bracket
+    before the instance apart; null without two words or a letter in them. Every match becomes a row, and positions are running sums, so a text of any
     number of matches takes time in proportion; copies of a text are one from the map side on."""
     text = F.col("text")
-    arrays = [_matches(text, k, PATTERNS[kind], GATES[kind]) for k, kind in enumerate(KINDS)]
-    arrays.append(_matches(text, len(KINDS), f"{GROUPS}|{TOKEN}", "[0-9@]"))
+    arrays = [_matches(text, k, PATTERNS[kind], GATES[kind]) for k, kind in enumerate(SEEDS)]
+    arrays.append(_matches(text, len(SEEDS), f"{GROUPS}|{TOKEN}", "[0-9@]"))
     # The key is made beside the array, below the explode, or else it would be made for each match.
     rows = docs.where(text.isNotNull()).select(text_key(text).alias("key"), F.concat(*arrays).alias("all"))
     rows = rows.select("key", F.explode("all").alias("m")).select("key", "m.*")
@@ -85,14 +89,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     own = Window.partitionBy("key", "what").orderBy("n")
     before = lambda name, k: F.coalesce(F.lag(name, k).over(own), F.lit(""))
     left = F.substring_index(F.concat(before("tail", 2), before("match", 2), before("tail", 1), before("match", 1), "tail"), " ", -3)
-    pattern = F.lower(F.regexp_extract(left, r"^(\S+ \S+) $", 1))
+    pattern = F.lower(F.regexp_extract(left, r"^(\S+ \S+) [\"'(\[<]?$", 1))
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     rows = rows.select("key", "what", (F.col("end") - F.col("size")).alias("start"), "end", F.col("match").alias("instance"), F.when(pattern.rlike(r"\p{L}"), pattern).alias("pattern"))
-    match, token = F.col("instance"), F.col("what") == len(KINDS)
+    match, token = F.col("instance"), F.col("what") == len(SEEDS)
     fine = token & (match.contains("@") | (F.length(F.regexp_replace(match, "[^0-9]", "")) >= LEAST_DIGITS))
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(SEEDS):
         fine = fine | ((F.col("what") == k) & _holds(kind, match))
-    # A token touches a base span if one that starts before the token's end ends behind its start.
+    # A token touches a seed if one that starts before the token's end ends behind its start.
     place = F.struct(F.when(token, F.col("end")).otherwise(F.col("start")), ~token)
     reach = F.max(F.when(~token, F.col("end"))).over(Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.where(fine).withColumn("place", place).withColumn("reach", reach)
@@ -110,7 +114,7 @@ def _pattern_scores(edges: DataFrame) -> DataFrame:
     known = edges.groupBy("instance").agg(F.max("kind_no").alias("seed"))
     edges = checkpoint(edges.select("pattern", "instance").join(known, "instance"))
     scored = edges.select("pattern", "instance", "seed", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"), F.col("seed").alias("kind_no"))
-    numbers = range(len(KINDS))
+    numbers = range(len(SEEDS))
     first_most = lambda columns: (F.array_position(F.array(*columns), F.greatest(*columns)) - 1).cast("int")
     for _ in range(ROUNDS):
         patterns = scored.groupBy("pattern").agg(
@@ -131,18 +135,18 @@ def _pattern_scores(edges: DataFrame) -> DataFrame:
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """(key, start, end, kind_no, base) of every span of each different text: base ones, and those that contexts
-    add, which touch no base span and no other added one."""
+    """(key, start, end, kind_no, base) of every span of each different text: base ones, secrets, and those that
+    contexts add, which touch none of these and no other added one."""
     rows = stored(candidates(docs))
     edges = rows.where("pattern is not null").groupBy("pattern", "instance").agg(F.max("kind_no").alias("kind_no"))
     patterns = stored(_pattern_scores(edges).select("pattern", F.col("kind_no").alias("as_kind")))
-    base = rows.where("kind_no is not null").select("key", "start", "end", "kind_no", F.lit(True).alias("base"))
+    base = rows.where("kind_no is not null").select("key", "start", "end", "kind_no", (F.col("kind_no") < len(KINDS)).alias("base"))
     added = rows.where("kind_no is null").join(patterns, "pattern").select("key", "start", "end", F.col("as_kind").alias("kind_no"), F.lit(False).alias("base"))
     return base.unionByName(added)
 
 
 def _listed(spans: Column | str) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, SEEDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -175,7 +179,7 @@ def _cuts(spans: DataFrame) -> DataFrame:
     whole = spans.groupBy("key", "whole").agg(first.alias("first"), F.max("end").alias("end")).select("key", "first.start", "first.kind_no", "end")
     at = F.floor(F.col("start") / PIECE).cast("int")
     parts = whole.select("*", F.explode(F.sequence(at, F.floor((F.col("end") - 1) / PIECE).cast("int"))).alias("piece"))
-    names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
+    names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in SEEDS))
     base = F.col("piece") * PIECE
     cut = F.struct(
         F.greatest(F.col("start") - base, F.lit(0)).alias("from"),
