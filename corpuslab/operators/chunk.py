@@ -117,6 +117,7 @@ def resolve_parents(chunks: DataFrame) -> DataFrame:
     return chunks.join(parents, "parent_id", "left").withColumn("shown", F.coalesce("parent_text", "text")).drop("parent_text")
 
 
+#: A table's separator row (fixed value).
 SEPARATOR = r"^\s*\|[\s:|-]+\|\s*$"
 
 

@@ -15,6 +15,7 @@ from corpuslab.operators.metrics import floor_rank, ranked_values
 from corpuslab.sources.session import stored
 
 MIN_CHARS = 300
+#: A sitemap's places and a Markdown text's links (fixed values).
 LOC, LINK = r"<loc>(.*?)</loc>", r"\((https?://[^)\s]+)\)"
 #: File endings that are no pages (fixed values).
 ASSETS = (".css", ".js", ".png", ".jpg", ".svg", ".ico", ".woff")
