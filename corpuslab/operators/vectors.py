@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions.text import estimated_tokens
 from corpuslab.operators.bm25 import DIGITS, rank
 from corpuslab.sources.session import shared_folder, stored
 
@@ -40,6 +41,15 @@ def embed(rows: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], t
     return rows.mapInPandas(run, f"{kinds}, vector array<float>")
 
 
+def embedding_cost(rows: DataFrame, price: float, text_col: str = "text", by: str | None = None) -> DataFrame:
+    """What embedding the texts takes, in all or for each ``by``: texts, estimated tokens, and their cost (6 digits) at ``price``
+    a million tokens."""
+    tokens = estimated_tokens(F.col(text_col))
+    grouped = rows.groupBy(by) if by else rows.groupBy()
+    sums = grouped.agg(F.count("*").alias("texts"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
+    return sums.withColumn("cost", F.round(F.col("tokens") * price / 1e6, 6))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 

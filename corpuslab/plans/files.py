@@ -173,6 +173,12 @@ def embed_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("vector")[0].cast("double").alias("a"), F.col("vector")[1].cast("double").alias("b"))
 
 
+@R.add(r"""with t as (select source, cast(floor(len(regexp_extract_all(coalesce(text, ''), '[\x{4e00}-\x{9fff}]')) * 0.6 + len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) * 1.3) as bigint) as n from documents)
+select source, count(*) as texts, cast(sum(n) as bigint) as tokens, round(sum(n) * 0.333 / 1e6, 6) as cost from t group by source""")
+def embed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_cost(corpus(spark, sf_dir), 0.333, by="source")
+
+
 @R.add("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as size, case when list_sum(list_transform(embedding, lambda x: x::double * x::double)) = 0 then 0.0 else 1.0 end as unit from embeddings")
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding")

@@ -28,10 +28,15 @@ def _to_table(stream: DataFrame) -> DataFrame:
 MARK = "(select max(ts) - interval 10 minute from events)"
 
 
-@R.add(f"""select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as calls, round(sum(value), 6) as cost from events
-group by all having time_bucket(interval 1 hour, any_value(ts)) + interval 1 hour <= {MARK}""")
+@R.add(f"""with w as (select time_bucket(interval 1 hour, ts) as start, event_type, user_id % 4 as model, count(*) as calls, round(sum(value), 6) as cost from events
+ group by all having time_bucket(interval 1 hour, any_value(ts)) + interval 1 hour <= {MARK})
+select *, cast(sum(calls) over k as bigint) as calls_so_far, round(sum(cost) over k, 6) as cost_so_far from w window k as (partition by event_type, model order by start rows unbounded preceding)""")
 def stream_window_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _to_table(jobs.rollup(_stream(spark, sf_dir))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """By kind and model (the user's number), each window with the totals so far."""
+    keys = ("event_type", "model")
+    rows = _stream(spark, sf_dir).withColumn("model", F.col("user_id") % 4)
+    totals = jobs.running_totals(_to_table(jobs.rollup(rows, keys=keys)), keys)
+    return totals.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @R.add(f"""with w as (select time_bucket(interval 1 hour, ts) - interval 1 hour * i as start, event_type from events, (select unnest([0, 1]) as i))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.operators import scans
 from corpuslab.operators.guards import MAX_FAILURES, MAX_STEPS
 from corpuslab.streaming import stateful
 
@@ -18,11 +21,20 @@ def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def rollup(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Cost and calls by kind in tumbling windows; events later than ``late`` are dropped once a window is closed."""
+def rollup(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", keys: Sequence[str] = ("event_type",)) -> DataFrame:
+    """Cost and calls by ``keys`` (provider, model, path) in tumbling windows; events later than ``late`` are dropped once
+    a window is closed."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    grouped = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 6).alias("cost"))
-    return grouped.select(F.col("w.start").alias("start"), "event_type", "calls", "cost")
+    grouped = rows.groupBy(F.window("ts", window).alias("w"), *keys).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 6).alias("cost"))
+    return grouped.select(F.col("w.start").alias("start"), *keys, "calls", "cost")
+
+
+def running_totals(windows: DataFrame, keys: Sequence[str] = ("event_type",)) -> DataFrame:
+    """Closed windows of ``rollup`` with calls and cost of their keys up to and with each, calls_so_far and cost_so_far. A key's
+    windows are scanned by slices, however many it has."""
+    keyed = windows.withColumn("__keys", F.to_json(F.struct(*keys)))
+    rows = scans.prefix(scans.sliced(keyed, "__keys", ["start"]), "__keys", ["start"], {"calls_so_far": ("sum", F.col("calls")), "cost_so_far": ("sum", F.col("cost"))})
+    return scans.bare(rows).withColumn("cost_so_far", F.round("cost_so_far", 6)).drop("__keys")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
