@@ -165,3 +165,35 @@ def test_read_only_queries(spark):
     assert got("select order_id from orders where city = 'a;b' or order_id = (select max(order_id) from orders)") == [(3,)]
     assert len(got("select * from orders", limit=0)) == 1 and spark.table("orders").columns == ["mine"]
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("__orders")]
+
+
+# Strategies and running totals
+
+
+def test_a_strategy_is_its_parts(spark):
+    from corpuslab.operators import fuse, plug
+
+    docs = spark.createDataFrame([(1, "red apple", "s"), (2, "green apple", "t"), (3, "red car", "t")], "doc_id long, text string, source string")
+    index = inverted.build(docs)
+    queries = spark.createDataFrame([(1, "fruit", "apple"), (2, "red", None)], "qid long, question string, hypothesis string")
+    only_t = lambda found: fuse.postfilter(found.join(docs.select("doc_id", "source"), "doc_id"), "t", 10)
+    got = plug.strategy(queries, lambda q, k: inverted.topk(index, q, k), fuse.hypothetical, only_t, topk=2, pool=3)
+    assert sorted((r["qid"], r["doc_id"]) for r in got.collect()) == [(1, 2), (2, 3)]
+    plain = plug.strategy(queries, lambda q, k: inverted.topk(index, q, k), topk=1)
+    assert [(r["qid"], r["doc_id"]) for r in plain.collect()] == [(2, 1)]
+
+
+def test_running_totals_of_windows(spark):
+    from corpuslab.streaming import jobs
+
+    rows = [(w, k, m, w + 1, 0.5 * w) for w in range(50) for k in ("a", None) for m in (1, 2)]
+    df = spark.createDataFrame(rows, "start long, event_type string, model long, calls long, cost double")
+    got = {(r["start"], r["event_type"], r["model"]): (r["calls_so_far"], r["cost_so_far"]) for r in jobs.running_totals(df, ("event_type", "model")).collect()}
+    assert got == {(w, k, m): ((w + 1) * (w + 2) // 2, 0.25 * w * (w + 1)) for w, k, m, _, _ in rows}
+
+
+def test_what_embedding_takes(spark):
+    from corpuslab.operators import vectors
+
+    df = spark.createDataFrame([("a b c",), ("模型",), (None,)], "text string")
+    assert tuple(vectors.embedding_cost(df, 100_000.0).first()) == (3, 4, 0.4)
