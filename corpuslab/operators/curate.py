@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,28 +117,42 @@ def keyword_pattern(keyword: str) -> str:
     return r"\s*".join(map(either, keyword))
 
 
+DROPPED = re.compile(rf"[\s{COMMAS}]+")
+
+
 class Folded:
-    """A text without white space and commas, all dashes alike, with the place in the text of each character left.
-    Other spellings of a keyword are what folds to the same; where one stands, the pattern decides."""
+    """A text without white space and commas, all dashes alike, made once a keyword needs it, with the places of what was
+    dropped. Other spellings of a keyword are what folds to the same; where one stands, the pattern decides."""
 
     def __init__(self, text: str):
-        self.text = text
-        kept = [(i, "-" if c in DASHES else c) for i, c in enumerate(text) if c not in COMMAS and not c.isspace()]
-        self.places = [i for i, _ in kept]
-        self.folded = "".join(c for _, c in kept)
+        self.text, self.made = text, None
+
+    @property
+    def folded(self) -> str:
+        if self.made is None:
+            gone = [m.span() for m in DROPPED.finditer(self.text)]
+            self.shifts = list(accumulate(end - start for start, end in gone))
+            self.marks = [start - before for (start, _), before in zip(gone, [0, *self.shifts])]
+            self.made = DROPPED.sub("", self.text).translate(dict.fromkeys(map(ord, DASHES), "-"))
+        return self.made
+
+    def place(self, at: int) -> int:
+        """The place in the text of a character of the folded one."""
+        runs = bisect_right(self.marks, at)
+        return at + (self.shifts[runs - 1] if runs else 0)
 
     def spelling(self, keyword: str) -> str | None:
         """The keyword as the text spells it first, as it is written if the text has that."""
         if keyword in self.text:
             return keyword
-        bare = "".join("-" if c in DASHES else c for c in keyword if c not in COMMAS and not c.isspace())
+        bare = Folded(keyword).folded
         pattern = re.compile(keyword_pattern(keyword))
         if not bare or keyword[0] in COMMAS or any(c.isspace() for c in keyword):  # a match may begin before what is left of it
             found = pattern.search(self.text)
             return found[0] if found else None
         at = self.folded.find(bare)
         while at >= 0:
-            if found := pattern.match(self.text, self.places[at]):
+            if found := pattern.match(self.text, self.place(at)):
                 return found[0]
             at = self.folded.find(bare, at + 1)
         return None
