@@ -123,6 +123,14 @@ def test_answers(spark):
     assert quotes["quote"] == "the text" and answer.build_context(hits.where("qid = 1")).first()["context"] == "[1] the text"
 
 
+def test_floors_broadcast_nothing(spark):
+    turns = spark.createDataFrame([(1, 1, "rate 5% of v4.21 and x_alpha-9"), (1, 2, "so 5 or 21, alpha-9 and v4, not 7%"), (2, 1, "nothing")], "conv_id long, turn long, text string")
+    found = answer.floors(turns, turns.withColumnRenamed("text", "answer"))
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    # Named in (1, 2) are 5, 21, alpha-9, and, 4, not, 7%, of which the turn before holds the first five.
+    assert {(r["conv_id"], r["turn"]): round(r["floor"], 6) for r in found.collect()} == {(1, 1): 0.0, (1, 2): 0.714286, (2, 1): 0.0}
+
+
 def test_metrics(spark):
     values = spark.createDataFrame([(float(i),) for i in range(1, 11)], "x double")
     ranked = metrics.ranked_values(values, "x")
