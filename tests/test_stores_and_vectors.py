@@ -178,3 +178,16 @@ def test_stored_inverted_file(spark, monkeypatch):
         c = int(f.split("cluster=")[1].split("/")[0])
         files[c] = files.get(c, 0) + 1
     assert any(n > 80 and files[c] > 1 for c, n in sizes.items())
+
+
+def test_vectors_without_a_direction_are_in_no_cluster(spark):
+    docs, queries = frames(spark, data())
+    odd = [None, [None] * 8, [None] + [0.5] * 7, [float("nan")] + [0.5] * 7, [float("inf")] + [0.5] * 7]
+    width = docs.select(F.max(F.size("vector"))).first()[0]
+    odd = [v and (v + [0.25] * width)[:width] for v in odd]
+    more = docs.unionByName(spark.createDataFrame([(10_000 + i, v) for i, v in enumerate(odd)], "doc_id long, vector array<float>"))
+    assert len(vectors.train_ivf(more.where("doc_id < 3").repartition(6), 2, rounds=1)) == 2  # tasks without rows
+    index, plain = vectors.store_ivf(more, 4, rounds=2), vectors.store_ivf(docs, 4, rounds=2)
+    assert index.rows().count() == plain.rows().count() and np.isfinite(index.centres).all()
+    asked = queries.unionByName(spark.createDataFrame([(10_003, odd[3])], "qid long, vector array<float>"), allowMissingColumns=True)
+    assert rows_of(vectors.search_ivf(index, asked, 5, 4)) == rows_of(vectors.search_ivf(plain, queries, 5, 4))
