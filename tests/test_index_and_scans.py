@@ -197,3 +197,24 @@ def test_what_embedding_takes(spark):
 
     df = spark.createDataFrame([("a b c",), ("模型",), (None,)], "text string")
     assert tuple(vectors.embedding_cost(df, 100_000.0).first()) == (3, 4, 0.4)
+
+
+@pytest.mark.parametrize("doc_rows,query_bytes,count_tokens", [(32, 1, 10), (7, 200, 1), (2048, 32 << 20, 500_000)])
+def test_a_task_searches_in_pieces_and_gives_its_best_once(spark, monkeypatch, doc_rows, query_bytes, count_tokens):
+    for name, value in (("DOC_ROWS", doc_rows), ("QUERY_BYTES", query_bytes), ("COUNT_TOKENS", count_tokens), ("FIRST_BUCKETS", 1)):
+        monkeypatch.setattr(inverted, name, value)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["w1 w2 a", "w3 w3 限流", "a b c d", None, "w5", "a a w7"])], "qid string, question string")
+    index = inverted.build(docs, bucket_docs=4)
+    assert index.docs().count() == index.n == docs.count()
+    search = inverted.Search(index, queries, 3)
+    assert sorted(map(tuple, search.hits().collect())) == sorted(map(tuple, bm25.topk(docs, queries, 3).collect()))
+    tasks = index.docs().rdd.getNumPartitions()
+    assert search.found.where("score is not null").groupBy("qid").count().agg(F.max("count")).first()[0] <= 3 * tasks
+
+
+def test_the_index_shuffles_no_tokens(spark):
+    rows = spark.createDataFrame([(i, "a b c " * 200) for i in range(50)], "doc_id long, text string")
+    index = inverted.build(rows)
+    assert {(r["dl"], tuple(r["terms"]), tuple(r["counts"])) for r in index.docs().collect()} == {(600, ("a", "b", "c"), (200, 200, 200))}
+    assert len(index.docs().inputFiles()) == rows.rdd.getNumPartitions()  # written where the texts are read
