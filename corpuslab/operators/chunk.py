@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import chunks as cut
+from corpuslab.operators.matching import stretches
 from corpuslab.operators.metrics import floor_rank, ranked_values
 from corpuslab.sources.session import stored
 
@@ -35,22 +37,25 @@ def chunk(docs: DataFrame, strategy: str, size: int = 500, overlap: int | None =
         return docs.withColumn("pieces", _each(lambda text: cut.recursive(text, size, overlap))(F.coalesce("text", F.lit(""))))
     if strategy == "structural":
         texts = F.transform("sections", lambda s: F.coalesce(s["text"], F.lit("")))
-        return docs.withColumn("pieces", _each(lambda parts: cut.structural(list(parts), size, overlap))(texts))
+        return docs.withColumn("pieces", _each(lambda parts: cut.structural(parts, size, overlap))(texts))
     if strategy == "atomic":
 
-        @F.pandas_udf("array<string>")
-        def atomic(texts: pd.Series, blocks: pd.Series) -> pd.Series:
-            return pd.Series([cut.atomic(t, list(b), size, overlap) for t, b in zip(texts, blocks)])
-
+        atomic = _each(lambda text, blocks: cut.atomic(text, blocks, size, overlap))
         code = F.transform("code_blocks", lambda b: F.coalesce(b["code"], F.lit(""))) if "code_blocks" in docs.columns else F.array().cast("array<string>")
         return docs.withColumn("pieces", atomic(F.coalesce("text", F.lit("")), F.coalesce(code, F.array().cast("array<string>"))))
     raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
 
 
 def _each(function: Callable):
-    @F.pandas_udf("array<string>")
-    def apply(values: pd.Series) -> pd.Series:
-        return pd.Series([function(v) if v is not None else [] for v in values])
+    """``function`` of one row's values as a column function; STRETCH_BYTES of a batch are Python objects at a time."""
+
+    @F.arrow_udf("array<string>")
+    def apply(*columns: pa.Array) -> pa.Array:
+        n, made = len(columns[0]), [pa.array([], pa.list_(pa.string()))]
+        for at, end in stretches(sum(c.nbytes for c in columns), n):
+            rows = zip(*(c.slice(at, end - at).to_pylist() for c in columns))
+            made.append(pa.array([[] if row[0] is None else function(*row) for row in rows], pa.list_(pa.string())))
+        return pa.concat_arrays(made)
 
     return apply
 

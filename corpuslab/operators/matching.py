@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 BLOCK_BYTES, STRETCH_BYTES = 4 << 20, 4 << 20
 
 
+def stretches(size: int, rows: int) -> Iterator[tuple[int, int]]:
+    """First row and end of the parts of a batch of ``size`` bytes that are Python objects at a time."""
+    step = max(1, STRETCH_BYTES * rows // max(1, size))
+    for at in range(0, rows, step):
+        yield at, min(at + step, rows)
+
+
 class Automaton:
     """Words by number, put together once in each Python worker."""
 
@@ -52,8 +59,7 @@ def _blocks(words: DataFrame) -> Iterator[list[str]]:
 def _scan(shared: Broadcast):
     @F.arrow_udf("array<int>")
     def scanned(column: pa.Array) -> pa.Array:
-        step = max(1, STRETCH_BYTES * len(column) // max(1, column.nbytes))
-        rows = (shared.value.held(t) for at in range(0, len(column), step) for t in column.slice(at, step).to_pylist())
+        rows = (shared.value.held(t) for at, end in stretches(column.nbytes, len(column)) for t in column.slice(at, end - at).to_pylist())
         return pa.array(rows, pa.list_(pa.int32()))
 
     return scanned

@@ -6,11 +6,15 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit, urlunsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from corpuslab.functions import markup
 from corpuslab.functions.text import estimated_tokens, matches, plain_text, squeezed, unescaped
+from corpuslab.operators.matching import stretches
 from corpuslab.operators.metrics import floor_rank, ranked_values
 from corpuslab.sources.session import stored
 
@@ -90,19 +94,24 @@ def parse(pages: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
     kind is html, escaped (markup inside a script string) or markdown. A text of fewer than ``least``
     characters without white space is built anew with its code inlined, as a reference; if that is short
-    too, the page is rejected. A row may come with a reason of its own, which stays."""
+    too, the page is rejected. A row may come with a reason of its own, which stays. Pages are parsed a few MB at a time,
+    however many rows a batch has."""
     given = [c for c in pages.columns if c in ("doc_id", "source", "url", "reason")]
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in given if c != "reason")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            reasons = frame["reason"] if "reason" in frame else [None] * len(frame)
-            made = [_parsed(*row, least) for row in zip(frame["body"], frame["markup"], frame["kind"], frame["url"], reasons)]
-            out = frame.drop(columns=[c for c in ("body", "markup", "kind", "reason") if c in frame]).reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(made, columns=["title", "doc_type", "text", "raw_chars", "sections", "tables", "code_blocks", "reason"])], axis=1)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end in stretches(batch.nbytes, batch.num_rows):
+                part = batch.slice(at, end - at)
+                read = lambda c: part.column(c).to_pylist() if c in part.schema.names else [None] * part.num_rows  # noqa: B023, E731
+                made = [_parsed(*row, least) for row in zip(read("body"), read("markup"), read("kind"), read("url"), read("reason"))]
+                shown = [pa.array(values, kind) for values, kind in zip(zip(*made), types)]
+                kept = [c for c in part.schema.names if c not in ("body", "markup", "kind", "reason")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *shown], [*kept, *names])
+
+    names, types = zip(*((f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(PARSED)))
     plain = F.when(F.col("kind") == "escaped", unescaped(F.col("body"))).otherwise(F.col("body")).alias("markup")
-    docs = pages.select(*given, "body", plain, "kind").mapInPandas(run, f"{kinds}, {PARSED}")
+    docs = pages.select(*given, "body", plain, "kind").mapInArrow(run, f"{kinds}, {PARSED}")
     stats = F.struct(F.size("sections").alias("n_sections"), F.size("tables").alias("n_tables"), F.size("code_blocks").alias("n_code_blocks"))
     return docs.withColumn("n_chars", F.length("text")).withColumn("n_tokens_est", estimated_tokens(F.col("text"))).withColumn("stats", stats)
 

@@ -121,3 +121,17 @@ def test_parents_and_table_flags(spark):
     cases = [("| a |\n|---|\n| 1 |", True, False), ("x\n| a |\n\n|---|", True, False), ("| a |\n| 1 |", True, True), ("none", False, False)]
     df = spark.createDataFrame([(c,) for c, _, _ in cases], "p string")
     assert [tuple(r) for r in df.select(chunk.has_table(F.col("p")), chunk.broken_table(F.col("p"))).collect()] == [(h, b) for _, h, b in cases]
+
+
+def test_batches_are_worked_on_in_stretches(spark, monkeypatch):
+    from corpuslab.operators import matching
+
+    assert list(matching.stretches(10 << 20, 5)) == [(0, 2), (2, 4), (4, 5)] and list(matching.stretches(0, 0)) == []
+    texts = [None, "", *("para one. " * n + "\n\n" + "word " * n for n in (1, 40, 300))]
+    docs = spark.createDataFrame([(i, t, [] if t is None else [(t,), (None,)]) for i, t in enumerate(texts)], "doc_id long, text string, sections array<struct<text:string>>").repartition(1)
+    pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("s").alias("source"), F.lit("u/x").alias("url"), F.concat(F.lit("<h1>t</h1><p>"), "text").alias("body"), F.lit("html").alias("kind"))
+    run = lambda: [[tuple(r) for r in d.orderBy("doc_id").collect()] for d in (parse.parse(pages), *(chunk.chunk(docs, s, 200).select("doc_id", "pieces") for s in ("recursive", "structural", "atomic")))]
+    whole = run()
+    assert len(whole[1][4][1]) > 3
+    monkeypatch.setattr(matching, "STRETCH_BYTES", 1)  # a row at a time
+    assert run() == whole
