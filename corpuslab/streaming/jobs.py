@@ -77,7 +77,7 @@ def closed_spans(events: DataFrame, idle: str = "30 minutes", late: str = "10 mi
     """Spans of events (trace_id, seq, ts, type, step, tool, tools, confirm_id, approved, result, error, reason, thought) as
     they close, with the columns and rows of ``traces.spans``. A trace without events for ``idle`` is given up:
     what it has open is abandoned."""
-    return stateful.run(events, "trace_id", stateful.Traces(idle), SPAN, late)
+    return stateful.run(stateful.bucketed(events), "bucket", stateful.Traces(idle), SPAN, late)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

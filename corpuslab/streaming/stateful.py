@@ -2,15 +2,22 @@
 
 A key's state is dropped once the watermark has passed its last event by a stated time, so what is kept grows with
 the keys of that time, not with all there ever were. Events of a key are taken in order within a batch; how
-many files make a batch bounds what a key's batch can hold. Events behind the watermark are dropped by Spark."""
+many files make a batch bounds what a key's batch can hold. Events behind the watermark are dropped by Spark.
+Traces, of which there are many of few events, go by buckets: a processor's call with those of its states takes
+milliseconds, however few events it is for."""
 
 from __future__ import annotations
 
+import json
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState
 
 #: The state store that processors with timers need.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -125,70 +132,59 @@ def text(value) -> str | None:
     return None if value is None or value is pd.NA or value != value else str(value)
 
 
-class Traces(Ending):
-    """Spans of a trace as they close: root, steps, tools and confirmations, as ``traces.spans`` has them.
-
-    Kept are: the trace's start and whether it ended, its open step, in a list each tool's starts and ends that
-    have no partner yet, and by confirm_id the confirmations that wait. Once a trace has been idle too long, what is
-    open is given out as abandoned at its last event, an open trace too."""
-
-    columns = ["trace_id", "span_id", "parent", "name", "kind", "start", "end", "status", "error", "meta", "dur_ms"]
-    order = ["seq"]
-
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.trace = handle.getValueState("trace", "start double, ended boolean")
-        self.step = handle.getValueState("step", "seq long, name string, start double, thought string")
-        self.tools = handle.getListState("tools", "tool string, start boolean, seq long, sub long, at double, parent string, result string, error string, given boolean")
-        self.waiting = handle.getMapState("waiting", "confirm_id string", "tool string, seq long, start double, parent string")
-
-    def clear(self) -> None:
-        for state in (self.trace, self.step, self.tools, self.waiting):
-            state.clear()
-
-    def events(self, key, batch: pd.DataFrame) -> list[tuple]:
-        begun = self.trace.get()
-        start, ended = begun if begun else (batch["ts"].iloc[0].timestamp(), False)
-        self.step_now, self.open_tools, self.out, self.key = self.step.get(), list(self.tools.get()), [], key
-        for row in batch.itertuples():
-            at, kind, tool = row.ts.timestamp(), row.type, text(row.tool) or "?"
-            start = min(start, at)
-            if kind in ("step_start", "final", "stop"):
-                self.end_step(at, "ok")
-            if kind == "step_start":
-                self.step_now = (int(row.seq), None if text(row.step) is None else f"step.{int(row.step)}", at, None)
-            elif kind == "thought" and self.step_now:
-                self.step_now = (*self.step_now[:3], None if text(row.thought) is None else text(row.thought)[:500])
-            elif kind == "action":
-                self.tool_event((tool, True, int(row.seq), 0, at, self.parent(), None, None, False))
-            elif kind == "tool_start":
-                for sub, name in enumerate(row.tools if row.tools is not None else ()):
-                    self.tool_event((text(name) or "?", True, int(row.seq), sub, at, self.parent(), None, None, False))
-            elif kind in ("observation", "tool_done"):
-                self.tool_event((tool, False, int(row.seq), 0, at, "", text(row.result), text(row.error), False))
-            elif kind == "need_confirm":
-                self.waiting.updateValue((text(row.confirm_id) or "",), (tool, int(row.seq), at, self.parent()))
-            elif kind == "confirm_result":
-                self.decide((text(row.confirm_id) or "",), at, bool(row.approved) if text(row.approved) else False)
-            elif kind in ("final", "stop"):
-                self.abandon(at, ABANDONED)
-                if not ended:
-                    ended = True
-                    why = text(row.reason) or "unknown"
-                    error, reason = (f"no final answer: {why}", why) if kind == "stop" else (None, "final_answer")
-                    self.give("root", None, "trace", "root", start, at, "error" if error else "ok", error, {"stop_reason": reason})
-        self.trace.update((float(start), bool(ended)))
-        self.keep()
-        return self.out
-
-    def keep(self) -> None:
-        if self.step_now:
-            self.step.update(self.step_now)
-        else:
-            self.step.clear()
-        if self.open_tools:
-            self.tools.put(self.open_tools)
-        else:
-            self.tools.clear()
+#: What traces are made of, by name.
+EVENT = ("trace_id", "seq", "ts", "type", "step", "tool", "tools", "confirm_id", "approved", "result", "error", "reason", "thought")
+#: Buckets that traces are dealt into by hash. A checkpoint holds for one number.
+BUCKETS = 4096
+
+
+def bucketed(events: DataFrame) -> DataFrame:
+    """Events of traces with the bucket of their trace. Events without a trace are a trace of their own, in bucket -1."""
+    trace = F.col("trace_id").cast("long")
+    bucket = F.when(trace.isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(trace), F.lit(BUCKETS)))
+    return events.select(bucket.alias("bucket"), F.coalesce(trace, F.lit(0)).alias("trace_id"), *EVENT[1:])
+
+
+class Trace:
+    """One trace: its start and whether it ended, its latest event in milliseconds, its open step, by tool the starts or ends
+    that have no partner yet, and by confirm_id the confirmations that wait. ``out`` takes the spans that close."""
+
+    def __init__(self, key: int | None, kept: bytes, out: list[tuple]):
+        self.key, self.out = key, out
+        self.latest, self.start, self.ended, self.step_now, tools, waiting = json.loads(kept) if kept else (0, None, False, None, {}, {})
+        self.open_tools, self.waiting = {tool: deque(queue) for tool, queue in tools.items()}, waiting
+
+    def kept(self) -> bytes:
+        tools = {tool: list(queue) for tool, queue in self.open_tools.items() if queue}
+        return json.dumps((self.latest, self.start, self.ended, self.step_now, tools, self.waiting)).encode()
+
+    def event(self, seq, at: float, kind, step, tool, tools, confirm_id, approved, result, error, reason, thought) -> None:
+        self.start = at if self.start is None else min(self.start, at)
+        self.latest = max(self.latest, int(at * 1000))
+        if kind in ("step_start", "final", "stop"):
+            self.end_step(at, "ok")
+        if kind == "step_start":
+            self.step_now = (int(seq), None if text(step) is None else f"step.{int(step)}", at, None)
+        elif kind == "thought" and self.step_now:
+            self.step_now = (*self.step_now[:3], None if text(thought) is None else text(thought)[:500])
+        elif kind == "action":
+            self.tool_event(text(tool) or "?", (True, int(seq), 0, at, self.parent(), None, None, False))
+        elif kind == "tool_start":
+            for sub, name in enumerate(tools if tools is not None else ()):
+                self.tool_event(text(name) or "?", (True, int(seq), sub, at, self.parent(), None, None, False))
+        elif kind in ("observation", "tool_done"):
+            self.tool_event(text(tool) or "?", (False, int(seq), 0, at, "", text(result), text(error), False))
+        elif kind == "need_confirm":
+            self.waiting[text(confirm_id) or ""] = (text(tool) or "?", int(seq), at, self.parent())
+        elif kind == "confirm_result":
+            self.decide(text(confirm_id) or "", at, bool(approved) if text(approved) else False)
+        elif kind in ("final", "stop"):
+            self.abandon(at, ABANDONED)
+            if not self.ended:
+                self.ended = True
+                why = text(reason) or "unknown"
+                error, reason = (f"no final answer: {why}", why) if kind == "stop" else (None, "final_answer")
+                self.give("root", None, "trace", "root", self.start, at, "error" if error else "ok", error, {"stop_reason": reason})
 
     def give(self, span_id, parent, name, kind, start, end, status, error, meta) -> None:
         self.out.append((self.key, span_id, parent, name, kind, start, end, status, error, meta, round((end - start) * 1000, 3)))
@@ -202,39 +198,145 @@ class Traces(Ending):
             self.give(f"step-{seq}", "root", name, "step", start, at, status, error, None if thought is None else {"thought": thought})
             self.step_now = None
 
-    def tool_event(self, one: tuple) -> None:
-        """A start or an end meets the first of the other kind of its tool, or waits."""
-        other = next((i for i, o in enumerate(self.open_tools) if o[0] == one[0] and o[1] != one[1]), None)
-        if other is None:
-            self.open_tools.append(one)
+    def tool_event(self, tool: str, one: tuple) -> None:
+        """A start or an end meets the first of the other kind of its tool, or waits. Those that wait are of one kind."""
+        queue = self.open_tools.setdefault(tool, deque())
+        if not queue or queue[0][0] == one[0]:
+            queue.append(one)
             return
-        first = self.open_tools.pop(other)
-        begin, end = (one, first) if one[1] else (first, one)
-        if not begin[8]:
-            error = end[7] or None
-            self.give(f"tool-{begin[2]}-{begin[3]}", begin[5], f"tool.{begin[0]}", "tool", begin[4], end[4], "error" if error else "ok", error, None if end[6] is None else {"result": end[6]})
-
-    def decide(self, confirm_id: tuple, at: float, approved: bool) -> None:
-        if self.waiting.containsKey(confirm_id):
-            tool, seq, start, parent = self.waiting.getValue(confirm_id)
-            self.waiting.removeKey(confirm_id)
+        first = queue.popleft()
+        begin, end = (one, first) if one[0] else (first, one)
+        if not begin[7]:
+            error = end[6] or None
+            self.give(f"tool-{begin[1]}-{begin[2]}", begin[4], f"tool.{tool}", "tool", begin[3], end[3], "error" if error else "ok", error, None if end[5] is None else {"result": end[5]})
+
+    def decide(self, confirm_id: str, at: float, approved: bool) -> None:
+        if confirm_id in self.waiting:
+            tool, seq, start, parent = self.waiting.pop(confirm_id)
             self.give(f"confirm-{seq}", parent, f"confirm.{tool}", "confirm", start, at, "ok", None, {"approved": str(approved).lower()})
 
     def abandon(self, at: float, why: str) -> None:
         """Tools and confirmations that are open are given out; a tool's start stays in its queue for a late end."""
-        for i, (tool, begins, seq, sub, start, parent, *_, given) in enumerate(self.open_tools):
-            if begins and not given:
-                self.give(f"tool-{seq}-{sub}", parent, f"tool.{tool}", "tool", start, at, "abandoned", why, None)
-                self.open_tools[i] = (*self.open_tools[i][:8], True)
-        for confirm_id, (tool, seq, start, parent) in list(self.waiting.iterator()):
-            self.waiting.removeKey(confirm_id)
+        for tool, queue in self.open_tools.items():
+            for i, (begins, seq, sub, start, parent, *_, given) in enumerate(queue):
+                if begins and not given:
+                    self.give(f"tool-{seq}-{sub}", parent, f"tool.{tool}", "tool", start, at, "abandoned", why, None)
+                    queue[i] = (*queue[i][:7], True)
+        for tool, seq, start, parent in self.waiting.values():
             self.give(f"confirm-{seq}", parent, f"confirm.{tool}", "confirm", start, at, "abandoned", why, {"approved": "false"})
+        self.waiting = {}
 
-    def ended(self, key, latest: float) -> list[tuple]:
-        self.step_now, self.open_tools, self.out, self.key = self.step.get(), list(self.tools.get()), [], key
-        start, ended = self.trace.get()
+    def give_up(self) -> None:
+        latest = self.latest / 1000
         self.end_step(latest, "abandoned", TIMED_OUT)
         self.abandon(latest, TIMED_OUT)
-        if not ended:
-            self.give("root", None, "trace", "root", start, latest, "abandoned", TIMED_OUT, None)
-        return self.out
+        if not self.ended:
+            self.give("root", None, "trace", "root", self.start, latest, "abandoned", TIMED_OUT, None)
+
+
+class Runs:
+    """By trace, a long, when it is due and what is kept of it (nothing: it is forgotten), in a list state of runs sorted by trace;
+    the last run that has a trace holds. A change adds a run. All become one once the later ones have as many traces as the
+    first, or are MOST in number: a batch reads what its bucket keeps, and writes little more than it changes."""
+
+    SCHEMA = "traces binary, due binary, ends binary, texts binary"
+    MOST = 32
+
+    def __init__(self, state: ListState):
+        self.state = state
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]] = []
+
+    def read(self) -> None:
+        self.runs = [(*(np.frombuffer(part, np.int64) for part in numbers), bytes(texts)) for *numbers, texts in self.state.get()]
+
+    def get(self, traces: np.ndarray) -> list[bytes]:
+        """What is kept of these traces."""
+        out = [b""] * len(traces)
+        for ids, _, ends, texts in self.runs:
+            at = np.minimum(np.searchsorted(ids, traces), len(ids) - 1)
+            for i in np.flatnonzero(ids[at] == traces).tolist():
+                out[i] = texts[ends[at[i] - 1] if at[i] else 0 : ends[at[i]]]
+        return out
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """The traces that are kept, in order, and when each is due."""
+        sizes = [np.diff(ends, prepend=0) for _, _, ends, _ in self.runs]
+        ids, due, size = (np.concatenate(parts or [np.zeros(0, np.int64)]) for parts in ([r[0] for r in self.runs], [r[1] for r in self.runs], sizes))
+        last = len(ids) - 1 - np.unique(ids[::-1], return_index=True)[1]
+        last = last[size[last] > 0]
+        return ids[last], due[last]
+
+    def write(self, traces: np.ndarray, due: np.ndarray, kept: list[bytes]) -> None:
+        """Takes what is kept of these traces, given in order, after ``read``."""
+        whole = self.runs and (sum(len(run[0]) for run in self.runs[1:]) + len(traces) >= len(self.runs[0][0]) or len(self.runs) >= self.MOST)
+        self.runs.append(self.run(traces, due, kept))
+        if not whole:
+            self.state.appendValue(self.row(self.runs[-1]))
+            return
+        traces, due = self.all()
+        self.runs = [self.run(traces, due, self.get(traces))] if len(traces) else []
+        if self.runs:
+            self.state.put([self.row(self.runs[0])])
+        else:
+            self.state.clear()
+
+    def run(self, traces: np.ndarray, due: np.ndarray, kept: list[bytes]) -> tuple:
+        return traces, due, np.cumsum([len(text) for text in kept], dtype=np.int64), b"".join(kept)
+
+    def row(self, run: tuple) -> tuple:
+        return (*(numbers.tobytes() for numbers in run[:3]), run[3])
+
+
+class Traces(StatefulProcessor):
+    """Spans of the traces of a bucket as they close: root, steps, tools and confirmations, as ``traces.spans`` has them.
+
+    A trace that has been idle too long is forgotten, and what is open is given out as abandoned at its last event, an open
+    trace too. A bucket has a timer at or before the time that its first trace is due."""
+
+    columns = ["trace_id", "span_id", "parent", "name", "kind", "start", "end", "status", "error", "meta", "dur_ms"]
+
+    def __init__(self, idle: str):
+        self.idle = milliseconds(idle)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = Runs(handle.getListState("traces", Runs.SCHEMA))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(["trace_id", "seq"])
+        if batch["ts"].isna().any():
+            raise ValueError("an event of a trace has no time")
+        ids, begin = np.unique(batch["trace_id"].to_numpy(np.int64), return_index=True)
+        at = batch["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
+        events = zip(batch["seq"].tolist(), at.tolist(), *(batch[name].tolist() for name in EVENT[3:]))
+        self.kept.read()
+        out, kept, due, soonest = [], [], [], timerValues.getCurrentWatermarkInMs() + 1
+        for trace, known, count in zip(ids.tolist(), self.kept.get(ids), np.diff(begin, append=len(batch)).tolist()):
+            one = Trace(self.name(key, trace), known, out)
+            for _ in range(count):
+                one.event(*next(events))
+            kept.append(one.kept())
+            due.append(max(one.latest + self.idle, soonest))
+        self.kept.write(ids, np.array(due, np.int64), kept)
+        timers = list(self.handle.listTimers())
+        if not timers or min(due) < min(timers):
+            self.handle.registerTimer(min(due))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.kept.read()
+        ids, due = self.kept.all()
+        over, out = due <= timerValues.getCurrentWatermarkInMs(), []
+        for trace, known in zip(ids[over].tolist(), self.kept.get(ids[over])):
+            Trace(self.name(key, trace), known, out).give_up()
+        if over.any():
+            self.kept.write(ids[over], due[over], [b""] * int(over.sum()))
+        if not over.all():
+            self.handle.registerTimer(int(due[~over].min()))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def name(self, key, trace: int) -> int | None:
+        return None if key[0] < 0 else trace
+
+    def close(self) -> None:
+        pass

@@ -3,11 +3,12 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import traces
-from corpuslab.streaming import jobs
+from corpuslab.streaming import jobs, stateful
 
 START = datetime.datetime(2024, 1, 1)
 AGENT = "trace_id long, seq long, ts timestamp, type string, step long, tool string, tools array<string>, confirm_id string, approved boolean, result string, error string, reason string, thought string"
@@ -77,3 +78,64 @@ def test_users_are_forgotten(spark, tmp_path):
     assert run(jobs.budget_crossings(stream("b"), 9.0, idle="90 days"), "b") == [(1, 3, 9.0)]
     assert run(jobs.breaker_trips(stream("c"), idle="7 days"), "c") == [(1, 5)]
     assert run(jobs.breaker_trips(stream("d"), idle="90 days"), "d") == [(1, 3)]
+
+
+def test_traces_are_kept_by_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 2, raising=False)
+    rows = agent_events(traces_n=40, length=12)
+    lost = [(None, *r[1:]) for r in rows if r[0] == 3]
+    rows = sorted(rows + lost, key=lambda r: (r[2], r[0] is None))
+    third = len(rows) // 3
+    stream = files(spark, str(tmp_path / "in"), AGENT, [rows[:third], rows[third : 2 * third], rows[2 * third :]])
+    query = jobs.closed_spans(stream, "400 days").writeStream.format("memory").queryName("by_bucket").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 3  # what is kept and a timer twice, for two buckets and that of events without a trace
+    got, want = spark.table("by_bucket"), traces.spans(spark.createDataFrame(rows, AGENT).where("trace_id is not null").withColumn("ts", F.unix_micros("ts") / 1e6))
+    shown = lambda df: sorted(repr([round(v, 3) if isinstance(v, float) else v for v in r]) for r in df.select(want.columns).collect())
+    assert shown(got.where("trace_id is not null")) == shown(want.where("status <> 'running'"))
+    assert shown(got.where("trace_id is null").withColumn("trace_id", F.lit(3))) == shown(got.where("trace_id = 3")) != []
+
+
+def test_idle_traces_of_one_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 1, raising=False)
+    test_idle_traces_are_given_up_and_forgotten(spark, tmp_path)
+
+
+class Listed:
+    def __init__(self):
+        self.rows, self.puts = [], 0
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def appendValue(self, row):  # noqa: N802
+        self.rows.append(row)
+
+    def put(self, rows):
+        self.rows, self.puts = list(rows), self.puts + 1
+
+    def clear(self):
+        self.rows = []
+
+
+def test_runs_keep_the_last_of_each_trace():
+    rng, state, model = random.Random(3), Listed(), {}
+    for i in range(200):
+        runs = stateful.Runs(state)
+        runs.read()
+        ids, due = runs.all()
+        assert dict(zip(ids.tolist(), due.tolist())) == {k: v[0] for k, v in model.items()}
+        some = np.array(sorted(rng.sample(range(-50, 1000), 1 if i == 5 else 30)), np.int64)
+        assert runs.get(some) == [model.get(t, (0, b""))[1] for t in some.tolist()]
+        kept = [b"" if rng.random() < 0.3 else f"{t}:{i}".encode() * rng.choice([1, 5]) for t in some.tolist()]
+        runs.write(some, some + i, kept)
+        model.update({t: (t + i, k) for t, k in zip(some.tolist(), kept)})
+        model = {t: v for t, v in model.items() if v[1]}
+        assert len(state.rows) <= stateful.Runs.MOST
+    assert state.puts < 40
+    left = np.array(sorted(model), np.int64)
+    for _ in range(stateful.Runs.MOST):
+        runs = stateful.Runs(state)
+        runs.read()
+        runs.write(left, left, [b""] * len(left))
+    assert state.rows == []
